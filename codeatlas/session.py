@@ -27,3 +27,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.join("codeatlas", os.path.relpath(path, root)))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def cut(df):
+    """Cuts a DataFrame's lineage with a checkpoint in the folder that the cluster shares; a
+    temporary one only in a local session without that setting."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeatlas-"))
+    return df.checkpoint()

@@ -6,12 +6,14 @@ smallest id; the signatures' bands give candidates; a candidate's signatures are
 batch by batch, and it is dropped as soon as the posterior probability that its similarity
 reaches the threshold falls under ``MISS``; survivors are verified on their full sets.
 
-Candidates come in two steps, so that a bucket of n documents never gives n^2 pairs.
-First each document meets only the smallest document of its buckets, which joins families
-of copies.  Then, over several rounds, each document meets the smallest document of the
-bucket's other components; what is still apart after the rounds is compared across components,
-with members of one component never paired again.  No candidate is dropped: at the end two documents
-that share a bucket are in one component, or were compared.
+Candidates come in two steps, so that a bucket of n documents never gives n^2 rows.  First
+each document meets one document, the busiest of its buckets (that in most buckets), which
+joins families of copies into components.  Then only buckets that still hold several
+components count, and only pairs across components.  Such a bucket of at most ``SMALL``
+documents gives its pairs as rows.  A larger one is cut into blocks of about ``BLOCK`` shingles;
+a task holds two blocks, compares their signatures and sets in place, and returns the links
+that join components, at most one a document.  No candidate is dropped: at the end two
+documents that share a bucket are in one component, or were compared.
 
 Defined results: null or empty texts and texts without words have an empty set, link with
 nothing and are kept.  Fewer than five words are one shingle.  Rows with a null id link
@@ -26,9 +28,11 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Stored, by_ids, components, map_columns
 from .hashing import U, mix, shingle_sets
 
@@ -37,8 +41,8 @@ WORDS, SIMILARITY = 5, 0.75
 BANDS, ROWS = 32, 4
 #: Signature values compared at once, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 16, 1e-7
-#: Rounds in which documents meet one member of each bucket's other components.
-ROUNDS = 2
+#: Documents of a bucket whose pairs are rows, and shingles of a block of larger buckets.
+SMALL, BLOCK = 64, 1 << 18
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -136,12 +140,7 @@ def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
         for c in columns:
             kept: dict = {"a": [], "b": []}
             for a, b, x, y in zip(c["a"], c["b"], c["set_a"], c["set_b"], strict=True):
-                one, two = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                at = np.searchsorted(two, one)
-                both = int((two[np.minimum(at, len(two) - 1)] == one).sum())
-                if 100 * both >= percent * (len(one) + len(two) - both):
+                if _reaches(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U), percent):
                     kept["a"].append(a)
                     kept["b"].append(b)
             yield kept
@@ -149,18 +148,85 @@ def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
     return map_columns(pairs, run, "a long, b long")
 
 
+def _reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    at = np.searchsorted(two, one)
+    both = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def join_block(ids: list[int], parts: list[int], blocks: list[int], sigs: np.ndarray, sets: list[np.ndarray], band: int, rows: int, similarity: float, batch: int, miss: float) -> list[tuple[int, int]]:
+    """Links that join the components ``parts`` of documents that share band ``band``: pairs of
+    the two blocks, or of the only one, that no earlier band has, by posterior and full sets."""
+    least, percent = least_matches(sigs.shape[1], batch, similarity, miss), round(similarity * 100)
+    root = {p: p for p in parts}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    part, block, two = np.array(parts), np.array(blocks), len(set(blocks)) > 1
+    size = np.array([len(s) for s in sets])
+    out = []
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        rest = rest[(part[rest] != part[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+        if two:
+            rest = rest[block[rest] != block[i]]
+        if band and len(rest):
+            before = (sigs[rest, : band * rows] == sigs[i, : band * rows]).reshape(len(rest), band, rows).all(axis=2).any(axis=1)
+            rest = rest[~before]
+        equal = np.zeros(len(rest), dtype=np.int64)
+        for k, m in enumerate(least):
+            cut = slice(k * batch, (k + 1) * batch)
+            equal += (sigs[rest, cut] == sigs[i, cut]).sum(axis=1)
+            stays = equal >= m
+            rest, equal = rest[stays], equal[stays]
+        for j in rest.tolist():
+            x, y = find(parts[i]), find(parts[j])
+            if x != y and _reaches(sets[i], sets[j], percent):
+                root[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _in_blocks(apart: DataFrame, own_sig: DataFrame, own_set: DataFrame, rows: int, similarity: float, miss: float) -> DataFrame:
+    """Links across components of large buckets (key, band, d, n, c, size, shingles)."""
+    ship(apart.sparkSession)
+    count = F.greatest(F.ceil(F.col("total") / BLOCK), F.lit(1)).cast("int")
+    dealt = apart.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = dealt.select("key", "band", "d", "c", "block", F.explode(pairs).alias("p")).select("key", "band", "d", "c", "block", "p.i", "p.j")
+    dealt = dealt.join(own_sig.withColumnRenamed("doc_id", "d"), "d").join(own_set.withColumnRenamed("doc_id", "d"), "d")
+
+    def run(t: pa.Table) -> pa.Table:
+        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(t.num_rows, -1)
+        sets = [np.frombuffer(s, dtype=U) for s in t["shingles"].to_pylist()]
+        found = join_block(t["d"].to_pylist(), t["c"].to_pylist(), t["block"].to_pylist(), sigs, sets, t["band"][0].as_py(), rows, similarity, BATCH, miss)
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = Stored(_signed(docs, words, bands * rows), "signed").df
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = Stored(some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r")).select("set_hash", "r.*"), "first").df
 
-    key = "transform(sequence(0, {0}), i -> xxhash64(i, substring(sig, i * {1} + 1, {1})))".format(bands - 1, rows * 4)
-    banded = first.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode(F.expr(key)).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("d").alias("pivot"), F.max("d").alias("last")).filter("pivot < last").select("key", "pivot")
+    key = "transform(sequence(0, {0}), i -> struct(i AS band, xxhash64(i, substring(sig, i * {1} + 1, {1})) AS key))".format(bands - 1, rows * 4)
+    banded = first.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode(F.expr(key)).alias("b")).select("d", "n", "b.key", "b.band")
+    shared = banded.groupBy("key").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x < y").select("key")
     member = Stored(banded.join(shared, "key"), "members").df
+    busy = member.groupBy("d").agg(F.count(F.lit(1)).alias("busy"))
+    member = member.join(busy, "d")
+    pivot = member.groupBy("key").agg(F.max(F.struct("busy", (-F.col("d")).alias("m"))).alias("p"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    member = Stored(member.join(pivot, "key"), "met").df
 
-    meeting = member.select(F.col("d").alias("doc_id")).distinct()
+    meeting = busy.select(F.col("d").alias("doc_id"))
     own_sig = Stored(by_ids(first.select("doc_id", "sig"), meeting, "doc_id", "left_semi"), "candidates").df
     own_set = Stored(_sets(by_ids(docs.select("doc_id", "text"), meeting, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "shingles"]), "sets").df
 
@@ -172,29 +238,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         left = left.join(own_set.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return Stored(_exact(left.select("a", "b", "set_a", "set_b"), similarity).distinct(), "links").df
 
-    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of buckets that hold several components, with their component c, and
-        those buckets' first components."""
-        part = components(links).withColumnsRenamed({"v": "d", "c": "cc"})
-        with_c = member.join(part, "d", "left").select("key", "d", "n", F.coalesce("cc", "d").alias("c"))
-        several = with_c.groupBy("key").agg(F.min(F.struct("c", "d")).alias("f"), F.max("c").alias("z")).filter("f.c < z")
-        several = several.select("key", F.col("f.c").alias("c0"), F.col("f.d").alias("d0"))
-        return with_c, several
-
-    links = verified(member.groupBy("d").agg(F.min("pivot").alias("a")).filter("a < d").select("a", F.col("d").alias("b")))
-    near = "100 * least(n, n2) >= {0} * greatest(n, n2)".format(round(similarity * 100))
-    for _ in range(ROUNDS):
-        with_c, several = apart(links)
-        met = with_c.join(several, "key").filter("c <> c0").select(F.least("d", "d0").alias("a"), F.greatest("d", "d0").alias("b")).distinct()
-        more = verified(met)
-        if not more.limit(1).count():
-            break
-        links = links.unionByName(more)
-    with_c, several = apart(links)
-    rest = Stored(with_c.join(several.select("key"), "key", "left_semi"), "apart").df
-    other = rest.select("key", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    across = rest.join(other, "key").filter("c < c2").filter(near)
-    links = links.unionByName(verified(across.select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()))
+    star = member.groupBy("d").agg(F.max("p").alias("p")).select("d", (-F.col("p.m")).alias("hub")).filter("d <> hub")
+    links = verified(star.select(F.least("d", "hub").alias("a"), F.greatest("d", "hub").alias("b")).distinct())
+
+    part = components(links).withColumnsRenamed({"v": "d", "c": "cc"})
+    parted = member.join(part, "d", "left").withColumn("c", F.coalesce("cc", "d")).drop("cc")
+    several = parted.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
+    apart = Stored(parted.join(several, "key", "left_semi"), "apart").df
+    small = apart.filter(F.col("size") <= SMALL)
+    other = small.select("key", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    near = "c < c2 AND 100 * least(n, n2) >= {0} * greatest(n, n2)".format(round(similarity * 100))
+    across = small.join(other, "key").filter(near).select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()
+    large = _in_blocks(apart.filter(F.col("size") > SMALL), own_sig, own_set, rows, similarity, miss)
+    links = links.unionByName(verified(across)).unionByName(Stored(large, "joined").df)
 
     part = components(links).withColumnsRenamed({"v": "first_id", "c": "cc"})
     class_of = first.select("set_hash", F.col("doc_id").alias("first_id")).join(part, "first_id", "left")

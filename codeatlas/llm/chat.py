@@ -58,14 +58,15 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     links = links.join(known, ["tree", "parent"], "left")
     links = Stored(links.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).alias("steps")), "links").df
+    most = links.count()
     jumps = [links]  # jumps[i]: the message 2^i above, and the scores and number of those passed
     while jumps[-1].filter("up IS NOT NULL").limit(1).count():
         now = jumps[-1]
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
         joined = now.join(above, ["tree", "up"], "left")
         jumps.append(Stored(joined.select("tree", "node", F.col("further").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "jumps").df)
-        if len(jumps) > 40:
-            break  # a path of 2^40 messages: only a cycle is as long
+        if 1 << (len(jumps) - 1) > most:
+            break  # longer than all messages together: what is left are cycles
     rooted = jumps[-1].filter("up IS NULL").select("tree", "node", "sum", "steps")
     replied = links.filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = rooted.join(replied, ["tree", "node"], "left_anti")

@@ -38,6 +38,8 @@ IMPORTS = {
 _EXTENDS = re.compile(r"\bclass\s+(\w+)\s*(?:<[^>]*>)?\s*(?:\(([^)]*)\)|(?:extends|:|<)\s*([\w., ]+))")
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
 _NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "def", "func", "fun", "and", "or", "not", "in", "elif", "sizeof", "when", "with", "new", "super", "self", "foreach", "class", "init"}
+#: Words that begin blocks and are no names (fixed values).
+_RESERVED = {"if", "for", "while", "switch", "match", "return", "catch", "else", "do", "try", "elif", "when", "with", "foreach", "sizeof"}
 _JSX = re.compile(r"<([A-Z]\w*)[\s/>]")
 #: Roles of store hooks by name (fixed values).
 STATE = {"useSelector": "reads_state", "useStore": "reads_state", "useDispatch": "dispatches"}
@@ -119,7 +121,7 @@ def _lexical(path: str, text: str, language: str) -> tuple[list[tuple], list[tup
     for i, line in enumerate(lines):
         for kind, p in patterns:
             m = p.match(line)
-            if m and m[1] not in _NOT_CALLS | {"else", "do", "try"} - {"init"}:
+            if m and m[1] not in _RESERVED:
                 found.append((kind, m[1], i, _end(lines, i, language)))
                 break
         m = re.match(IMPORTS[language], line) if language in IMPORTS else None

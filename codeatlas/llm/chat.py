@@ -63,8 +63,10 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     while jumps[-1].filter("up IS NOT NULL").limit(1).count():
         now = jumps[-1]
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        joined = now.join(above, ["tree", "up"], "left")
-        jumps.append(Stored(joined.select("tree", "node", F.col("further").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "jumps").df)
+        # Messages that have met their root are done: only the others are joined again.
+        joined = now.filter("up IS NOT NULL").join(above, ["tree", "up"])
+        joined = joined.select("tree", "node", F.col("further").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        jumps.append(Stored(now.filter("up IS NULL").unionByName(joined), "jumps").df)
         if 1 << (len(jumps) - 1) > most:
             break  # longer than all messages together: what is left are cycles
     rooted = jumps[-1].filter("up IS NULL").select("tree", "node", "sum", "steps")

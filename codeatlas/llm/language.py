@@ -55,6 +55,11 @@ def script(word: str) -> str:
     return SCRIPTS[bisect_right(_FIRST, ord(word[-1])) - 1][1]
 
 
+def any_letter(words: list[str]) -> bool:
+    """Whether the words hold a letter; numerals such as \u00b2 and \u2167 make words but are none."""
+    return any(c.isalpha() for w in words for c in w)
+
+
 def grams(word: str) -> list[str]:
     edged = f"<{word}>"
     return [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
@@ -235,7 +240,7 @@ def identify(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
         for c in columns:
             for ids, texts in _at_once(c["doc_id"], c["text"]):
                 split = [_WORD.findall(t.lower()) for t in texts]
-                some = [k for k, w in enumerate(split) if w] if own else []
+                some = [k for k, w in enumerate(split) if any_letter(w)] if own else []
                 pred, score, out = ["und"] * len(ids), [0.0] * len(ids), [[] for _ in ids]
                 for k, found in zip(some, own.label([split[k] for k in some]) if some else [], strict=True):
                     letters = [0] * len(own.langs)
@@ -276,7 +281,7 @@ def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
         out = [False] * len(texts)
         if own:
             split = [_WORD.findall((t or "").lower()) for t in texts]
-            some = [k for k, w in enumerate(split) if w]
+            some = [k for k, w in enumerate(split) if any_letter(w)]
             for k, found in zip(some, own.label([split[k] for k in some]) if some else [], strict=True):
                 letters: Counter = Counter()
                 for lang, lo, hi in found:

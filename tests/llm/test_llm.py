@@ -165,6 +165,9 @@ def test_language(spark, odd, none):
     assert {r.doc_id: r.lang_pred for r in language.identify(odd, model).collect()}[0] == "und"
     assert language.identify(none, model).count() == 0
     assert language.predict_language(none).count() == 0
+    numerals = spark.createDataFrame([(1, "\u00b2\u00bd \u2167 12"), (2, "\u00b2 das Haus und die Katze")], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language.identify(numerals, model).collect()}[1] == ("und", 0.0)
+    assert {r.doc_id for r in language.identify(numerals, model).filter("lang_pred <> 'und'").collect()} == {2}
     text = docs.filter("lang = 'de'").first().text[:600] + "\n" + docs.filter("lang = 'fr'").first().text[:600]
     spans = language.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().spans
     assert [s.lang for s in spans] == ["de", "fr"] and abs(spans[0].stop - 600) < 40

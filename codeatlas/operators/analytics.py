@@ -71,23 +71,39 @@ def cycles(edges: DataFrame, longest: int = 10, least: int = 2) -> DataFrame:
     return found.withColumn("length", F.size("cycle")).filter(F.col("length").between(least, longest))
 
 
+def _members(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """(cycle, id, file, area) of the members that are entities; a cycle is its own key."""
+    own = entities.select("id", "file", F.substring_index("hierarchy_path", "/", 1).alias("area"))
+    return found.select("cycle", F.explode("cycle").alias("id")).join(own, "id")
+
+
 def cycle_areas(found: DataFrame, entities: DataFrame) -> DataFrame:
     """(area, cycles, entities): each cycle counts once an area."""
-    members = found.select(F.monotonically_increasing_id().alias("c"), F.explode("cycle").alias("id")).join(entities.select("id", F.substring_index("hierarchy_path", "/", 1).alias("area")), "id")
-    return members.groupBy("area").agg(F.count_distinct("c").alias("cycles"), F.count_distinct("id").alias("entities"))
+    return _members(found, entities).groupBy("area").agg(F.count_distinct("cycle").alias("cycles"), F.count_distinct("id").alias("entities"))
+
+
+def cycle_summary(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row (cycles, entities, files, areas): all cycles, and what their members have, each once;
+    zeros where there are none."""
+    facts = _members(found, entities).agg(F.count_distinct("id").alias("entities"), F.count_distinct("file").alias("files"), F.count_distinct("area").alias("areas"))
+    # Both sides are a single row.
+    return found.agg(F.count(F.lit(1)).alias("cycles")).join(F.broadcast(facts))
+
+
+def cycle_lengths(found: DataFrame) -> DataFrame:
+    """(length, cycles): how many cycles have each length."""
+    return found.groupBy(F.size("cycle").alias("length")).agg(F.count(F.lit(1)).alias("cycles"))
 
 
 def filter_cycles(found: DataFrame, entities: DataFrame, area_prefix: str = "", cross_file: bool = False, cross_area: bool = False) -> DataFrame:
     """Cycles with a member in an area of the comma-separated prefixes, over several files, over
     several areas."""
-    numbered = found.withColumn("c", F.xxhash64("cycle"))
-    info = numbered.select("c", F.explode("cycle").alias("id")).join(entities.select("id", "file", F.substring_index("hierarchy_path", "/", 1).alias("area")), "id")
     fits = F.lit(not area_prefix)
     for p in filter(None, (x.strip() for x in area_prefix.split(","))):
         fits = fits | F.col("area").startswith(p)
-    facts = info.groupBy("c").agg(F.count_distinct("file").alias("files"), F.count_distinct("area").alias("areas"), F.bool_or(fits).alias("fits"))
+    facts = _members(found, entities).groupBy("cycle").agg(F.count_distinct("file").alias("files"), F.count_distinct("area").alias("areas"), F.bool_or(fits).alias("fits"))
     keep = facts.filter("fits").filter(f"files > {int(cross_file)} AND areas > {int(cross_area)}")
-    return numbered.join(keep.select("c"), "c", "left_semi").drop("c")
+    return found.join(keep.select("cycle"), "cycle", "left_semi")
 
 
 def semantic_clones(entities: DataFrame, threshold: float = 0.6, common: int = 20, top: int = 50) -> DataFrame:

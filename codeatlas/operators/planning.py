@@ -97,6 +97,28 @@ def token_batches_by_area(entities: DataFrame, budget: int = 8000, most: int = 5
     return folded.select("area", F.posexplode("b").alias("batch", "v")).select("area", "batch", F.col("v.n").alias("n"), F.col("v.t").alias("tokens"))
 
 
+#: Tokens of instructions a batch, entities a batch, characters a token, output tokens an entity, and the part
+#: that synthesis adds (fixed values).
+PROMPT, PER_BATCH, CHARS, ANSWER, SYNTHESIS = 500, 25, 4, 30, 5
+
+
+def lift_cost(sources: DataFrame, batches: int, input_price: float, output_price: float) -> DataFrame:
+    """One row: entities that need lifting of ``sources`` (source_text, lifted), those that rules lifted,
+    batches (their share of ``batches``), input and output tokens, and the cost at prices a million
+    tokens.  A null text has no tokens, a null mark counts as not lifted; nothing costs nothing."""
+    need = ~F.coalesce(F.col("lifted"), F.lit(False))
+    tokens = F.floor(F.octet_length(F.coalesce("source_text", F.lit(""))) / CHARS)
+    out = sources.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(need).alias("to_lift"),
+        F.coalesce(F.sum(F.when(need, tokens)), F.lit(0)).cast("long").alias("tokens"),
+    )
+    out = out.withColumn("batches", F.when(F.col("n") == 0, F.lit(0)).otherwise(F.ceil(F.lit(batches) * (F.col("to_lift") / F.nullif("n", F.lit(0))))).cast("long"))
+    mean = F.coalesce(F.expr("tokens div nullif(to_lift, 0)"), F.lit(0))
+    out = out.withColumn("i", (PROMPT + mean * PER_BATCH) * F.col("batches")).withColumn("o", F.col("to_lift") * ANSWER)
+    out = out.select("to_lift", (F.col("n") - F.col("to_lift")).alias("auto_lifted"), "batches", F.expr(f"i + i div {SYNTHESIS}").alias("input_tokens"), F.expr(f"o + o div {SYNTHESIS}").alias("output_tokens"))
+    return out.withColumn("cost", F.col("input_tokens") / 1_000_000 * input_price + F.col("output_tokens") / 1_000_000 * output_price)
+
+
 def plan_change(entities: DataFrame, edges: DataFrame, goal: str, scope: str = "", most: int = 15) -> dict:
     """Search, impact of each hit, their order (largest ready id first) and the tests that touch them."""
     from .search import filtered, search_auto

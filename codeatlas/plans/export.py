@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shapes by kind and styles by edge (fixed values).
@@ -37,6 +37,21 @@ def mermaid_lines(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(arcs)
 
 
+def health_lines(report: DataFrame, top: int = 10) -> DataFrame:
+    """(part, place, line): the lines of a health report, sorted by part and place: counts first, then the
+    ``top`` god objects by degree and the ``top`` most unstable entities."""
+    counts = report.agg(F.count(F.lit(1)).alias("entities"), *(F.count_if(c).alias(c) for c in ("god", "unstable", "stable", "hub")))
+    said = F.array(*(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in counts.columns))
+    out = counts.select(F.lit(0).alias("part"), F.posexplode(said).alias("place", "line"))
+    percent = F.round(F.col("instability") * 100).cast("long").cast("string")
+    line = F.concat("id", F.lit(": in "), F.col("ca").cast("string"), F.lit(", out "), F.col("ce").cast("string"), F.lit(", instability "), percent, F.lit("%"))
+    for part, mark, order in ((1, "god", [F.desc(F.col("ca") + F.col("ce")), "id"]), (2, "unstable", [F.desc("instability"), F.desc("ce"), "id"])):
+        few = report.filter(mark).orderBy(*order).limit(top)
+        rank = F.row_number().over(Window.orderBy(*order)) - 1  # over ``top`` rows
+        out = out.unionByName(few.select(F.lit(part).alias("part"), rank.alias("place"), line.alias("line")))
+    return out
+
+
 def pipe_table(name: str, df: DataFrame) -> str:
     """A small result as a pipe table: a header with the row count and column names, then rows."""
     rows = df.collect()

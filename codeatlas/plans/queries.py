@@ -13,6 +13,7 @@ from ..operators import graph as build
 from ..operators import hierarchy as tree
 from ..sources.extract import enclosing_scopes
 from ..streaming.sync import event_counts
+from . import export
 from .tables import GRAPH_SQL, entities, graph, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,13 +353,34 @@ def cycles_bounded(spark, sf):
     return analytics.cycles(_transitions(spark, sf), 4).select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
+def _cycles(spark, sf):
+    """Cycles of event types, a type's file being its length and its area its first letter."""
+    from ..session import cut
+
+    t = _transitions(spark, sf)
+    e = t.select(F.col("source").alias("id")).unionByName(t.select(F.col("target").alias("id"))).distinct()
+    e = e.select("id", F.length("id").cast("string").alias("file"), F.concat(F.substring("id", 1, 1), F.lit("/x")).alias("hierarchy_path"))
+    return cut(analytics.cycles(t, 4)), e
+
+
 @query(_TRANSITIONS + " SELECT substr(m, 1, 1) AS area, count(DISTINCT cycle) AS cycles, count(DISTINCT m) AS entities FROM (SELECT cycle, unnest(cycle) AS m FROM cy) GROUP BY 1", with_graph=False)
 def cycle_area_stats(spark, sf):
-    t = _transitions(spark, sf)
-    e = t.select(F.col("source").alias("id")).distinct().select("id", F.concat(F.substring("id", 1, 1), F.lit("/x")).alias("hierarchy_path"))
-    from ..session import cut
+    return analytics.cycle_areas(*_cycles(spark, sf))
 
-    return analytics.cycle_areas(cut(analytics.cycles(t, 4)), e)
+
+@query(_TRANSITIONS + " SELECT (SELECT count(*) FROM cy) AS cycles, count(DISTINCT m) AS entities, count(DISTINCT length(m)) AS files, count(DISTINCT substr(m, 1, 1)) AS areas FROM (SELECT unnest(cycle) AS m FROM cy)", with_graph=False)
+def cycle_summary(spark, sf):
+    return analytics.cycle_summary(*_cycles(spark, sf))
+
+
+@query(_TRANSITIONS + " SELECT length::INT AS length, count(*) AS cycles FROM cy GROUP BY 1", with_graph=False)
+def cycle_lengths(spark, sf):
+    return analytics.cycle_lengths(_cycles(spark, sf)[0])
+
+
+@query(_TRANSITIONS + " SELECT array_to_string(cycle, '>') AS cycle FROM cy WHERE len(list_filter(cycle, lambda m: substr(m, 1, 1) IN ('p', 's'))) > 0 AND len(list_distinct(list_transform(cycle, lambda m: length(m)))) > 1 AND len(list_distinct(list_transform(cycle, lambda m: substr(m, 1, 1)))) > 1", with_graph=False)
+def cycle_filters(spark, sf):
+    return analytics.filter_cycles(*_cycles(spark, sf), "p, s", True, True).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 _WORDS = "WITH d AS (SELECT doc_id::VARCHAR AS id, source AS file, list_distinct(list_transform(range(0, (len(ws) // 8)), lambda i: array_to_string(ws[i * 8 + 1:i * 8 + 8], ' '))) AS fs FROM (SELECT doc_id, source, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents)), r AS (SELECT id, unnest(fs) AS f FROM d), rare AS (SELECT f FROM r GROUP BY f HAVING count(*) BETWEEN 2 AND 20), pr AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM r a JOIN r b ON a.f = b.f AND a.id < b.id JOIN rare ON rare.f = a.f GROUP BY ALL)"
@@ -549,3 +571,40 @@ def python_extract(spark, sf):
 
     rows = read(spark, sf, "conversations").filter("turn = 0").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("class C:\n    def m(self, a: int) -> int:\n        return f(a)\n\ndef f(x):\n    return "), F.length("text").cast("string"), F.lit("\n")).alias("content"))
     return extract_entities(rows).select("id", "kind", "line_start", "line_end", "parent_class")
+
+
+_LABEL = "replace(replace({}, '\\', '\\\\'), '\"', '\\\"')"
+
+
+@query("SELECT 0 AS part, '  \"' || " + _LABEL.format("id") + " || '\" [label=\"' || " + _LABEL.format("name") + " || '\", shape=' || CASE kind WHEN 'class' THEN 'box' ELSE 'ellipse' END || '];' AS line FROM entities"
+       " UNION ALL SELECT 1, '  \"' || " + _LABEL.format("source") + " || '\" -> \"' || " + _LABEL.format("target") + " || '\" [label=\"' || kind || '\", style=' || CASE kind WHEN 'invokes' THEN 'solid' WHEN 'imports' THEN 'dashed' ELSE 'dotted' END || '];' FROM edges")
+def dot_export(spark, sf):
+    g = graph(spark, sf)
+    return export.dot_lines(g.entities, g.edges)
+
+
+@query("SELECT 0 AS part, split_part(hierarchy_path, '/', 1) AS area, '    n' || substr(sha256(id), 1, 12) || '[\"' || " + _LABEL.format("name") + " || '\"]' AS line FROM entities"
+       " UNION ALL SELECT 1, '', '  n' || substr(sha256(source), 1, 12) || ' -->|' || kind || '| n' || substr(sha256(target), 1, 12) FROM edges")
+def mermaid_export(spark, sf):
+    g = graph(spark, sf)
+    return export.mermaid_lines(g.entities, g.edges)
+
+
+_REPORT_LINE = "id || ': in ' || ca || ', out ' || ce || ', instability ' || CAST(round(instability * 100) AS BIGINT) || '%'"
+
+
+@query(_HEALTH + f"""SELECT 0 AS part, unnest(range(5))::INT AS place, unnest(['entities: ' || count(*), 'god: ' || count_if(god), 'unstable: ' || count_if(unstable), 'stable: ' || count_if(stable), 'hub: ' || count_if(hub)]) AS line FROM health
+UNION ALL SELECT * FROM (SELECT 1, (row_number() OVER (ORDER BY ca + ce DESC, id) - 1)::INT AS place, {_REPORT_LINE} FROM health WHERE god ORDER BY place LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 2, (row_number() OVER (ORDER BY instability DESC, ce DESC, id) - 1)::INT AS place, {_REPORT_LINE} FROM health WHERE unstable ORDER BY place LIMIT 10)""")
+def health_report(spark, sf):
+    g = graph(spark, sf)
+    return export.health_lines(analytics.health(g.entities, g.edges))
+
+
+@query("""WITH u AS (SELECT count(*) AS n, count(*) FILTER (kind <> 'class') AS need, CAST(sum(length(name) // 4) FILTER (kind <> 'class') AS BIGINT) AS t FROM entities),
+v AS (SELECT *, CAST(ceil(40 * (need::DOUBLE / n)) AS BIGINT) AS batches FROM u), w AS (SELECT *, (500 + t // need * 25) * batches AS i, need * 30 AS o FROM v)
+SELECT need AS to_lift, n - need AS auto_lifted, batches, i + i // 5 AS input_tokens, o + o // 5 AS output_tokens, round((i + i // 5) / 1000000 * 3.0::DOUBLE + (o + o // 5) / 1000000 * 15.0::DOUBLE, 6) AS cost FROM w""")
+def lift_cost(spark, sf):
+    """Names stand for sources, and customers for what rules lift."""
+    e = entities(spark, sf).select(F.col("name").alias("source_text"), (F.col("kind") == "class").alias("lifted"))
+    return planning.lift_cost(e, 40, 3.0, 15.0).withColumn("cost", F.round("cost", 6))

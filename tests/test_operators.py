@@ -222,3 +222,44 @@ def test_ignore_rules():
     assert re.search(files.ignore_regex("*.gen.py"), "a/b.gen.py") and files.ignore_regex("# x") is None
     with pytest.raises(ValueError):
         files.Config.read({"drift_ignore": 0.8})
+
+
+def test_cycle_statistics(spark):
+    from codeatlas.operators import analytics
+
+    found = spark.createDataFrame([(["a", "b"], 2), (["a", "c", "d"], 3)], "cycle array<string>, length int")
+    e = spark.createDataFrame([("a", "f1", "Nav/x"), ("b", "f1", "Nav/y"), ("c", "f2", "Core/x"), ("d", "f2", None)], "id string, file string, hierarchy_path string")
+    assert analytics.cycle_summary(found, e).first().asDict() == {"cycles": 2, "entities": 4, "files": 2, "areas": 2}
+    assert {tuple(r) for r in analytics.cycle_lengths(found).collect()} == {(2, 1), (3, 1)}
+    assert {tuple(r) for r in analytics.cycle_areas(found, e).filter("area IS NOT NULL").collect()} == {("Nav", 2, 2), ("Core", 1, 1)}
+    assert [r.length for r in analytics.filter_cycles(found, e, cross_file=True).collect()] == [3]
+    assert [r.length for r in analytics.filter_cycles(found, e, "Core").collect()] == [3]
+    assert analytics.filter_cycles(found, e, "Other").count() == 0
+    none = found.limit(0)
+    assert analytics.cycle_summary(none, e).first().asDict() == {"cycles": 0, "entities": 0, "files": 0, "areas": 0}
+    assert analytics.cycle_lengths(none).count() == 0 and analytics.filter_cycles(none, e).count() == 0
+
+
+def test_lift_cost(spark):
+    from codeatlas.operators import planning
+
+    rows = spark.createDataFrame([("x" * 400, False), (None, None), ("y" * 40, True)], "source_text string, lifted boolean")
+    # Two of three need lifting, so 4 of 6 batches; 100 tokens over two is 50 a piece.
+    want = {"to_lift": 2, "auto_lifted": 1, "batches": 4, "input_tokens": (500 + 50 * 25) * 4 * 6 // 5, "output_tokens": 72}
+    got = planning.lift_cost(rows, 6, 3.0, 15.0).first().asDict()
+    assert abs(got.pop("cost") - (8400 * 3 + 72 * 15) / 1e6) < 1e-12 and got == want
+    for some in (rows.limit(0), rows.filter("lifted")):
+        assert planning.lift_cost(some, 6, 3.0, 15.0).first().cost == 0
+
+
+def test_report_lines(spark):
+    from codeatlas.operators import analytics
+    from codeatlas.plans import export
+
+    e = spark.createDataFrame([(f"v{i}", "function", f'n"{i}\\', "A/b") for i in range(12)], "id string, kind string, name string, hierarchy_path string")
+    edges = spark.createDataFrame([("v0", f"v{i}", "invokes") for i in range(1, 12)], "source string, target string, kind string")
+    report = analytics.health(e, edges)
+    lines = [r.line for r in export.health_lines(report).orderBy("part", "place").collect()]
+    assert lines == ["entities: 12", "god: 1", "unstable: 1", "stable: 11", "hub: 1", "v0: in 0, out 11, instability 100%", "v0: in 0, out 11, instability 100%"]
+    assert [r.line for r in export.health_lines(report.limit(0)).orderBy("place").collect()] == ["entities: 0", "god: 0", "unstable: 0", "stable: 0", "hub: 0"]
+    assert '  "v3" [label="n\\"3\\\\", shape=ellipse];' in {r.line for r in export.dot_lines(e, edges).collect()}

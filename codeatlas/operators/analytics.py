@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -139,21 +140,45 @@ def window_hashes(tokens: list[int], width: int) -> list[int]:
 
 def token_clones(sources: DataFrame, width: int = 20, threshold: float = 0.7, least: int = 15, top: int = 50) -> DataFrame:
     """(a, b, shared, similarity) of sources (id, tokens array<int>) by shared distinct window hashes
-    over the smaller number of windows."""
+    over the smaller number of windows; the ``top`` pairs by similarity, a and b.
+
+    Sources of equal hashes and lengths are a class, compared once.  The smaller source of a pair must
+    share enough of its hashes, so that one of its rarest few is among them: only these look for
+    partners, and windows that a large part of the sources share seldom do.  The best ``top`` pairs of
+    classes hold the best pairs of sources, and of each class the ``top`` + 1 smallest ids are enough.
+    Null or short tokens have no windows and no clones; a repeated id is compared as the sources it has."""
     ship(sources.sparkSession)
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, h) for i, t in zip(f["id"], f["tokens"], strict=True) for h in set(window_hashes([int(v) for v in t], width))]
-            yield pd.DataFrame(rows, columns=["id", "h"])
-
-    long_enough = sources.filter(F.size("tokens") >= width).select("id", "tokens")
-    rows = long_enough.mapInPandas(hashed, "id string, h long")
-    windows = long_enough.select("id", (F.size("tokens") - width + 1).alias("w"))
-    pairs = rows.select("h", F.col("id").alias("a")).join(rows.select("h", F.col("id").alias("b")), "h").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.join(windows.withColumnsRenamed({"id": "a", "w": "wa"}), "a").join(windows.withColumnsRenamed({"id": "b", "w": "wb"}), "b")
-    sim = F.least(F.lit(1.0), F.col("shared") / F.least("wa", "wb"))
-    return pairs.withColumn("s", sim).filter((F.col("s") >= threshold) & (F.col("shared") + width - 1 >= least)).select("a", "b", "shared", F.round("s", 3).alias("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(top)
+            hs = [sorted(set(window_hashes([int(v) for v in t], width))) for t in f["tokens"]]
+            names = [hashlib.sha256(f"{len(t)} {h}".encode()).hexdigest() for t, h in zip(f["tokens"], hs, strict=True)]
+            yield pd.DataFrame({"id": f["id"], "k": names, "w": [len(t) - width + 1 for t in f["tokens"]], "hs": hs})
+
+    rows = cut(sources.filter(F.size("tokens") >= width).select("id", "tokens").mapInPandas(hashed, "id string, k string, w long, hs array<long>"))
+    ranked = rows.select("k", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id"))).filter(F.col("r") <= top + 1)
+    members = cut(ranked.groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    classes = cut(rows.groupBy("k").agg(F.first("w").alias("w"), F.first("hs").alias("hs")))
+    need = F.greatest(F.lit(1), F.lit(least - width + 1), F.ceil(F.col("w") * threshold - 1e-9)).cast("int")
+    all_hashes = classes.select("k", "w", F.explode("hs").alias("h"))
+    counts = all_hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    by_rarity = all_hashes.join(counts, "h").groupBy("k", "w").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
+    rarest = by_rarity.select(F.col("k").alias("ka"), F.col("w").alias("wa"), F.explode(F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - need + 1))).alias("x"))
+    rarest = rarest.select("ka", "wa", F.col("x.h").alias("h"))
+    larger = (F.col("wa") < F.col("w")) | ((F.col("wa") == F.col("w")) & (F.col("ka") < F.col("k")))
+    found = rarest.join(all_hashes, "h").filter(larger).select("ka", F.col("k").alias("kb")).distinct()
+    side = lambda x: classes.select(F.col("k").alias(f"k{x}"), F.col("w").alias(f"w{x}"), F.col("hs").alias(f"hs{x}"))
+    found = found.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", F.size(F.array_intersect("hsa", "hsb")).cast("long").alias("shared"), F.least("wa", "wb").alias("w"))
+    own = members.filter("size(ids) > 1").join(classes, "k").select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.size("hs").cast("long").alias("shared"), "w")
+    found = found.unionByName(own).withColumn("s", F.least(F.lit(1.0), F.col("shared") / F.col("w"))).filter((F.col("s") >= threshold) & (F.col("shared") + width - 1 >= least))
+    ids = lambda x: members.select(F.col("k").alias(f"k{x}"), F.col("ids").alias(f"ids{x}"))
+    found = found.select("ka", "kb", "shared", F.round("s", 3).alias("similarity")).join(ids("a"), "ka").join(ids("b"), "kb")
+    low, high = F.col("idsa")[0], F.col("idsb")[0]
+    second = F.when(F.col("ka") == F.col("kb"), F.col("idsb")[1]).otherwise(F.greatest(low, high))
+    best = found.orderBy(F.desc("similarity"), F.least(low, high), second).limit(top)
+    pairs = best.select("ka", "kb", "shared", "similarity", F.explode("idsa").alias("x"), "idsb").select("ka", "kb", "shared", "similarity", "x", F.explode("idsb").alias("y"))
+    pairs = pairs.filter("ka <> kb OR x < y").filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "similarity").orderBy(F.desc("similarity"), "a", "b").limit(top)
 
 
 def hot_spots(edges: DataFrame, top: int = 10) -> DataFrame:

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEPENDENCY_KINDS
-from ..session import cut
+from ..session import cut, ship
+from .order import numbered
+
+#: Rows of an order that one task follows at once.
+BLOCK = 1 << 16
 
 
 def topological_levels(entities: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
@@ -55,14 +62,24 @@ def kahn(ids: list[str], edges: list[tuple[str, str]], largest_first: bool = Fal
     return out + sorted(known - set(out))
 
 
-def reconstruction_batches(ordered: DataFrame, size: int = 8) -> DataFrame:
+def reconstruction_batches(ordered: DataFrame, size: int = 8, block: int = BLOCK) -> DataFrame:
     """(area, island, batch, n) from (pos, area): a batch ends where the area changes and at ``size``.
-    ``ordered`` is one plan, an order that a single reader follows."""
-    w = Window.orderBy("pos")
-    flagged = ordered.withColumn("new", F.coalesce((F.col("area") != F.lag("area").over(w)).cast("int"), F.lit(1)))
-    islands = flagged.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rn = F.row_number().over(Window.partitionBy("island").orderBy("pos"))
-    return islands.withColumn("batch", F.floor((rn - 1) / size).cast("int")).groupBy("area", "island", "batch").agg(F.count(F.lit(1)).alias("n"))
+    A null area is an area.  Rows are numbered along the whole order and looked at in blocks that also
+    see the row before them; the blocks' numbers of islands and last beginnings are then added up."""
+    rows = numbered(ordered.select(F.col("pos").alias("at"), "area"), ["at"]).withColumn("block", F.expr(f"pos div {block}"))
+    before = rows.filter(F.pmod("pos", F.lit(block)) == block - 1).select("pos", "area", F.expr("block + 1").alias("block"), F.lit(False).alias("own"))
+    w = Window.partitionBy("block").orderBy("pos")
+    rows = rows.select("pos", "area", "block", F.lit(True).alias("own")).unionByName(before)
+    rows = rows.withColumn("new", (F.col("pos") == 0) | ~F.col("area").eqNullSafe(F.lag("area").over(w))).filter("own")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.when(F.col("new"), F.col("pos"))
+    rows = rows.select("block", "pos", "area", F.count_if("new").over(upto).alias("i"), F.max(begin).over(upto).alias("b"))
+    sums = rows.groupBy("block").agg(F.max("i").alias("n"), F.max("b").alias("last"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("islands"), F.max("last").over(earlier).alias("last"))
+    rows = rows.join(sums, "block").withColumn("first", F.coalesce("b", "last"))
+    rows = rows.select("area", (F.col("i") + F.col("islands")).alias("island"), F.floor((F.col("pos") - F.col("first")) / size).cast("int").alias("batch"))
+    return rows.groupBy("area", "island", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 def test_coverage(entities: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -85,16 +102,67 @@ def token_batches(sizes: list[tuple[str, int]], budget: int = 8000, most: int =
     return [*out, batch] if batch else out
 
 
-def token_batches_by_area(entities: DataFrame, budget: int = 8000, most: int = 50) -> DataFrame:
-    """(area, batch, n, tokens): the same greedy rule as a fold over each place's entities in order."""
-    start = F.array().cast("array<struct<n:int,t:long>>")
-    step = lambda a, x: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1).t + x.t <= budget) & (F.element_at(a, -1).n < most),
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct((F.element_at(a, -1).n + 1).alias("n"), (F.element_at(a, -1).t + x.t).alias("t")))),
-    ).otherwise(F.concat(a, F.array(F.struct(F.lit(1).alias("n"), x.t.alias("t")))))
-    rows = entities.groupBy("area").agg(F.sort_array(F.collect_list(F.struct("id", F.col("tokens").cast("long").alias("t")))).alias("rows"))
-    folded = rows.select("area", F.aggregate("rows", start, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(F.lit(1).alias("n"), x.t.alias("t")))).otherwise(step(a, x))).alias("b"))
-    return folded.select("area", F.posexplode("b").alias("batch", "v")).select("area", "batch", F.col("v.n").alias("n"), F.col("v.t").alias("tokens"))
+def batch_ends(tokens: list[int], budget: int, most: int) -> np.ndarray:
+    """For every row, the row after the last one of the greedy batch that would begin there."""
+    sums = np.concatenate([[0], np.cumsum(np.asarray(tokens, dtype=np.int64))])
+    at = np.arange(len(tokens))
+    fits = np.searchsorted(sums, sums[:-1] + budget, side="right") - 1
+    return np.maximum(at + 1, np.minimum(np.minimum(fits, at + most), len(tokens)))
+
+
+def token_batches_by_area(entities: DataFrame, budget: int = 8000, most: int = 50, block: int = BLOCK) -> DataFrame:
+    """(area, batch, n, tokens): the same greedy rule over each place's entities in order of id.
+
+    A batch has at most ``most`` entities, so of a block of rows only the first ``most`` can be where the
+    first batch of the block begins.  Each block finds, for each of them, where in the next block the
+    batches go on; an area's blocks are then followed one after the other, in these few numbers a block,
+    and every block makes its batches.  Null and negative tokens count as none; a null area is an area."""
+    ship(entities.sparkSession)
+    block, most = max(block, most), max(most, 1)
+    tokens = F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0))
+    rows = numbered(entities.select("area", "id", tokens.alias("t")), ["id", "t"], ["area"])
+    own = F.struct(F.expr(f"pos div {block}").alias("block"), F.lit(1).alias("own"))
+    ahead = F.when((F.col("pos") >= block) & (F.pmod("pos", F.lit(block)) < most), F.struct(F.expr(f"pos div {block} - 1").alias("block"), F.lit(0).alias("own")))
+    rows = rows.select("area", "pos", "t", F.explode(F.array_compact(F.array(own, ahead))).alias("x"))
+    blocks = rows.groupBy("area", "x.block").agg(F.sum("x.own").alias("own"), F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("r"))
+    blocks = cut(blocks.select("area", "block", "own", F.transform("r", lambda x: x.t).alias("ts")))
+
+    def ways(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for n, ts in zip(f["own"], f["ts"], strict=True):
+                ends, leave, count = batch_ends(ts, budget, most).tolist(), [0] * n, [0] * n
+                for i in range(n - 1, -1, -1):
+                    inside = ends[i] < n
+                    leave[i] = leave[ends[i]] if inside else ends[i] - n
+                    count[i] = count[ends[i]] + 1 if inside else 1
+                out.append((leave[:most], count[:most]))
+            yield pd.DataFrame({"area": f["area"], "block": f["block"], "leave": [x for x, _ in out], "count": [x for _, x in out]})
+
+    def follow(f: pd.DataFrame) -> pd.DataFrame:
+        entry, batch, out = 0, 0, []
+        f = f.sort_values("block")
+        for leave, count in zip(f["leave"], f["count"], strict=True):
+            out.append((entry, batch))
+            if entry < len(leave):  # else the batch that came in takes all that is left
+                entry, batch = int(leave[entry]), batch + int(count[entry])
+        return pd.DataFrame({"a": f["area"], "b": f["block"], "entry": [x for x, _ in out], "first": [x for _, x in out]})
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for area, n, ts, i, batch in zip(f["area"], f["own"], f["ts"], f["entry"], f["first"], strict=True):
+                ends = batch_ends(ts, budget, most).tolist()
+                while i < n:
+                    out.append((area, batch, ends[i] - i, int(sum(ts[i : ends[i]]))))
+                    i, batch = ends[i], batch + 1
+            yield pd.DataFrame(out, columns=["area", "batch", "n", "tokens"])
+
+    area = entities.select("area").schema[0].dataType.simpleString()
+    found = blocks.select("area", "block", "own", "ts").mapInPandas(ways, f"area {area}, block long, leave array<int>, count array<int>")
+    found = found.groupBy("area").applyInPandas(follow, f"a {area}, b long, entry int, first int")
+    rows = blocks.join(found, F.col("area").eqNullSafe(F.col("a")) & (F.col("block") == F.col("b"))).select("area", "own", "ts", "entry", "first")
+    return rows.mapInPandas(batches, f"area {area}, batch int, n int, tokens long")
 
 
 #: Tokens of instructions a batch, entities a batch, characters a token, output tokens an entity, and the part

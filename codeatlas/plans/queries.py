@@ -11,6 +11,7 @@ from ..functions.text import structural_signals
 from ..operators import analytics, evolve, lifting, planning, search, traverse
 from ..operators import graph as build
 from ..operators import hierarchy as tree
+from ..operators.order import numbered
 from ..sources.extract import enclosing_scopes
 from ..streaming.sync import event_counts
 from . import export
@@ -426,12 +427,9 @@ def topo_levels(spark, sf):
 
 @query("WITH o AS (SELECT id, split_part(hierarchy_path, '/', 1) || line_start % 3 AS area, row_number() OVER (ORDER BY file, id) AS pos FROM entities WHERE kind <> 'function'), f AS (SELECT *, CASE WHEN area = lag(area) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS new FROM o), i AS (SELECT *, sum(new) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM f), b AS (SELECT *, (row_number() OVER (PARTITION BY island ORDER BY pos) - 1) // 8 AS batch FROM i) SELECT area, CAST(island AS BIGINT) AS island, batch, count(*) AS n FROM b GROUP BY ALL")
 def reconstruct_batches(spark, sf):
-    from pyspark.sql import Window
-
-    e = entities(spark, sf).filter("kind <> 'function'")
-    pos = F.row_number().over(Window.orderBy("file", "id"))
+    e = numbered(entities(spark, sf).filter("kind <> 'function'"), ["file", "id"])
     area = F.concat(F.substring_index("hierarchy_path", "/", 1), (F.col("line_start") % 3).cast("string"))
-    return planning.reconstruction_batches(e.select("id", area.alias("area"), pos.alias("pos")))
+    return planning.reconstruction_batches(e.select("id", area.alias("area"), "pos"))
 
 
 @query("SELECT DISTINCT e.id FROM entities e JOIN edges ON source = e.id WHERE target IN ('part:7', 'part:8') AND (e.kind = 'test' OR starts_with(name, 'test_') OR starts_with(name, 'Test') OR contains(file, 'test') OR line_start % 2 = 0)")

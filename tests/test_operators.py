@@ -263,3 +263,54 @@ def test_report_lines(spark):
     assert lines == ["entities: 12", "god: 1", "unstable: 1", "stable: 11", "hub: 1", "v0: in 0, out 11, instability 100%", "v0: in 0, out 11, instability 100%"]
     assert [r.line for r in export.health_lines(report.limit(0)).orderBy("place").collect()] == ["entities: 0", "god: 0", "unstable: 0", "stable: 0", "hub: 0"]
     assert '  "v3" [label="n\\"3\\\\", shape=ellipse];' in {r.line for r in export.dot_lines(e, edges).collect()}
+
+
+def test_batches_across_blocks(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "b", None]), f"{i:04}", rng.choice([0, 1, 3, 9, 40, None])) for i in range(600)] + [("one", "x", 99)]
+    df = spark.createDataFrame(rows, "area string, id string, tokens int")
+    for budget, most, block in [(12, 5, 16), (12, 5, 5), (1, 3, 7), (1000, 7, 8), (30, 100, 10), (12, 5, 1 << 16)]:
+        got = planning.token_batches_by_area(df, budget, most, block).collect()
+        want = []
+        for area in {r[0] for r in rows}:
+            sizes = [(i, t or 0) for a, i, t in sorted(rows, key=lambda r: r[1]) if a == area]
+            tokens = dict(sizes)
+            want += [(area, k, len(b), sum(tokens[i] for i in b)) for k, b in enumerate(planning.token_batches(sizes, budget, most))]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert planning.token_batches_by_area(df.limit(0)).count() == 0
+
+
+def test_islands_across_blocks(spark):
+    rng = random.Random(4)
+    areas = [a for a in ("x", "y", None, "x", "z", "y") for _ in range(rng.randint(1, 40))] + ["z"] * 50
+    df = spark.createDataFrame(list(enumerate(areas)), "pos long, area string").repartition(5)
+    want, island, run = {}, 0, 0
+    for i, a in enumerate(areas):
+        fresh = i == 0 or a != areas[i - 1]
+        island, run = (island + 1, 0) if fresh else (island, run + 1)
+        want[(a, island, run // 8)] = want.get((a, island, run // 8), 0) + 1
+    for block in (7, 16, 1 << 16):
+        got = {(r.area, r.island, r.batch): r.n for r in planning.reconstruction_batches(df, 8, block).collect()}
+        assert got == want
+    assert planning.reconstruction_batches(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold,top", [(0.7, 50), (0.3, 7), (0.9, 500), (0.05, 2000)])
+def test_token_clones_of_copies(spark, threshold, top):
+    """Copies, near copies and parts that many share, against all pairs."""
+    rng = random.Random(5)
+    shared = [rng.randint(0, 99) for _ in range(30)]
+    base = [[rng.randint(0, 99) for _ in range(rng.randint(5, 40))] + (shared if k % 3 else []) for k in range(14)]
+    base += [b[: len(b) // 2] + [7] + b[len(b) // 2 :] for b in base[:6]] + [[1] * 30, [1] * 31]
+    sources = {f"s{rng.randint(0, 10**6):07}": b for b in base for _ in range(rng.choice([1, 1, 4, 12]))}
+    rows = [*sources.items(), ("none", None), ("short", [1])]
+    got = analytics.token_clones(spark.createDataFrame(rows, "id string, tokens array<int>"), 4, threshold, 6, top).collect()
+    hs, want = {i: set(analytics.window_hashes(t, 4)) for i, t in sources.items()}, []
+    for a in sources:
+        for b in sources:
+            n = len(hs[a] & hs[b])
+            least = min(len(sources[a]), len(sources[b])) - 3
+            if a < b and n and least > 0 and min(1.0, n / least) >= threshold and n + 3 >= 6:
+                want.append((a, b, n, round(min(1.0, n / least), 3)))
+    want = sorted(want, key=lambda r: (-r[3], r[0], r[1]))[:top]
+    assert len(want) > 5 and [tuple(r) for r in got] == want

@@ -9,8 +9,13 @@ A text is first tried as a single span: if no run of words gains more than one p
 the best single language, that span is Viterbi's answer, and only other texts run through
 it word by word.
 
+A word is recognised if a learned language uses its script and the model scores the word
+itself or at least half of its n-grams.  The score of a text is the share of its letters that are in
+recognised words of the spans of its language; words without evidence follow their
+neighbours' span and lower the score.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0 and no
-spans; texts whose letters no candidate's script covers get the most frequent language.
+spans; texts without a recognised word get the most frequent language, with score 0.
 Ties go to the language that comes first in the alphabet.  With no labelled rows the model
 has no languages and everything is ``und``.  Repeated rows get equal results; an empty
 table gives an empty result; extra columns are ignored.
@@ -34,6 +39,8 @@ from .common import keep_rows, map_columns
 SAMPLE, NGRAMS, FREQUENT = 400, 40_000, 5_000
 #: Nats lost by a switch of language, most nats a word may give, and weight of n-grams.
 SWITCH, MOST, WEIGHT = 12.0, 6.0, 0.5
+#: Least share of letters in the text's language for which the pipeline keeps a text.
+LEAST = 0.5
 #: Words whose scores a worker keeps.
 CACHE = 400_000
 #: First code points of ranges and the scripts that begin there (fixed values, Unicode).
@@ -123,12 +130,16 @@ class Scorer:
         self.first = self.langs.index(model["first"])
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((CACHE, k), dtype=np.float32)
+        #: Letters of the kept words, and of those that are recognised.
+        self.letters = np.zeros((CACHE, 2), dtype=np.int64)
 
     def add(self, words: list[str]) -> None:
-        rows, lengths, get = [], [], self.grams.get
+        rows, lengths, seen, get = [], [], [], self.grams.get
         for w in words:
-            own = [i for i in map(get, grams(w)) if i is not None]
+            of = grams(w)
+            own = [i for i in map(get, of) if i is not None]
             i = self.words.get(w)
+            seen.append(i is not None or 2 * len(own) >= len(of))
             if i is not None:
                 own += [i, i]
             rows += own
@@ -147,6 +158,9 @@ class Scorer:
                 scores[np.ix_(at, np.flatnonzero(~mask))] = -1e9
         scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -MOST)
         base = len(self.cache)
+        letters = np.array([sum(map(str.isalpha, w)) for w in words], dtype=np.int64)
+        own = letters * np.array([x and s in self.masks for x, s in zip(seen, scripts, strict=True)])
+        self.letters[base : base + len(words)] = np.stack([letters, own], axis=1)
         self.scores[base : base + len(words)] = scores
         self.cache.update(zip(words, range(base, base + len(words)), strict=True))
 
@@ -158,6 +172,7 @@ class Scorer:
             new = set().union(*texts)
             if len(new) > len(self.scores):
                 self.scores = np.zeros((2 * len(new), len(self.langs)), dtype=np.float32)
+                self.letters = np.zeros((2 * len(new), 2), dtype=np.int64)
         if new:
             self.add(sorted(new))
         get = self.cache.__getitem__
@@ -165,7 +180,26 @@ class Scorer:
 
     def label(self, texts: list[list[str]]) -> list[list[tuple[int, int, int]]]:
         """For each text with words: spans (language, first word, end)."""
-        scores = self.scores[self.rows(texts)].astype(np.float64)
+        return self.spans(texts, self.rows(texts))
+
+    def recognise(self, texts: list[list[str]]) -> list[tuple[list[tuple[int, int, int]], int, float]]:
+        """For each text with a letter: its spans, its language, and the share of its letters that are
+        in recognised words of that language's spans."""
+        rows = self.rows(texts)
+        sums = np.zeros((len(rows) + 1, 2), dtype=np.int64)
+        np.cumsum(self.letters[rows], axis=0, out=sums[1:])
+        out, at = [], 0
+        for text, found in zip(texts, self.spans(texts, rows), strict=True):
+            own = [0] * len(self.langs)
+            for lang, lo, hi in found:
+                own[lang] += int(sums[at + hi, 1] - sums[at + lo, 1])
+            most = max(own)
+            out.append((found, own.index(most) if most else self.first, most / int(sums[at + len(text), 0] - sums[at, 0])))
+            at += len(text)
+        return out
+
+    def spans(self, texts: list[list[str]], rows: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        scores = self.scores[rows].astype(np.float64)
         sizes = np.array([len(t) for t in texts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         best = np.add.reduceat(scores, starts, axis=0).argmax(axis=1)
@@ -229,7 +263,8 @@ def _at_once(ids: list, texts: list, chars: int = 1 << 20) -> Iterator[tuple[lis
 
 def identify(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
     """(doc_id, lang_pred, score) of every text, and with ``spans`` its spans: (lang, first
-    and end character).  The score is the share of letters in spans of ``lang_pred``."""
+    and end character).  The score is the share of letters in recognised words of spans of
+    ``lang_pred``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double"
     if spans:
@@ -242,12 +277,8 @@ def identify(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
                 split = [_WORD.findall(t.lower()) for t in texts]
                 some = [k for k, w in enumerate(split) if any_letter(w)] if own else []
                 pred, score, out = ["und"] * len(ids), [0.0] * len(ids), [[] for _ in ids]
-                for k, found in zip(some, own.label([split[k] for k in some]) if some else [], strict=True):
-                    letters = [0] * len(own.langs)
-                    for lang, lo, hi in found:
-                        letters[lang] += sum(map(len, split[k][lo:hi])) if len(found) > 1 else 1
-                    top = letters.index(max(letters))
-                    pred[k], score[k] = own.langs[top], letters[top] / sum(letters)
+                for k, (found, top, share) in zip(some, own.recognise([split[k] for k in some]) if some else [], strict=True):
+                    pred[k], score[k] = own.langs[top], share
                     if spans:
                         at = [m.span() for m in _WORD.finditer(texts[k])]
                         if len(at) == len(split[k]):  # else lower-casing changed the words' number: one span
@@ -270,9 +301,9 @@ def predict_language(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` whose language was recognised with a share of at least ``least``.
-    The decision is made beside the row's text, so that no join is needed."""
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose language was recognised with a share of at least ``least``:
+    evenly mixed texts, texts in other scripts and texts without evidence go.  The decision is made beside the row's text, so that no join is needed."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     def decide(texts: list) -> list[bool]:
         own = decide.__dict__.get("own")
@@ -282,11 +313,8 @@ def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
         if own:
             split = [_WORD.findall((t or "").lower()) for t in texts]
             some = [k for k, w in enumerate(split) if any_letter(w)]
-            for k, found in zip(some, own.label([split[k] for k in some]) if some else [], strict=True):
-                letters: Counter = Counter()
-                for lang, lo, hi in found:
-                    letters[lang] += sum(map(len, split[k][lo:hi]))
-                out[k] = max(letters.values()) >= least * sum(letters.values())
+            for k, (_, _, share) in zip(some, own.recognise([split[k] for k in some]) if some else [], strict=True):
+                out[k] = share >= least
         return out
 
     return keep_rows(docs, decide)

@@ -179,6 +179,31 @@ def test_language(spark, odd, none):
             assert scorer.label([words])[0] == language.viterbi(scorer.scores[scorer.rows([words])].astype(float))
 
 
+def test_language_needs_evidence(spark):
+    """Texts in other scripts, without evidence or evenly mixed are rejected; clean ones and a text of
+    two languages, three to one, are kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    own = {x: " ".join(r.text for r in docs.filter(F.col("lang") == x).orderBy("doc_id").limit(20).collect()).split() for x in model["langs"]}
+    assert len(own) == 4
+    foreign = ["Это проверка текста на русском языке", "Αυτό είναι ένα κείμενο στα ελληνικά", "这是一个测试文本", "qxzj wkvq zxqk jjxq vvkz"]
+    mixed = " ".join(w for words in own.values() for w in words[:200])
+    clean = [" ".join(words[:200]) for words in own.values()]
+    most = " ".join(own["en"][:300] + own["de"][:100])
+    drowned = clean[0][:100] + " " + " ".join(foreign[:1] * 20)
+    rows = [*foreign, mixed, drowned, *clean, most]
+    table = spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(table, model).collect()}
+    first = max(model["langs"], key=lambda x: docs.filter(F.col("lang") == x).count())
+    assert all((got[i].lang_pred, got[i].score) == (first, 0.0) for i in range(3)) and got[3].score < 0.5
+    assert 0.2 < got[4].score < 0.4 and got[5].score < 0.5
+    assert [got[6 + i].lang_pred for i in range(4)] == list(own) and all(got[6 + i].score > 0.9 for i in range(4))
+    assert got[10].lang_pred == "en" and 0.6 < got[10].score < 0.9
+    planted = table.select((F.col("doc_id") - 100).alias("doc_id"), "text", "lang")
+    kept = language.keep_identified(docs.select("doc_id", "text", "lang").unionByName(planted)).filter("doc_id < 0").collect()
+    assert {r.doc_id + 100 for r in kept} == set(range(6, 11))
+
+
 def brute_tiles(item, text, least):
     item, text, covered = list(item), list(text), 0
     while True:

@@ -60,6 +60,7 @@ RULES = [
 ]
 _CUT = re.compile(r"\n|(?<=[.!?])\s")
 _OTHER = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalise(sentence: str) -> str:
@@ -75,8 +76,9 @@ def identifiers(text: str, table: dict[str, str], first: frozenset[str]) -> list
     known one are normalised in full; the others can't be known."""
     out = []
     for sentence in _CUT.split(text):
-        head = _OTHER.split(sentence[:80].lstrip(" \t\r*#/-\"'(;").lower(), maxsplit=1)[0] if sentence else ""
-        if head in first or len(sentence) > 80 and not head:
+        head = _WORD.search(sentence)
+        # Lower-casing can split a word, so only the part before that is held against the first words.
+        if head and normalise(head[0]).split(" ", 1)[0] in first:
             found = table.get(normalise(sentence))
             if found:
                 out.append(found)

@@ -257,6 +257,16 @@ def test_licences(spark, odd, none):
     assert licences.scan(none).count() == 0 and licences.scan(odd).count() == odd.count()
 
 
+def test_licences_behind_marks():
+    """Whatever stands before its first letter, a known sentence is found as by plain look-up."""
+    table = licences.known(licences.SENTENCES)
+    first = frozenset(s.split(" ", 1)[0] for s in table)
+    for mark in ["> ", "% ", "<!-- ", "[", "\u2022 ", "\u201c", "\u00a0", "__", " " * 77, "-" * 200, "x ", "\u0130 ", ""]:
+        for sentence in ["Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Other words."]:
+            want = [table[x] for x in [licences.normalise(mark + sentence)] if x in table]
+            assert licences.identifiers(mark + sentence, table, first) == want, (mark, sentence)
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))

@@ -1,8 +1,11 @@
 """Licence recognition by sentences.
 
-A text is cut into sentences at line ends and at full stops, question and exclamation marks
-before white space; a sentence is normalised (lower case, letters and digits only, single
-spaces) and looked up among known licence sentences, whose identifiers replace it.  The
+A text is cut into pieces at line ends and at full stops, question and exclamation marks
+before white space; a piece is normalised (lower case, letters and digits only, single
+spaces), which also drops comment leaders.  A sentence is the longest known run of pieces
+that ends no sentence before its last: so wrapped sentences are found, and so are notices
+on a line of their own beside lines without a full stop.  Known licence sentences are
+replaced by their identifiers.  The
 sequence of a document's identifiers, in their order and without other sentences, is matched
 against ordered rules: a rule names identifiers that must follow one another in the sequence,
 rules are tried in order, and identifiers used by a rule are not used again.
@@ -24,9 +27,9 @@ from .common import map_columns
 #: Known sentences (fixed values: wording of public licences and notices) by identifier.
 SENTENCES = {
     "mit-notice": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."],
+    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit-keep": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "as-is": ["The software is provided \"as is\", without warranty of any kind, express or implied."],
+    "as-is": ["The software is provided \"as is\", without warranty of any kind, express or implied.", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."],
     "apache-2-notice": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "gpl-3-notice": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
@@ -71,17 +74,29 @@ def known(sentences: dict[str, list[str]]) -> dict[str, str]:
     return {normalise(s): i for i, some in sentences.items() for s in some}
 
 
-def identifiers(text: str, table: dict[str, str], first: frozenset[str]) -> list[str]:
-    """Identifiers of a text's sentences, in order.  Only sentences whose first word begins a
-    known one are normalised in full; the others can't be known."""
-    out = []
-    for sentence in _CUT.split(text):
-        head = _WORD.search(sentence)
+def beginnings(table: dict[str, str]) -> frozenset[str]:
+    """The first words of known sentences, one word, two words and so on."""
+    return frozenset(s[: m.start()] for s in table for m in re.finditer(" |$", s))
+
+
+def identifiers(text: str, table: dict[str, str], begins: frozenset[str]) -> list[str]:
+    """Identifiers of a text's sentences, in order.  Only pieces whose first word begins a known
+    sentence are normalised in full, and runs go on while they begin one; the others can't be known."""
+    out, pieces, at = [], _CUT.split(text), 0
+    while at < len(pieces):
+        head, found, end = _WORD.search(pieces[at]), None, at + 1
         # Lower-casing can split a word, so only the part before that is held against the first words.
-        if head and normalise(head[0]).split(" ", 1)[0] in first:
-            found = table.get(normalise(sentence))
-            if found:
-                out.append(found)
+        if head and normalise(head[0]).split(" ", 1)[0] in begins:
+            run = ""
+            for k in range(at, len(pieces)):
+                run = f"{run} {normalise(pieces[k])}".strip()
+                if run in table and (k == at or _WORD.search(pieces[k])):
+                    found, end = table[run], k + 1
+                if run not in begins or pieces[k].rstrip().endswith((".", "!", "?")):
+                    break
+        if found:
+            out.append(found)
+        at = end
     return out
 
 
@@ -108,11 +123,11 @@ def recognise(ids: list[str], rules: list[tuple[str, list[str]]]) -> tuple[list[
 def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(doc_id, sentence_ids, licences, unmatched) of every text; arrays of strings."""
     table, rules = known(sentences or SENTENCES), rules or RULES
-    first = frozenset(s.split(" ", 1)[0] for s in table)
+    begins = beginnings(table)
 
     def run(columns: Iterator[dict]) -> Iterator[dict]:
         for c in columns:
-            ids = [identifiers(t or "", table, first) for t in c["text"]]
+            ids = [identifiers(t or "", table, begins) for t in c["text"]]
             got = [recognise(x, rules) if x else ([], []) for x in ids]
             yield {"doc_id": c["doc_id"], "sentence_ids": ids, "licences": [g[0] for g in got], "unmatched": [g[1] for g in got]}
 

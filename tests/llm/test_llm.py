@@ -267,6 +267,64 @@ def test_licences_behind_marks():
             assert licences.identifiers(mark + sentence, table, first) == want, (mark, sentence)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// ", "> "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licences_wrapped(lead, end):
+    table = licences.known(licences.SENTENCES)
+    begins = licences.beginnings(table)
+    want = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD.split("\n\n3.")[0]), ("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL), ("GPL-2.0-or-later", GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"))]
+    for name, text in want:
+        wrapped = end.join(lead + x for x in ["Copyright (c) 2020 A. Person", "", *text.split("\n"), "", "rest"])
+        assert licences.recognise(licences.identifiers(wrapped, table, begins), licences.RULES) == ([name], []), (name, lead)
+    # Beside lines without a full stop a notice is a sentence of its own.
+    assert licences.identifiers("a title\nReleased under the MIT License\nfree words\nAll rights reserved", table, begins) == ["mit-notice", "all-rights"]
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))

@@ -62,6 +62,29 @@ def kahn(ids: list[str], edges: list[tuple[str, str]], largest_first: bool = Fal
     return out + sorted(known - set(out))
 
 
+def kahn_numbered(n: int, sources: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The order of ``kahn`` for the ids 0 to n - 1 and distinct edges, in arrays: 12 bytes an edge."""
+    real = sources != targets
+    sources, targets = sources[real], targets[real]
+    users = sources[np.argsort(targets, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(targets, minlength=n))])
+    waits = np.bincount(sources, minlength=n)
+    heap = np.flatnonzero(waits == 0).tolist()
+    out, k = np.empty(n, dtype=np.int64), 0
+    while heap:
+        i = heapq.heappop(heap)
+        out[k] = i
+        k += 1
+        own = users[ends[i] : ends[i + 1]]
+        waits[own] -= 1
+        for s in own[waits[own] == 0].tolist():
+            heapq.heappush(heap, s)
+    left = np.ones(n, dtype=bool)
+    left[out[:k]] = False
+    out[k:] = np.flatnonzero(left)
+    return out
+
+
 def reconstruction_batches(ordered: DataFrame, size: int = 8, block: int = BLOCK) -> DataFrame:
     """(area, island, batch, n) from (pos, area): a batch ends where the area changes and at ``size``.
     A null area is an area.  Rows are numbered along the whole order and looked at in blocks that also

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators import analytics, evolve, lifting, planning, search, traverse
 from ..operators import graph as build
 from ..operators import hierarchy as tree
 from ..operators.order import numbered
+from ..session import cut
 from ..sources.extract import enclosing_scopes
 from ..streaming.sync import event_counts
 from . import export
@@ -555,12 +557,17 @@ def page_links(spark, sf):
 
 @query()
 def topo_exact(spark, sf):
-    """The exact order of one nation's customers' orders and what they use."""
+    """The exact order of all entities by all dependencies.  An order by a heap is one sequence: the
+    driver follows it over all edges, in numbers that stand for the ids in their order."""
     g = graph(spark, sf)
-    scope = g.entities.filter("kind = 'service' OR (kind = 'model' AND line_start < 50)")
-    ids = [r.id for r in scope.select("id").collect()]
-    links = [tuple(r) for r in g.edges.filter("kind = 'composes'").join(scope.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target").collect()]
-    return spark.createDataFrame(list(enumerate(planning.kahn(ids, links))), "pos long, id string")
+    ids = cut(numbered(g.entities.select("id").distinct(), ["id"]).select("pos", "id"))
+    links = g.edges.filter(f"kind IN {DEPS}").select("source", "target").distinct()
+    for end in ("source", "target"):
+        links = links.join(ids.select(F.col("id").alias(end), F.col("pos").alias(end[0])), end)
+    rows = links.select(F.col("s").cast("int"), F.col("t").cast("int")).toArrow()
+    order = planning.kahn_numbered(ids.count(), rows["s"].to_numpy(), rows["t"].to_numpy())
+    places = spark.createDataFrame(pa.table({"at": pa.array(range(len(order)), pa.int64()), "n": pa.array(order, pa.int64())}))
+    return places.join(ids, places.n == ids.pos).select(F.col("at").alias("pos"), "id")
 
 
 @query()

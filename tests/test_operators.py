@@ -314,3 +314,35 @@ def test_token_clones_of_copies(spark, threshold, top):
                 want.append((a, b, n, round(min(1.0, n / least), 3)))
     want = sorted(want, key=lambda r: (-r[3], r[0], r[1]))[:top]
     assert len(want) > 5 and [tuple(r) for r in got] == want
+
+
+def test_topo_exact_whole(spark):
+    """Over all entities and edges: at each place the smallest id whose targets are all before it."""
+    from conftest import SF
+
+    from codeatlas.plans import queries, tables
+
+    g = tables.graph(spark, SF)
+    ids = {r.id for r in g.entities.select("id").collect()}
+    waits = {i: set() for i in ids}
+    for r in g.edges.collect():
+        if r.source in ids and r.target in ids and r.source != r.target:
+            waits[r.source].add(r.target)
+    want, done = [], set()
+    while len(want) < len(ids):
+        want.append(min(i for i in ids - done if waits[i] <= done))
+        done.add(want[-1])
+    assert [r.id for r in queries.topo_exact(spark, SF).orderBy("pos").collect()] == want
+
+
+def test_kahn_numbered():
+    import random
+
+    import numpy as np
+
+    chance = random.Random(5)
+    for n in (1, 5, 30):
+        for m in (0, n, 3 * n):
+            links = sorted({(chance.randrange(n), chance.randrange(n)) for _ in range(m)})
+            ends = np.array(links, dtype=np.int32).reshape(-1, 2)
+            assert planning.kahn_numbered(n, ends[:, 0], ends[:, 1]).tolist() == planning.kahn(list(range(n)), links)

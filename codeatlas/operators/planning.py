@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -19,14 +20,14 @@ from .order import numbered
 BLOCK = 1 << 16
 
 
-def topological_levels(entities: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def topological_levels(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): an entity's level is one above the highest level it depends on; entities on or
-    behind cycles have level -1.  Level by level, for graphs of any size."""
+    behind cycles have level -1.  Level by level, until no entity is ready."""
     links = edges.filter(F.col("kind").isin(DEPENDENCY_KINDS)).select("source", "target").distinct().filter("source <> target")
     known = entities.select("id")
     links = cut(links.join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi"))
     left, done = known, None
-    for level in range(most):
+    for level in count():
         waits = links.select(F.col("source").alias("id")).distinct()
         ready = cut(left.join(waits, "id", "left_anti").withColumn("level", F.lit(level)))
         if not ready.limit(1).count():

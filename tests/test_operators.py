@@ -346,3 +346,12 @@ def test_kahn_numbered():
             links = sorted({(chance.randrange(n), chance.randrange(n)) for _ in range(m)})
             ends = np.array(links, dtype=np.int32).reshape(-1, 2)
             assert planning.kahn_numbered(n, ends[:, 0], ends[:, 1]).tolist() == planning.kahn(list(range(n)), links)
+
+
+def test_levels_of_a_long_chain(spark):
+    ids = [f"e{i:03d}" for i in range(105)] + ["x", "y"]
+    links = [(ids[i + 1], ids[i], "imports") for i in range(104)] + [("x", "y", "imports"), ("y", "x", "imports")]
+    entities = spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1)
+    edges = spark.createDataFrame(links, "source string, target string, kind string").coalesce(1)
+    got = {r.id: r.level for r in planning.topological_levels(entities, edges).collect()}
+    assert got == {f"e{i:03d}": i for i in range(105)} | {"x": -1, "y": -1}

@@ -11,13 +11,15 @@ signatures; a fingerprint keeps the least signature of each of ``BINS`` residue
 Defined results: null text is empty, its fingerprint is the empty string; two empty
 fingerprints have likeness 1, an empty and another 0.  ``fingerprint_neighbours`` orders rows
 by (doc_id, text), nulls first, so that repeated ids have a fixed order; the only row of a
-table is its own neighbour; an empty table gives an empty result; extra columns are ignored.
+table is its own neighbour; rows of one id share a range, so a task; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import map_columns
 from .hashing import U, mix
-from .order import id_ranges, partitions
+from .order import id_bounds, partitions, range_of
 
-BINS, LEVELS = 64, 12
+BINS = 64
 #: Code points parsed at once.
 CHUNK = 1 << 18
 _LOWEST = np.array([0, *((int(x) & -int(x)).bit_length() - 1 for x in range(1, 256))], dtype=np.uint8)
@@ -84,14 +86,14 @@ def _level(symbols: np.ndarray, starts: np.ndarray, level: int) -> tuple[np.ndar
     return mix(np.add.reduceat(coded, begins) + U(level)), np.searchsorted(begins, starts)
 
 
-def phrase_names(texts: list[str], levels: int = LEVELS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def phrase_names(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each level from 1: the names of all phrases, where each text's begin, and the
     numbers of those texts, which are the ones that had several names one level below."""
     some = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     symbols = np.frombuffer(b"".join(some), dtype=np.uint32).astype(U)
     starts = np.cumsum([0, *(len(s) // 4 for s in some[:-1])])
     which = np.arange(len(texts))
-    for level in range(1, levels + 1):
+    for level in count(1):  # until every text is one name: a level has at most half the names of the one below
         symbols, starts = _level(symbols, starts, level)
         yield symbols, starts, which
         if level > 1:
@@ -164,21 +166,19 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def _with_neighbours(docs: DataFrame) -> DataFrame:
     """Rows (bucket, own, doc_id, text) dealt by ranges of ids and sorted within them; at the
     end of a range stands a copy (own false) of the row that follows it, and after the last
-    range the first row.  Texts are moved once."""
+    range the first row.  Texts are moved once.  Which rows are copied is looked up in a broadcast table
+    of a row a range."""
     n = partitions(docs)
-    bucket = id_ranges(docs.select("doc_id"), "doc_id", n)
+    bucket = range_of(F.col("doc_id"), id_bounds(docs.select("doc_id"), "doc_id", n)).cast("int")
     heads = docs.select("doc_id", bucket.alias("b")).groupBy("b").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("null_first"))
     heads = sorted(heads.collect())  # a row for each range
-    before = {h.b: heads[i - 1].b for i, h in enumerate(heads)}
-    copy_to = F.lit(None).cast("int")
-    for h in heads:
-        is_head = F.col("doc_id").isNull() if h.null_first else F.col("doc_id") == h.head
-        copy_to = F.when(is_head, F.lit(before[h.b])).otherwise(copy_to)
-    own = F.struct(bucket.cast("int").alias("bucket"), F.lit(True).alias("own"))
-    copied = F.struct(copy_to.cast("int").alias("bucket"), F.lit(False).alias("own"))
-    places = F.when(copied.bucket.isNotNull(), F.array(own, copied)).otherwise(F.array(own))
-    dealt = docs.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.own", "doc_id", "text")
-    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), "doc_id", "text")
+    copies = [(None if h.null_first else h.head, heads[i - 1].b) for i, h in enumerate(heads)]
+    copies = F.broadcast(docs.sparkSession.createDataFrame(copies, "head long, copy_to int"))
+    own = F.struct(bucket.alias("bucket"), F.lit(True).alias("own"))
+    copied = F.struct(F.col("copy_to").alias("bucket"), F.lit(False).alias("own"))
+    places = F.when(F.col("copy_to").isNotNull(), F.array(own, copied)).otherwise(F.array(own))
+    dealt = docs.select("doc_id", "text").join(copies, F.col("doc_id").eqNullSafe(F.col("head")), "left").select("doc_id", "text", F.explode(places).alias("p"))
+    return dealt.select("p.bucket", "p.own", "doc_id", "text").repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), "doc_id", "text")
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:

@@ -7,17 +7,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def id_ranges(ids: DataFrame, key: str, n: int) -> Column:
-    """The number, 0 to n - 1, of the range that a row's id falls in; null ids are in the first.
-    The bounds are approximate quantiles: n - 1 numbers at the driver."""
+def id_bounds(ids: DataFrame, key: str, n: int) -> list[int]:
+    """At most n - 1 rising numbers that cut the ids into ranges, from approximate quantiles."""
     if n <= 1:
-        return F.lit(0)
+        return []
     bounds = ids.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0]
-    bounds = sorted(set(bounds or []))
+    return sorted(set(bounds or []))
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """The number, from 0, of the range that an id falls in: how many bounds it reaches, by binary search
+    over one constant array; null ids are in the first range."""
     if not bounds:
         return F.lit(0)
-    array = F.array(*(F.lit(b) for b in bounds))
-    return F.coalesce(F.size(F.filter(array, lambda b: b <= F.col(key))), F.lit(0))
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) <= key), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def partitions(df: DataFrame) -> int:

@@ -90,9 +90,12 @@ QUERIES = {
 }
 
 _HOST = "translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_TWO = "regexp_extract(host, '([^.]*\\.)?[^.]*$')"
-_THREE = "regexp_extract(host, '([^.]*\\.)?([^.]*\\.)?[^.]*$')"
-_LAST = "regexp_extract(host, '[^.]*$')"
+_BARE = "regexp_replace(host, '^.*@|:[0-9]*$|\\.(:[0-9]*)?$', '', 'g')"
+_LAST = "regexp_extract(name, '[^.]*$')"
+_TWO = "regexp_extract(name, '([^.]*\\.)?[^.]*$')"
+_THREE = "regexp_extract(name, '([^.]*\\.)?([^.]*\\.)?[^.]*$')"
+_FOUR = "regexp_extract(name, '([^.]*\\.)?([^.]*\\.)?([^.]*\\.)?[^.]*$')"
+_ADDRESS = "regexp_matches(name, '^([0-9]{1,3}\\.){3}[0-9]{1,3}$|^\\[')"
 _KNOWN = ", ".join(f"'{s}'" for s in reputation.SUFFIXES)
 
 
@@ -119,8 +122,9 @@ _UPPER = f"least(1.0, {_A} / ({_A} + {_B}) + {reputation.DEVIATIONS} * sqrt({_A}
 OP1_SQL = f"""
 WITH p AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 lab AS (SELECT host, quality * (1 - toxic) AS good FROM p JOIN labels ON doc_id = page_id WHERE quality * (1 - toxic) IS NOT NULL),
-named AS (SELECT host, CASE WHEN {_TWO} IN ({_KNOWN}) THEN {_TWO} ELSE {_LAST} END AS suffix FROM (SELECT DISTINCT host FROM p)),
-hosts0 AS (SELECT host, suffix, CASE WHEN contains(suffix, '.') THEN {_THREE} ELSE {_TWO} END AS domain FROM named),
+named AS (SELECT DISTINCT host, {_BARE} AS name FROM p),
+suffixed AS (SELECT host, name, CASE WHEN {_ADDRESS} THEN 'address' WHEN {_THREE} IN ({_KNOWN}) THEN {_THREE} WHEN {_TWO} IN ({_KNOWN}) THEN {_TWO} ELSE {_LAST} END AS suffix FROM named),
+hosts0 AS (SELECT host, suffix, CASE WHEN {_ADDRESS} THEN name ELSE CASE len(string_split(suffix, '.')) WHEN 1 THEN {_TWO} WHEN 2 THEN {_THREE} ELSE {_FOUR} END END AS domain FROM suffixed),
 counted AS (SELECT host, sum(good) AS k, count(good) AS n FROM lab GROUP BY host),
 hosts AS (SELECT h.*, coalesce(k, 0) AS k, coalesce(n, 0) AS n FROM hosts0 h LEFT JOIN counted USING (host)),
 domains AS (SELECT suffix, domain, sum(k) AS dk, sum(n) AS dn FROM hosts GROUP BY ALL),
@@ -131,8 +135,8 @@ suffixes2 AS (SELECT *, {_strength_sql("sk", "sn", "r", "suffixes_r")} AS s0 FRO
 suffixes3 AS (SELECT suffix, (sk + s0 * r) / (sn + s0) AS sp FROM suffixes2),
 domains_p AS (SELECT domains.*, sp FROM domains JOIN suffixes3 USING (suffix)),
 domains2 AS (SELECT *, {_strength_sql("dk", "dn", "sp", "domains_p")} AS s1 FROM domains_p),
-domains3 AS (SELECT domain, (dk + s1 * sp) / (dn + s1) AS dp FROM domains2),
-hosts_p AS (SELECT hosts.*, dp FROM hosts JOIN domains3 USING (domain)),
+domains3 AS (SELECT suffix, domain, (dk + s1 * sp) / (dn + s1) AS dp FROM domains2),
+hosts_p AS (SELECT hosts.*, dp FROM hosts JOIN domains3 USING (suffix, domain)),
 hosts2 AS (SELECT *, {_strength_sql("k", "n", "dp", "hosts_p")} AS s2 FROM hosts_p),
 hosts3 AS (SELECT host, {_A} / ({_A} + {_B}) AS rate, {_UPPER} AS upper FROM hosts2)
 SELECT page_id, host, path, {_rules_sql("text")} AS rule,

@@ -4,13 +4,19 @@ Pages with a known outcome (good or not) are counted by host, registered domain
 Each level's rate is a beta-binomial posterior whose prior is the level above: suffixes under
 the overall rate, domains under their suffix, hosts under their domain.  The prior's strength
 at each level is found by moments: the less the rates of a level vary beyond chance, the more
-a level trusts the one above.  A host is blocked if the upper posterior bound of its rate of
-good pages is under ``LEAST``; hand-written rules come first.
-
-Defined results: a null url, or one without ``://``, has empty host and path and the overall
-rate; hosts without labels have their domain's rate, and so on up; with no labels at all the
-rate is 1/2 under a prior of two pages.  Repeated pages are judged each, repeated outcomes
-counted each; null outcomes are no outcomes.  An empty table gives an empty result.
+a level trusts the one above.  A host is blocked if the upper bound of its posterior, its mean and
+``DEVIATIONS`` standard deviations (the normal approximation of the beta quantile), is under
+``LEAST``; hand-written rules come first.
+
+All hosts are counted once, in one pass over the pages, and stored; everything else is small.
+
+Defined results: a null url, or one without ``://``, has empty host and path and the empty
+domain's rate; hosts without labels have their domain's rate, and so on up; with no labels at all the
+rate is 1/2 under a prior of two pages.  A user name, a port and a last dot do not count for the domain;
+an address (IPv4 in four numbers, IPv6 in brackets) is its own domain under the suffix ``address``.
+Repeated pages are judged each, repeated outcomes counted each; null outcomes are no outcomes, and
+null page ids have none.  An empty table gives an empty result; extra columns are ignored by ``judge``
+and kept by ``allowed``.
 """
 
 from __future__ import annotations
@@ -20,12 +26,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stored, scratch
+
 #: Standard deviations of the bound, and the rate of good pages below which a host is blocked.
 DEVIATIONS, LEAST = 1.645, 0.5
 #: Bounds of a prior's strength in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
-#: Public suffixes of two labels that are known besides the last label (fixed values).
-SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in"]
+#: Public suffixes of two or three labels that are known besides the last label: common ones of the public
+#: suffix list (fixed values); callers with the whole list pass it.
+SUFFIXES = [
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "net.uk", "nhs.uk", "sch.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp",
+    "co.nz", "org.nz", "net.nz", "ac.nz", "govt.nz", "com.br", "net.br", "org.br", "gov.br", "edu.br", "co.in", "net.in", "org.in", "ac.in", "gov.in", "com.cn", "net.cn",
+    "org.cn", "edu.cn", "gov.cn", "com.tw", "org.tw", "edu.tw", "com.hk", "org.hk", "edu.hk", "com.sg", "edu.sg", "com.my", "co.kr", "or.kr", "ac.kr", "go.kr", "com.mx",
+    "org.mx", "com.ar", "org.ar", "com.co", "com.pe", "com.ve", "com.tr", "org.tr", "edu.tr", "gov.tr", "com.ua", "co.il", "org.il", "ac.il", "co.za", "org.za", "ac.za",
+    "com.eg", "com.sa", "com.pk", "com.bd", "com.vn", "co.th", "ac.th", "co.id", "ac.id", "com.ph", "com.pl", "org.pl", "com.pt", "com.es", "com.gr", "co.at", "or.at",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "azurewebsites.net",
+    "cloudfront.net", "s3.amazonaws.com", "readthedocs.io",
+]
+ADDRESS = "address"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,15 +69,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.coalesce(F.regexp_extract(url, after, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def bare(host: Column) -> Column:
+    """A host without user name, port and last dot."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.(:[0-9]*)?$", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[")
+
+
+def suffix_of(name: Column, suffixes: list[str]) -> Column:
+    """The longest known suffix of a bare host, else its last label."""
+    two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
+    return F.when(is_address(name), ADDRESS).when(three.isin(suffixes), three).when(two.isin(suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def domain_of(host: Column, suffix: Column) -> Column:
-    """The suffix and one label before it; a bare suffix is its own domain."""
-    three = F.substring_index(host, ".", -3)
-    return F.when(F.instr(suffix, ".") > 0, three).otherwise(F.substring_index(host, ".", -2))
+def domain_of(name: Column, suffix: Column) -> Column:
+    """The suffix and one label before it; a bare suffix is its own domain, and so is an address."""
+    labels = F.size(F.split(suffix, r"\.")) + 1
+    domain = F.when(labels == 2, F.substring_index(name, ".", -2)).when(labels == 3, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -4))
+    return F.when(is_address(name), name).otherwise(domain)
 
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -88,25 +117,23 @@ def _strength(rates: DataFrame, k: str, n: str, prior: str) -> float:
     return STRONGEST if beyond <= 0 else min(STRONGEST, max(WEAKEST, (row.whole - row.seen) / beyond))
 
 
-def reputations(labelled: DataFrame, deviations: float = DEVIATIONS) -> tuple[DataFrame, dict]:
-    """From (host, good 0 or 1): a row for each host with its posterior (suffix, domain, host,
-    rate, upper), and for hosts without labels the rates above: {"overall": (rate, strength), ...}."""
-    hosts = labelled.groupBy("host").agg(F.sum("good").alias("k"), F.count("good").alias("n"))
-    suffix = suffix_of(F.col("host"))
-    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+def reputations(counted: DataFrame, deviations: float = DEVIATIONS, suffixes: list[str] | None = None) -> DataFrame:
+    """(host, rate, upper) of every host of ``counted``, a stored table of a row a host (host, k good pages,
+    n pages with an outcome, 0 where there are none)."""
+    name = bare(F.col("host"))
+    hosts = counted.withColumn("suffix", suffix_of(name, suffixes or SUFFIXES)).withColumn("domain", domain_of(name, F.col("suffix")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("k").alias("dk"), F.sum("n").alias("dn"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dk").alias("sk"), F.sum("dn").alias("sn"))
-    whole = suffixes.agg(F.sum("sk").alias("k"), F.sum("sn").alias("n")).first()
+    above = domains.groupBy("suffix").agg(F.sum("dk").alias("sk"), F.sum("dn").alias("sn"))
+    whole = above.agg(F.sum("sk").alias("k"), F.sum("sn").alias("n")).first()
     rate = ((whole.k or 0) + 1) / ((whole.n or 0) + 2)
-    s0 = _strength(suffixes.withColumn("p", F.lit(rate)), "sk", "sn", "p")
-    suffixes = suffixes.withColumn("sp", (F.col("sk") + s0 * rate) / (F.col("sn") + s0))
-    domains = domains.join(suffixes.select("suffix", "sp"), "suffix")
+    s0 = _strength(above.withColumn("p", F.lit(rate)), "sk", "sn", "p")
+    above = above.select("suffix", ((F.col("sk") + s0 * rate) / (F.col("sn") + s0)).alias("sp"))
+    domains = domains.join(above, "suffix")
     s1 = _strength(domains, "dk", "dn", "sp")
-    domains = domains.withColumn("dp", (F.col("dk") + s1 * F.col("sp")) / (F.col("dn") + s1))
-    hosts = hosts.join(domains.select("domain", "dp"), "domain")
+    domains = domains.select("suffix", "domain", ((F.col("dk") + s1 * F.col("sp")) / (F.col("dn") + s1)).alias("dp"))
+    hosts = hosts.join(domains, ["suffix", "domain"])
     s2 = _strength(hosts, "k", "n", "dp")
-    hosts = hosts.select("host", *posterior(F.col("k"), F.col("n"), F.col("dp"), s2, deviations))
-    return hosts, {"rate": rate, "strengths": (s0, s1, s2), "suffixes": suffixes.select("suffix", "sp"), "domains": domains.select("domain", "dp")}
+    return hosts.select("host", *posterior(F.col("k"), F.col("n"), F.col("dp"), s2, deviations))
 
 
 def posterior(k: Column, n: Column, prior: Column, strength: float, deviations: float) -> tuple[Column, Column]:
@@ -116,24 +143,19 @@ def posterior(k: Column, n: Column, prior: Column, strength: float, deviations:
     return mean.alias("rate"), F.least(F.lit(1.0), mean + deviations * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))).alias("upper")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], least: float = LEAST, deviations: float = DEVIATIONS) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], least: float = LEAST, deviations: float = DEVIATIONS, suffixes: list[str] | None = None) -> DataFrame:
     """Every page of ``pages`` (page_id, url) with host, path, rule, verdict, rate and upper.
     ``outcomes`` has (page_id, good) with good 0, 1 or null."""
     host, path = host_and_path(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
-    labelled = pages.join(outcomes.select("page_id", "good").filter("good IS NOT NULL"), "page_id").select("host", "good")
-    hosts, above = reputations(labelled, deviations)
-    s2 = above["strengths"][2]
-    # Each host once: the pages then need a single join, and hosts without labels look upwards.
-    seen = pages.select("host").distinct().join(hosts, "host", "left")
-    seen = seen.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    seen = seen.join(above["domains"], "domain", "left").join(above["suffixes"], "suffix", "left")
-    prior = F.coalesce("dp", "sp", F.lit(above["rate"]))
-    none = posterior(F.lit(0.0), F.lit(0.0), prior, s2, deviations)
-    seen = seen.select("host", F.coalesce("rate", none[0]).alias("rate"), F.coalesce("upper", none[1]).alias("upper"))
+    known = outcomes.select("page_id", F.col("good").cast("double").alias("good")).filter("good IS NOT NULL")
+    counts = pages.select("page_id", "host").join(known, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("k"), F.count("good").alias("n"))
+    with scratch():
+        counted = Stored(counts, "hosts").df
+        hosts = Stored(reputations(counted, deviations, suffixes), "reputations").keep().df
     found = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("upper") < least, "block").otherwise("allow")
-    return pages.join(seen, "host").withColumn("found", found).select(
+    return pages.join(hosts, "host").withColumn("found", found).select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", method).alias("verdict"), F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper")
     )
 

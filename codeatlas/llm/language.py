@@ -9,9 +9,13 @@ A text is first tried as a single span: if no run of words gains more than one p
 the best single language, that span is Viterbi's answer, and only other texts run through
 it word by word.
 
+A language that does not use a word's script is no candidate for it: it loses ``EXCLUDED`` nats
+there, more than two switches and all a word can give, so no best path labels the word with it.
+
 A word is recognised if a learned language uses its script and the model scores the word
 itself or at least half of its n-grams.  The score of a text is the share of its letters that are in
-recognised words of the spans of its language; words without evidence follow their
+recognised words of the spans of its language, times the chance of that language by the sums of
+the words' scores, which are damped by ``DAMP`` as words are not independent; words without evidence follow their
 neighbours' span and lower the score.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and no
@@ -24,10 +28,11 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +44,10 @@ from .common import keep_rows, map_columns
 SAMPLE, NGRAMS, FREQUENT = 400, 40_000, 5_000
 #: Nats lost by a switch of language, most nats a word may give, and weight of n-grams.
 SWITCH, MOST, WEIGHT = 12.0, 6.0, 0.5
+#: Nats lost by a language that does not use a word's script, and the divisor of summed scores in chances.
+EXCLUDED, DAMP = 100.0, 4.0
+#: Bytes of text that training collects at most on average, and of a training text.
+SAMPLE_BYTES, LONGEST = 64 << 20, 1 << 20
 #: Least share of letters in the text's language for which the pipeline keeps a text.
 LEAST = 0.5
 #: Words whose scores a worker keeps.
@@ -54,12 +63,39 @@ SCRIPTS = [
     (0x20000, "han"),
 ]
 _FIRST = [a for a, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """A character class of all combining marks, from the Unicode tables."""
+    own = [i for i in range(0x300, 0x20000) if unicodedata.category(chr(i)) in ("Mn", "Mc")]
+    cut = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1] + 1), len(own)]
+    return "[" + "".join(f"{chr(own[a])}-{chr(own[b - 1])}" for a, b in pairwise(cut)) + "]"
+
+
+_MARK = re.compile(_marks())
+_MARKED = re.compile(rf"[^\W\d_](?:[^\W\d_]|{_MARK.pattern})*")
+
+
+def words_at(text: str) -> Iterator[re.Match]:
+    """Words: runs of letters, and of the combining marks after a letter."""
+    return (_MARKED if not text.isascii() and _MARK.search(text) else _LETTERS).finditer(text)
+
+
+def words_of(text: str) -> list[str]:
+    return (_MARKED if not text.isascii() and _MARK.search(text) else _LETTERS).findall(text.lower())
+
+
+def _script_at(c: str) -> str:
+    return SCRIPTS[bisect_right(_FIRST, ord(c)) - 1][1]
 
 
 def script(word: str) -> str:
-    """The script of a word's last letter."""
-    return SCRIPTS[bisect_right(_FIRST, ord(word[-1])) - 1][1]
+    """The script of most of a word's letters, of the first among equals."""
+    if word.isascii():
+        return "latin"
+    seen = Counter(_script_at(c) for c in word if c.isalpha())
+    return max(seen, key=seen.__getitem__) if seen else _script_at(word[-1])
 
 
 def any_letter(words: list[str]) -> bool:
@@ -77,20 +113,24 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> dict:
-    """A model from at most about ``sample`` documents a language, chosen by a hash of their
-    ids.  Whole texts of the sample are counted; ``docs`` holds training rows only."""
+    """A model from at most about ``sample`` documents and SAMPLE_BYTES of text, chosen by a hash of their
+    ids; texts longer than LONGEST are not in the sample.  Whole texts of the sample are counted;
+    ``docs`` holds training rows only."""
     some = docs.filter(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in some.groupBy(label).count().collect()}
+    long_ = F.octet_length(F.coalesce("text", F.lit(""))) > LONGEST
+    size = F.sum(F.when(long_, 0).otherwise(F.octet_length(F.coalesce("text", F.lit(""))))).alias("b")
+    seen = some.groupBy(label).agg(F.count(F.lit(1)).alias("n"), size).collect()  # a row a language
+    counts, sizes = {r[0]: r.n for r in seen}, {r[0]: r.b for r in seen}
     if not counts:
         return {"langs": [], "grams": {}, "words": {}, "scripts": {}, "first": None}
-    chosen = F.lit(False)
+    chosen, some = F.lit(False), some.filter(~long_)
     for lang, n in counts.items():
-        share = min(1.0, sample / n)
+        share = min(1.0, sample / n, SAMPLE_BYTES / len(counts) / max(sizes[lang], 1))
         chosen = chosen | ((F.col(label) == lang) & (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
     langs = sorted(counts)
     words: dict[str, Counter] = {x: Counter() for x in langs}
     for lang, text in some.filter(chosen).select(label, "text").limit(2 * sample * len(langs)).collect():
-        words[lang].update(_WORD.findall((text or "").lower()))
+        words[lang].update(words_of(text or ""))
     n_grams: dict[str, Counter] = {x: Counter() for x in langs}
     scripts: dict[str, set[str]] = {}
     for lang, own in words.items():
@@ -155,8 +195,9 @@ class Scorer:
             if mask is None:
                 scores[at] = 0
             elif not mask.all():
-                scores[np.ix_(at, np.flatnonzero(~mask))] = -1e9
-        scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -MOST)
+                scores[np.ix_(at, np.flatnonzero(~mask))] = -np.inf
+        scores -= scores.max(axis=1, keepdims=True)
+        scores = np.where(np.isneginf(scores), -EXCLUDED, np.maximum(scores, -MOST))
         base = len(self.cache)
         letters = np.array([sum(map(str.isalpha, w)) for w in words], dtype=np.int64)
         own = letters * np.array([x and s in self.masks for x, s in zip(seen, scripts, strict=True)])
@@ -183,18 +224,25 @@ class Scorer:
         return self.spans(texts, self.rows(texts))
 
     def recognise(self, texts: list[list[str]]) -> list[tuple[list[tuple[int, int, int]], int, float]]:
-        """For each text with a letter: its spans, its language, and the share of its letters that are
-        in recognised words of that language's spans."""
+        """For each text with a letter: its spans, its language, and its score: the share of its letters that are
+        in recognised words of that language's spans, times the language's chance."""
         rows = self.rows(texts)
         sums = np.zeros((len(rows) + 1, 2), dtype=np.int64)
         np.cumsum(self.letters[rows], axis=0, out=sums[1:])
+        starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
+        weighed = np.where(self.letters[rows, 1:] > 0, self.scores[rows], 0).astype(np.float64)
+        total = np.add.reduceat(weighed, starts, axis=0) / DAMP if len(rows) else np.zeros((0, len(self.langs)))
+        chances = np.exp(total - total.max(axis=1, keepdims=True))
+        chances /= chances.sum(axis=1, keepdims=True)
         out, at = [], 0
-        for text, found in zip(texts, self.spans(texts, rows), strict=True):
+        for k, (text, found) in enumerate(zip(texts, self.spans(texts, rows), strict=True)):
             own = [0] * len(self.langs)
             for lang, lo, hi in found:
                 own[lang] += int(sums[at + hi, 1] - sums[at + lo, 1])
             most = max(own)
-            out.append((found, own.index(most) if most else self.first, most / int(sums[at + len(text), 0] - sums[at, 0])))
+            lang, letters = own.index(most) if most else self.first, int(sums[at + len(text), 0] - sums[at, 0])
+            mixed = len({x for x, _, _ in found}) > 1  # spans of several languages each have their own words
+            out.append((found, lang, most / letters * (1.0 if mixed else float(chances[k, lang]))))
             at += len(text)
         return out
 
@@ -209,7 +257,7 @@ class Scorer:
         rest[np.arange(len(rest)), per_word] = -np.inf
         gain = rest.max(axis=1) - own if scores.shape[1] > 1 else np.full(len(own), -1.0)
         # Sums from each text's start, lowered from text to text so that the running least starts anew.
-        drop = np.repeat(np.arange(len(texts)) * 2.0 * MOST * (sizes.max() + 1), sizes)
+        drop = np.repeat(np.arange(len(texts)) * 2.0 * EXCLUDED * (sizes.max() + 1), sizes)
         total = np.cumsum(gain)
         before = total - gain
         origin = np.repeat(before[starts], sizes)
@@ -263,8 +311,7 @@ def _at_once(ids: list, texts: list, chars: int = 1 << 20) -> Iterator[tuple[lis
 
 def identify(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
     """(doc_id, lang_pred, score) of every text, and with ``spans`` its spans: (lang, first
-    and end character).  The score is the share of letters in recognised words of spans of
-    ``lang_pred``."""
+    and end character)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double"
     if spans:
@@ -274,13 +321,13 @@ def identify(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
         own = Scorer(shared.value) if shared.value["langs"] else None
         for c in columns:
             for ids, texts in _at_once(c["doc_id"], c["text"]):
-                split = [_WORD.findall(t.lower()) for t in texts]
+                split = [words_of(t) for t in texts]
                 some = [k for k, w in enumerate(split) if any_letter(w)] if own else []
                 pred, score, out = ["und"] * len(ids), [0.0] * len(ids), [[] for _ in ids]
                 for k, (found, top, share) in zip(some, own.recognise([split[k] for k in some]) if some else [], strict=True):
                     pred[k], score[k] = own.langs[top], share
                     if spans:
-                        at = [m.span() for m in _WORD.finditer(texts[k])]
+                        at = [m.span() for m in words_at(texts[k])]
                         if len(at) == len(split[k]):  # else lower-casing changed the words' number: one span
                             out[k] = [(own.langs[lang], at[lo][0], at[hi - 1][1]) for lang, lo, hi in found]
                         else:
@@ -302,16 +349,18 @@ def predict_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose language was recognised with a share of at least ``least``:
-    evenly mixed texts, texts in other scripts and texts without evidence go.  The decision is made beside the row's text, so that no join is needed."""
+    """The rows of ``docs`` whose language was recognised with a score of at least ``least``:
+    evenly mixed texts, texts in other scripts and texts without evidence go.  The decision is made
+    beside the row's text, so that no join is needed."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
     def decide(texts: list) -> list[bool]:
         own = decide.__dict__.get("own")
         if own is None:
             own = decide.__dict__["own"] = Scorer(shared.value) if shared.value["langs"] else False
         out = [False] * len(texts)
         if own:
-            split = [_WORD.findall((t or "").lower()) for t in texts]
+            split = [words_of(t or "") for t in texts]
             some = [k for k, w in enumerate(split) if any_letter(w)]
             for k, (_, _, share) in zip(some, own.recognise([split[k] for k in some]) if some else [], strict=True):
                 out[k] = share >= least

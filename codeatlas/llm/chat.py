@@ -12,8 +12,8 @@ control string is left, and reading takes it off again; in roles ``%``, newlines
 written as ``%25``, ``%0A``, ``%3C``.  ``loss_spans`` are the character ranges of the assistant's texts.
 
 Defined results: null texts and roles are empty; a message whose parent is null or does not
-exist is a root; equal (tree, node) rows are taken once; ties of score go to the smaller
-leaf; messages without a tree id belong to no conversation; a cycle has no root and gives no path; an empty table gives an empty result; extra
+exist is a root; of rows of one (tree, node) the least by (parent, role, text, score) is taken; ties of
+score go to the smaller leaf; messages without a tree id belong to no conversation; a cycle has no root and gives no path; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, scratch
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -52,60 +52,69 @@ def chains(turns: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """The least row of each (tree, node), the same wherever it is asked for."""
+    least = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    return messages.groupBy("tree", "node").agg(least).select("tree", "node", "m.parent", "m.role", "m.text", "m.score")
+
+
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, leaf, node, depth) of the messages on the ``best`` highest branches of each tree."""
-    links = messages.groupBy("tree", "node").agg(F.first(F.struct("parent", "score")).alias("m")).select("tree", "node", "m.parent", F.coalesce("m.score", F.lit(0.0)).alias("score"))
+    """(tree, leaf, node, depth) of the messages on the ``best`` highest branches of each tree;
+    ``messages`` has a row a (tree, node), as ``once`` gives."""
+    with scratch():
+        return _paths(messages, best).keep().df
+
+
+def _paths(messages: DataFrame, best: int) -> Stored:
+    links = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     links = links.join(known, ["tree", "parent"], "left")
     links = Stored(links.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).alias("steps")), "links").df
     most = links.count()
-    jumps = [links]  # jumps[i]: the message 2^i above, and the scores and number of those passed
-    while jumps[-1].filter("up IS NOT NULL").limit(1).count():
+    rooted = links.filter("up IS NULL")  # messages that have met their root, with the sum of scores and the number from it
+    jumps = [links.filter("up IS NOT NULL")]  # jumps[i]: of the others, the message 2^i above
+    while jumps[-1].limit(1).count():
         now = jumps[-1]
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        # Messages that have met their root are done: only the others are joined again.
-        joined = now.filter("up IS NOT NULL").join(above, ["tree", "up"])
+        above = now.unionByName(rooted).select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        joined = now.join(above, ["tree", "up"])
         joined = joined.select("tree", "node", F.col("further").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("steps") + F.col("steps2")).alias("steps"))
-        jumps.append(Stored(now.filter("up IS NULL").unionByName(joined), "jumps").df)
+        joined = Stored(joined, "jumps").df
+        rooted = rooted.unionByName(joined.filter("up IS NULL"))
+        jumps.append(joined.filter("up IS NOT NULL"))
         if 1 << (len(jumps) - 1) > most:
             break  # longer than all messages together: what is left are cycles
-    rooted = jumps[-1].filter("up IS NULL").select("tree", "node", "sum", "steps")
-    replied = links.filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = rooted.join(replied, ["tree", "node"], "left_anti")
-    # The best branches by partial sorting before the shuffle: a tree's leaves never meet in one task.
+    replied = jumps[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = rooted.select("tree", "node", "sum", "steps").join(replied, ["tree", "node"], "left_anti")
     branch = F.struct((-F.col("sum") / F.col("steps")).alias("s"), "node", "steps")
     if best == 1:
         chosen = leaves.groupBy("tree").agg(F.min(branch).alias("b")).select("tree", "b.node", "b.steps")
     else:
+        # Spark limits each group to ``best`` rows a task before the shuffle: a tree's leaves never meet in one task.
         rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("sum") / F.col("steps")).desc(), "node"))
         chosen = leaves.withColumn("r", rank).filter(F.col("r") <= best).select("tree", "node", "steps")
-    out = chosen.select("tree", F.col("node").alias("leaf"), "node", F.col("steps").alias("depth"))
+    out = Stored(chosen.select("tree", F.col("node").alias("leaf"), "node", F.col("steps").alias("depth")), "paths")
     for i, jump in enumerate(jumps[:-1]):
-        up = jump.filter("up IS NOT NULL").select("tree", "node", "up")
-        further = out.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << i)).alias("depth"))
-        out = Stored(out.unionByName(further), "paths").df
+        up = jump.select("tree", "node", "up")
+        further = out.df.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << i)).alias("depth"))
+        out = Stored(out.df.unionByName(further), "paths")
     return out
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(tree, leaf, formatted, loss_spans): a conversation for each path."""
-    once = messages.groupBy("tree", "node").agg(F.first(F.struct("role", "text")).alias("m"))
-    rows = chosen.join(once, ["tree", "node"])
-    role, text = F.coalesce("m.role", F.lit("")), escape(F.coalesce("m.text", F.lit("")))
+    """(tree, leaf, formatted, loss_spans): a conversation for each path; ``messages`` has a row a
+    (tree, node).  A turn's start is a running sum of its path's lengths."""
+    rows = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     rows = rows.select("tree", "leaf", "depth", (role == "assistant").alias("loss"), head.alias("head"), text.alias("body"))
-    turns = F.sort_array(F.collect_list(F.struct("depth", "loss", "head", "body")))
-    rows = rows.groupBy("tree", "leaf").agg(turns.alias("turns"))
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(END))), "")
-    # Each turn's end, as running sums of lengths, and from them the spans of the assistant's texts.
-    sizes = F.transform("turns", lambda t: (F.length(t.head) + F.length(t.body) + F.lit(len(END))).cast("long"))
-    begins = F.transform("sizes", lambda s, i: F.aggregate(F.slice("sizes", 1, i), F.lit(0).cast("long"), lambda a, b: a + b))
-    span = F.zip_with(
-        "turns", "begins", lambda t, b: F.struct(t.loss.alias("loss"), (b + F.length(t["head"])).alias("start"), (b + F.length(t["head"]) + F.length(t["body"])).alias("stop"))
-    )
-    spans = F.transform(F.filter(span, lambda s: s.loss), lambda s: F.struct(s.start, s.stop))
-    rows = rows.withColumn("sizes", sizes).withColumn("begins", begins)
-    return rows.select("tree", "leaf", formatted.alias("formatted"), spans.alias("loss_spans"))
+    size = (F.length("head") + F.length("body") + F.lit(len(END))).cast("long")
+    path = Window.partitionBy("tree", "leaf").orderBy("depth")
+    start = F.sum(size).over(path.rowsBetween(Window.unboundedPreceding, 0)) - F.length("body") - F.lit(len(END))
+    rows = rows.withColumn("start", start)
+    span = F.when(F.col("loss"), F.struct(F.col("start"), (F.col("start") + F.length("body")).alias("stop")))
+    turns = F.sort_array(F.collect_list(F.struct("depth", F.concat("head", "body", F.lit(END)).alias("turn"))))
+    out = rows.groupBy("tree", "leaf").agg(turns.alias("turns"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
+    return out.select("tree", "leaf", F.array_join(F.transform("turns", lambda t: t.turn), "").alias("formatted"), "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:

@@ -6,30 +6,36 @@ from long to short by rolling hashes of windows of unmarked words, the longest a
 first, and no word is marked twice.  The share of the item's words under tiles is its
 coverage, so that a passage whose sentences were moved around is covered all the same.
 
-Items whose seeds fit into ``SEEDS`` rows are sent to the workers, and a document is tiled
-where it is read; more items are joined with the documents' seeds by a shuffle.
+Items of at most ``SEEDS`` words and ``SEED_BYTES`` bytes are sent to the workers, and a document is
+tiled where it is read; more items are joined with the documents' seeds by a shuffle.  There, texts
+stand for rows by their digests, so that both ways judge each row by its own text and give the same
+rows.  For a coverage c, a document must hold a fifth of c of an item's seeds: as many of the item's
+most common seeds are therefore not needed to find it, and common wording makes few candidates.
 
 Defined results: null or empty texts, and items of fewer than ``SEED`` words that a document
 does not contain whole, match nothing; an item shorter than ``SEED`` words has one seed, all
-its words.  Repeated items and rows are matched each.  Null ids are kept as they are.  Empty
-tables give no matches; extra columns are ignored by ``matches`` and kept by ``decontaminate``.
+its words.  Repeated items and rows are matched each, whatever their ids, and null ids are carried like
+others: a row goes if its own text is contaminated, and only then.  Empty tables give no matches;
+extra columns are ignored by ``matches`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, by_ids, keep_rows, map_columns
+from .common import Stored, by_ids, keep_rows, map_columns, scratch
 
 #: Shortest tile in words, coverage from which a document counts as contaminated, and the
 #: bound of the seeds that are sent to every worker.
 SEED, COVERAGE, SEEDS = 5, 0.5, 1_000_000
+#: The same bound in bytes of the items' texts.
+SEED_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W_]+")
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
 
@@ -163,76 +169,105 @@ class Items:
         return sorted(out, key=lambda x: (x[0] is None, x[0], x[1]))
 
 
-def _seed_count(items: DataFrame) -> int:
+def _fits(items: DataFrame, most: int) -> bool:
+    """Whether the items are small enough to be sent to every worker."""
     words = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return items.agg(F.sum(F.greatest(words, F.lit(1)))).first()[0] or 0
+    row = items.agg(F.sum(F.greatest(words, F.lit(1))).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    return (row.n or 0) <= most and (row.b or 0) <= SEED_BYTES
 
 
-MATCHES = "doc_id long, item_id long, coverage double, tiles long, longest long"
+_TILES = "coverage double, tiles long, longest long"
+MATCHES = f"doc_id long, item_id long, {_TILES}"
 
 
-def matches(docs: DataFrame, items: DataFrame, seed: int = SEED, most: int = SEEDS) -> DataFrame:
-    """(doc_id, item_id, coverage, tiles, longest) of every document and item that share a tile."""
+def matches(docs: DataFrame, items: DataFrame, seed: int = SEED, most: int = SEEDS, coverage: float = 0.0) -> DataFrame:
+    """(doc_id, item_id, coverage, tiles, longest) of every document and item that share a tile, with
+    at least ``coverage``."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    if _seed_count(items) > most:
-        return _joined(docs, items, seed)
+    if not _fits(items, most):
+        with scratch():
+            found = _joined(docs, items, seed, coverage)
+            digested = Stored(docs.select("doc_id", _digest().alias("doc")), "digests").df
+            # A text's rows times its matches are the result's own rows.
+            rows = digested.join(found, "doc").join(items.select("item_id", _digest().alias("item")), "item")
+            return Stored(rows.select("doc_id", "item_id", "coverage", "tiles", "longest"), "matches").keep().df
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # at most ``most`` words
 
     def run(columns: Iterator[dict]) -> Iterator[dict]:
         own = Items(shared.value, seed)
         for c in columns:
-            rows = [(d, *m) for d, t in zip(c["doc_id"], c["text"], strict=True) for m in own.matches(t)]
+            rows = [(d, *m) for d, t in zip(c["doc_id"], c["text"], strict=True) for m in own.matches(t) if m[1] >= coverage]
             yield dict(zip(("doc_id", "item_id", "coverage", "tiles", "longest"), map(list, zip(*rows, strict=True)) if rows else ([] for _ in range(5)), strict=True))
 
     return map_columns(docs, run, MATCHES)
 
 
-def _joined(docs: DataFrame, items: DataFrame, seed: int) -> DataFrame:
-    """The same for any number of items: both sides' seeds are shuffled by their hash, and the
-    texts of the pairs found are brought together."""
+def _digest() -> F.Column:
+    """What stands for a text: equal texts, and null and empty ones, have the same."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
-    def seeds_of(key: str, shortened: bool):
-        def run(columns: Iterator[dict]) -> Iterator[dict]:
-            for c in columns:
-                ids, seeds = [], []
-                for i, t in zip(c[key], c["text"], strict=True):
-                    words = words_of(t)
-                    sizes = [min(seed, len(words))] if shortened else range(1, seed + 1)
-                    own = {" ".join(words[k : k + n]) for n in sizes if n for k in range(len(words) - n + 1)}
-                    ids += [i] * len(own)
-                    seeds += own
-                yield {key: ids, "seed": seeds}
 
-        return run
+def _seeds_of(seed: int, sizes: list[int] | None):
+    """Rows (own, seed, places) from (own, text): the text's distinct seeds of the given sizes, or those of an
+    item, and how often it has each."""
 
-    of_items = map_columns(items, seeds_of("item_id", True), "item_id long, seed string")
-    sizes = [r[0] for r in of_items.select(F.size(F.split("seed", " ")).alias("n")).distinct().collect()]  # at most ``seed`` numbers
-    of_docs = map_columns(docs, seeds_of("doc_id", False), "doc_id long, seed string").filter(F.size(F.split("seed", " ")).isin(sizes))
-    pairs = of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct()
-    pairs = Stored(pairs, "pairs").df
-    pairs = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id")
+    def run(columns: Iterator[dict]) -> Iterator[dict]:
+        for c in columns:
+            ids, seeds, places = [], [], []
+            for i, t in zip(c["own"], c["text"], strict=True):
+                words = words_of(t)
+                own = Counter(" ".join(words[k : k + n]) for n in (sizes or [min(seed, len(words))]) if n for k in range(len(words) - n + 1))
+                ids += [i] * len(own)
+                seeds += own.keys()
+                places += own.values()
+            yield {"own": ids, "seed": seeds, "places": places}
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, seed: int, coverage: float) -> DataFrame:
+    """(doc, item, coverage, tiles, longest) of the digests of texts that match, for any number of items:
+    both sides' seeds are shuffled, and the texts of the pairs found are brought together."""
+    schema = "own string, seed string, places long"
+    doc_texts, item_texts = (Stored(x.filter("text IS NOT NULL").groupBy(_digest().alias("own")).agg(F.first("text").alias("text")), "texts").df for x in (docs, items))
+    of_items = Stored(map_columns(item_texts, _seeds_of(seed, None), schema), "item-seeds").df
+    length = F.size(F.split("seed", " "))
+    sizes = sorted(r[0] for r in of_items.select(length.alias("n")).distinct().collect())  # at most ``seed`` numbers
+    of_docs = Stored(map_columns(doc_texts, _seeds_of(seed, sizes), schema).select(F.col("own").alias("doc"), "seed"), "doc-seeds").df
+    # An item's seeds from rare to common; those that only come after enough others are not looked for.
+    often = of_docs.join(of_items.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    ranked = of_items.join(often, "seed").select(F.col("own").alias("item"), "seed", "places", "n")
+    by_item = Window.partitionBy("item")
+    words = F.sum("places").over(Window.partitionBy("own")) + length - 1  # of the item
+    need = F.greatest(F.lit(1), F.ceil(words * coverage / seed - 1e-9))
+    needed = of_items.select(F.col("own").alias("item"), "seed", need.alias("need"))
+    commoner = F.coalesce(F.sum("places").over(by_item.orderBy(F.desc("n"), "seed").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    asked = ranked.join(needed, ["item", "seed"]).withColumn("commoner", commoner).filter("commoner >= need").select("item", "seed")
+    pairs = Stored(of_docs.join(asked, "seed").select("doc", "item").distinct(), "pairs").df
+    pairs = pairs.join(item_texts.select(F.col("own").alias("item"), F.col("text").alias("item_text")), "item").join(doc_texts.withColumnRenamed("own", "doc"), "doc")
 
     def run(columns: Iterator[dict]) -> Iterator[dict]:
         for c in columns:
             rows = []
-            for d, i, item, text in zip(c["doc_id"], c["item_id"], c["item"], c["text"], strict=True):
-                rows += [(d, *m) for m in Items([(i, item)], seed).matches(text)]
-            yield dict(zip(("doc_id", "item_id", "coverage", "tiles", "longest"), map(list, zip(*rows, strict=True)) if rows else ([] for _ in range(5)), strict=True))
+            for d, i, item, text in zip(c["doc"], c["item"], c["item_text"], c["text"], strict=True):
+                rows += [(d, *m) for m in Items([(i, item)], seed).matches(text) if m[1] >= coverage]
+            yield dict(zip(("doc", "item", "coverage", "tiles", "longest"), map(list, zip(*rows, strict=True)) if rows else ([] for _ in range(5)), strict=True))
 
-    return map_columns(pairs.select("doc_id", "item_id", "item", "text"), run, MATCHES)
+    return Stored(map_columns(pairs.select("doc", "item", "item_text", "text"), run, f"doc string, item string, {_TILES}"), "tiled").df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The matches whose coverage reaches the threshold."""
-    return matches(docs, items).filter(F.col("coverage") >= coverage)
+    return matches(docs, items, coverage=coverage)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, most: int = SEEDS) -> DataFrame:
-    """The rows of ``docs`` without those that cover an item to the threshold."""
+    """The rows of ``docs`` without those whose text covers an item to the threshold."""
     items = items.select("item_id", "text")
-    if _seed_count(items) > most:
-        gone = Stored(contaminated(docs, items, coverage).select("doc_id").distinct(), "leaks").df
-        return by_ids(docs, gone, "doc_id", "left_anti")
+    if not _fits(items, most):
+        with scratch():
+            gone = Stored(_joined(docs.select("text"), items, SEED, coverage).select(F.col("doc").alias("_digest")).distinct(), "leaks").keep().df
+        return by_ids(docs.withColumn("_digest", _digest()), gone, "_digest", "left_anti").select(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
     def decide(texts: list) -> list[bool]:

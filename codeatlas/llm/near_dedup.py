@@ -10,10 +10,14 @@ Candidates come in two steps, so that a bucket of n documents never gives n^2 ro
 each document meets one document, the busiest of its buckets (that in most buckets), which
 joins families of copies into components.  Then only buckets that still hold several
 components count, and only pairs across components.  Such a bucket of at most ``SMALL``
-documents gives its pairs as rows.  A larger one is cut into blocks of about ``BLOCK`` shingles;
-a task holds two blocks, compares their signatures and sets in place, and returns the links
-that join components, at most one a document.  No candidate is dropped: at the end two
-documents that share a bucket are in one component, or were compared.
+documents gives its pairs as rows.  A larger one is cut into blocks of ``BLOCK`` documents; a task
+holds the ids and signatures of two blocks and returns the documents that have a partner the
+posterior does not rule out; only these are met again with their sets, in blocks of about ``SHINGLES``
+shingles, and a task returns the links that join components, at most one a document.  No candidate
+is dropped: at the end two documents that share a bucket are in one component, or were compared.
+Comparisons of signatures are quadratic in a bucket's documents of different components, never rows.
+
+Buckets and hubs that hold many documents are looked up by broadcast (``common.look_up``).
 
 Defined results: null or empty texts and texts without words have an empty set, link with
 nothing and are kept.  Fewer than five words are one shingle.  Rows with a null id link
@@ -29,11 +33,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Stored, by_ids, components, map_columns
+from .common import Stored, by_ids, components, hot_keys, look_up, map_columns, scratch
 from .hashing import U, mix, shingle_sets
 
 WORDS, SIMILARITY = 5, 0.75
@@ -41,8 +45,8 @@ WORDS, SIMILARITY = 5, 0.75
 BANDS, ROWS = 32, 4
 #: Signature values compared at once, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 16, 1e-7
-#: Documents of a bucket whose pairs are rows, and shingles of a block of larger buckets.
-SMALL, BLOCK = 64, 1 << 18
+#: Documents of a bucket whose pairs are rows, and documents and shingles of a block of larger buckets.
+SMALL, BLOCK, SHINGLES = 64, 1 << 11, 1 << 20
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -156,6 +160,40 @@ def _reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both)
 
 
+def _partners(i: int, among: np.ndarray, sigs: np.ndarray, band: int, rows: int, batch: int, least: list[int]) -> np.ndarray:
+    """Of the rows ``among``, those that share no earlier band with row ``i`` and that no batch of signature values rules out."""
+    if band and len(among):
+        before = (sigs[among, : band * rows] == sigs[i, : band * rows]).reshape(len(among), band, rows).all(axis=2).any(axis=1)
+        among = among[~before]
+    equal = np.zeros(len(among), dtype=np.int64)
+    for k, m in enumerate(least):
+        cut = slice(k * batch, (k + 1) * batch)
+        equal += (sigs[among, cut] == sigs[i, cut]).sum(axis=1)
+        stays = equal >= m
+        among, equal = among[stays], equal[stays]
+    return among
+
+
+def _others(i: int, part: np.ndarray, block: np.ndarray, size: np.ndarray, two: bool, percent: int) -> np.ndarray:
+    """Later rows in another component, and in the other of two blocks, whose sizes allow the similarity."""
+    rest = np.arange(i + 1, len(part))
+    rest = rest[(part[rest] != part[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+    return rest[block[rest] != block[i]] if two else rest
+
+
+def likely(parts: list[int], blocks: list[int], sizes: list[int], sigs: np.ndarray, band: int, rows: int, similarity: float, batch: int, miss: float) -> np.ndarray:
+    """Which documents of a bucket have a partner by their signatures."""
+    least, percent = least_matches(sigs.shape[1], batch, similarity, miss), round(similarity * 100)
+    part, block, size, two = np.array(parts), np.array(blocks), np.array(sizes), len(set(blocks)) > 1
+    out = np.zeros(len(parts), dtype=bool)
+    for i in range(len(parts) - 1):
+        found = _partners(i, _others(i, part, block, size, two, percent), sigs, band, rows, batch, least)
+        if len(found):
+            out[i] = True
+            out[found] = True
+    return out
+
+
 def join_block(ids: list[int], parts: list[int], blocks: list[int], sigs: np.ndarray, sets: list[np.ndarray], band: int, rows: int, similarity: float, batch: int, miss: float) -> list[tuple[int, int]]:
     """Links that join the components ``parts`` of documents that share band ``band``: pairs of
     the two blocks, or of the only one, that no earlier band has, by posterior and full sets."""
@@ -172,20 +210,7 @@ def join_block(ids: list[int], parts: list[int], blocks: list[int], sigs: np.nda
     size = np.array([len(s) for s in sets])
     out = []
     for i in range(len(ids) - 1):
-        rest = np.arange(i + 1, len(ids))
-        rest = rest[(part[rest] != part[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
-        if two:
-            rest = rest[block[rest] != block[i]]
-        if band and len(rest):
-            before = (sigs[rest, : band * rows] == sigs[i, : band * rows]).reshape(len(rest), band, rows).all(axis=2).any(axis=1)
-            rest = rest[~before]
-        equal = np.zeros(len(rest), dtype=np.int64)
-        for k, m in enumerate(least):
-            cut = slice(k * batch, (k + 1) * batch)
-            equal += (sigs[rest, cut] == sigs[i, cut]).sum(axis=1)
-            stays = equal >= m
-            rest, equal = rest[stays], equal[stays]
-        for j in rest.tolist():
+        for j in _partners(i, _others(i, part, block, size, two, percent), sigs, band, rows, batch, least).tolist():
             x, y = find(parts[i]), find(parts[j])
             if x != y and _reaches(sets[i], sets[j], percent):
                 root[max(x, y)] = min(x, y)
@@ -193,26 +218,46 @@ def join_block(ids: list[int], parts: list[int], blocks: list[int], sigs: np.nda
     return out
 
 
+def _in_pairs(members: DataFrame, count: Column) -> DataFrame:
+    """``members`` (key, band, d, n, c) dealt into ``count`` blocks a key, a row for each pair of blocks."""
+    dealt = members.withColumn("blocks", F.greatest(count, F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return dealt.select("key", "band", "d", "n", "c", "block", F.explode(pairs).alias("p")).select("key", "band", "d", "n", "c", "block", "p.i", "p.j")
+
+
 def _in_blocks(apart: DataFrame, own_sig: DataFrame, own_set: DataFrame, rows: int, similarity: float, miss: float) -> DataFrame:
-    """Links across components of large buckets (key, band, d, n, c, size, shingles)."""
+    """Links across components of large buckets (key, band, d, n, c, size)."""
     ship(apart.sparkSession)
-    count = F.greatest(F.ceil(F.col("total") / BLOCK), F.lit(1)).cast("int")
-    dealt = apart.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = dealt.select("key", "band", "d", "c", "block", F.explode(pairs).alias("p")).select("key", "band", "d", "c", "block", "p.i", "p.j")
-    dealt = dealt.join(own_sig.withColumnRenamed("doc_id", "d"), "d").join(own_set.withColumnRenamed("doc_id", "d"), "d")
+    sig = own_sig.withColumnRenamed("doc_id", "d")
+
+    def signs(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(t.num_rows, -1)
 
-    def run(t: pa.Table) -> pa.Table:
-        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(t.num_rows, -1)
+    def keep(t: pa.Table) -> pa.Table:
+        some = likely(t["c"].to_pylist(), t["block"].to_pylist(), t["n"].to_pylist(), signs(t), t["band"][0].as_py(), rows, similarity, BATCH, miss)
+        return t.select(["key", "band", "d", "n", "c"]).filter(pa.array(some))
+
+    def link(t: pa.Table) -> pa.Table:
         sets = [np.frombuffer(s, dtype=U) for s in t["shingles"].to_pylist()]
-        found = join_block(t["d"].to_pylist(), t["c"].to_pylist(), t["block"].to_pylist(), sigs, sets, t["band"][0].as_py(), rows, similarity, BATCH, miss)
+        found = join_block(t["d"].to_pylist(), t["c"].to_pylist(), t["block"].to_pylist(), signs(t), sets, t["band"][0].as_py(), rows, similarity, BATCH, miss)
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    dealt = _in_pairs(apart, F.ceil(F.col("size") / BLOCK)).join(sig, "d")
+    some = dealt.groupBy("key", "i", "j").applyInArrow(keep, "key long, band int, d long, n long, c long")
+    some = Stored(some.distinct(), "likely").df
+    total = some.groupBy("key").agg(F.sum("n").alias("total"))
+    some = Stored(look_up(some, total, "key", "inner"), "likely").df
+    dealt = _in_pairs(some, F.ceil(F.col("total") / SHINGLES)).join(sig, "d").join(own_set.withColumnRenamed("doc_id", "d"), "d")
+    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    with scratch():
+        return _near_duplicates(docs, similarity, words, bands, rows, miss).keep().df
+
+
+def _near_duplicates(docs: DataFrame, similarity: float, words: int, bands: int, rows: int, miss: float) -> Stored:
     signed = Stored(_signed(docs, words, bands * rows), "signed").df
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = Stored(some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r")).select("set_hash", "r.*"), "first").df
@@ -220,13 +265,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     key = "transform(sequence(0, {0}), i -> struct(i AS band, xxhash64(i, substring(sig, i * {1} + 1, {1})) AS key))".format(bands - 1, rows * 4)
     banded = first.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode(F.expr(key)).alias("b")).select("d", "n", "b.key", "b.band")
     shared = banded.groupBy("key").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x < y").select("key")
-    member = Stored(banded.join(shared, "key"), "members").df
-    busy = member.groupBy("d").agg(F.count(F.lit(1)).alias("busy"))
-    member = member.join(busy, "d")
-    pivot = member.groupBy("key").agg(F.max(F.struct("busy", (-F.col("d")).alias("m"))).alias("p"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
-    member = Stored(member.join(pivot, "key"), "met").df
-
-    meeting = busy.select(F.col("d").alias("doc_id"))
+    alike = Stored(banded.join(shared, "key"), "members")
+    busy = alike.df.groupBy("d").agg(F.count(F.lit(1)).alias("busy"))  # at most ``bands`` rows a document
+    member = Stored(alike.df.join(busy, "d"), "members")
+    alike.drop()
+    hot = Stored(hot_keys(member.df, "key"), "hot").df
+    pivot = member.df.groupBy("key").agg(F.max(F.struct("busy", (-F.col("d")).alias("m"))).alias("p"), F.count(F.lit(1)).alias("size"))
+    met = Stored(look_up(member.df, pivot, "key", "inner", hot), "met").df
+    member.drop()
+
+    meeting = Stored(met.select(F.col("d").alias("doc_id")).distinct(), "meeting").df
     own_sig = Stored(by_ids(first.select("doc_id", "sig"), meeting, "doc_id", "left_semi"), "candidates").df
     own_set = Stored(_sets(by_ids(docs.select("doc_id", "text"), meeting, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "shingles"]), "sets").df
 
@@ -238,31 +286,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         left = left.join(own_set.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return Stored(_exact(left.select("a", "b", "set_a", "set_b"), similarity).distinct(), "links").df
 
-    star = member.groupBy("d").agg(F.max("p").alias("p")).select("d", (-F.col("p.m")).alias("hub")).filter("d <> hub")
+    star = met.groupBy("d").agg(F.max("p").alias("p")).select("d", (-F.col("p.m")).alias("hub")).filter("d <> hub")
     links = verified(star.select(F.least("d", "hub").alias("a"), F.greatest("d", "hub").alias("b")).distinct())
 
-    part = components(links).withColumnsRenamed({"v": "d", "c": "cc"})
-    parted = member.join(part, "d", "left").withColumn("c", F.coalesce("cc", "d")).drop("cc")
-    several = parted.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-    apart = Stored(parted.join(several, "key", "left_semi"), "apart").df
+    part = components(links)
+    named = part.df.withColumnsRenamed({"v": "d", "c": "cc"})
+    parted = Stored(met.join(named, "d", "left").withColumn("c", F.coalesce("cc", "d")).drop("cc", "p", "busy"), "parted")
+    part.drop()
+    several = parted.df.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
+    apart = Stored(look_up(parted.df, several, "key", "left_semi", hot), "apart").df
+    parted.drop()
     small = apart.filter(F.col("size") <= SMALL)
     other = small.select("key", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     near = "c < c2 AND 100 * least(n, n2) >= {0} * greatest(n, n2)".format(round(similarity * 100))
     across = small.join(other, "key").filter(near).select(F.least("d", "d2").alias("a"), F.greatest("d", "d2").alias("b")).distinct()
-    large = _in_blocks(apart.filter(F.col("size") > SMALL), own_sig, own_set, rows, similarity, miss)
+    large = _in_blocks(apart.filter(F.col("size") > SMALL).select("key", "band", "d", "n", "c", "size"), own_sig, own_set, rows, similarity, miss)
     links = links.unionByName(verified(across)).unionByName(Stored(large, "joined").df)
 
-    part = components(links).withColumnsRenamed({"v": "first_id", "c": "cc"})
+    part = components(links).df.withColumnsRenamed({"v": "first_id", "c": "cc"})
     class_of = first.select("set_hash", F.col("doc_id").alias("first_id")).join(part, "first_id", "left")
     class_of = class_of.select("set_hash", F.coalesce("cc", "first_id").alias("cc"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(class_of, "set_hash", "left")
-    alone = F.expr("n_shingles = 0 OR doc_id IS NULL")
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("cc")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_hash")
+    some = look_up(some, class_of, "set_hash", "inner").select("doc_id", "n_shingles", F.col("cc").alias("component_id"))
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return Stored(some.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each group of near-duplicates."""
-    found = near_duplicates(docs, **options)
-    gone = Stored(found.filter("NOT kept").select("doc_id").distinct(), "gone").df
+    with scratch():
+        found = near_duplicates(docs, **options)
+        gone = Stored(found.filter("NOT kept").select("doc_id").distinct(), "gone").keep().df
     return by_ids(docs, gone, "doc_id", "left_anti")

@@ -6,9 +6,9 @@ runs of four and five characters of words with their edges; those that tell toxi
 documents best (chi-square over documents) are kept, with value log(1 + count).  The output
 is the expected severity, the sum over k of P(grade > k).
 
-Labels are 0 or 1; a toxic document's grade is 1, 2 or 3 by how much of the telling wording
-it holds, in thirds of the training documents (``grade_labels``); a caller with graded
-labels passes them instead.
+Labels are grades from 0.  Where none exceeds 1, a toxic document's grade is 1, 2 or 3 by how much of
+the telling wording it holds, in thirds of the training documents (``grade_labels``): an ordering
+made from the same features, no independent judgement.  Where labels exceed 1, they are the grades.
 
 Defined results: null and empty texts have no features and get the model's severity for
 none, grade 0; a text's severity depends on it alone, so repeated rows agree; without labels
@@ -23,13 +23,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, map_columns
 
 #: Bounds of the training sample: labelled documents of either class; features kept.
 SAMPLE, FEATURES = 2_500, 400
+#: Bytes of text that training collects at most on average, and of a training text.
+SAMPLE_BYTES, LONGEST = 128 << 20, 1 << 20
 #: Words whose features a worker keeps.
 CACHE = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -124,32 +126,41 @@ def fit_ordinal(counts: list[Counter], grades: np.ndarray, n_features: int, step
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> dict:
-    """A model from about ``sample`` labelled documents of either class at most, chosen by a
-    hash of their ids; their whole texts are collected."""
-    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}  # a row for each class
-    if not counts.get(0) or not counts.get(1):
-        return {"index": {}, "weights": [], "theta": []}
-    chosen = F.lit(False)
-    for value, n in counts.items():
-        share = int(min(1.0, sample / n) * (1 << 20)) + 1
-        chosen = chosen | ((F.col("toxic") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share))
-    some = F.broadcast(labels.filter(chosen).limit(3 * sample))  # at most 3 * sample ids
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("text", "toxic").limit(6 * sample).collect()
-    texts, toxic = [r.text for r in rows], [r.toxic == 1 for r in rows]
+    """A model from about ``sample`` labelled documents of either kind, clean or toxic, and SAMPLE_BYTES of
+    text at most, chosen by a hash of their ids; texts longer than LONGEST are not in the sample.  Whole
+    texts are collected.  A document labelled twice counts twice; labels under 0 are none."""
+    empty = {"index": {}, "weights": [], "theta": []}
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("grade")).filter("grade >= 0 AND doc_id IS NOT NULL").withColumn("toxic", F.col("grade") > 0)
+    counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}  # two rows
+    if len(counts) < 2:
+        return empty
+
+    def chosen(share: dict) -> Column:
+        within = lambda t: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share[t] * (1 << 20)) + 1
+        return (F.col("toxic") & within(True)) | (~F.col("toxic") & within(False))
+
+    share = {t: min(1.0, sample / n) for t, n in counts.items()}
+    some = F.broadcast(labels.filter(chosen(share)).limit(4 * sample))  # at most 4 * sample rows
+    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(some, "doc_id")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        texts = texts.filter(chosen({t: s * SAMPLE_BYTES / size for t, s in share.items()}))
+    rows = texts.select("text", "grade").limit(8 * sample).collect()
+    texts, grades = [r.text for r in rows], np.array([r.grade for r in rows], dtype=int)
+    toxic = (grades > 0).tolist()
     if len(set(toxic)) < 2:
-        return {"index": {}, "weights": [], "theta": []}
+        return empty
     names = choose_features(texts, toxic, features)
     index = {f: i for i, f in enumerate(names)}
     of_word: dict[str, tuple[int, ...]] = {}
     counted = [_counted(t, of_word, index) for t in texts]
-    clean: Counter = Counter()
-    for c, t in zip(counted, toxic, strict=True):
-        if not t:
-            clean.update(c.keys())
-    n_clean = toxic.count(False)
-    telling = {i for i in range(len(names)) if clean[i] <= 0.002 * n_clean}
-    grades = grade_labels(counted, toxic, telling)
+    if grades.max() == 1:
+        clean: Counter = Counter()
+        for c, t in zip(counted, toxic, strict=True):
+            if not t:
+                clean.update(c.keys())
+        telling = {i for i in range(len(names)) if clean[i] <= 0.002 * toxic.count(False)}
+        grades = grade_labels(counted, toxic, telling)
     weights, theta = fit_ordinal(counted, grades, len(names))
     return {"index": index, "weights": weights.tolist(), "theta": theta.tolist()}
 

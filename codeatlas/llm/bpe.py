@@ -4,7 +4,8 @@ A piece's byte positions are the leaves of a segment tree that keeps, at each in
 the leftmost position with the least pair rank below it.  A merge reads the root, joins the
 live neighbours there and updates three leaves, each in a logarithmic number of steps.
 Pieces of up to ``SHORT`` bytes are encoded many at a time, as rows of one array of trees;
-longer ones one at a time.  Pieces that occurred before come from a bounded cache.
+longer ones one at a time, in flat arrays of some 45 bytes a byte.  Short pieces that occurred before
+come from a bounded cache.
 
 Defined results: null text is empty; empty text has no ids and decodes to nothing;
 any text round-trips; rows are independent, so ties, repeated rows and empty tables need
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import map_columns
 
 SHORT = 64
-#: Pieces kept by a worker; above it the cache starts again.
+#: Pieces kept by a worker, each of at most SHORT characters; above it the cache starts again.
 CACHE = 500_000
 #: Pieces encoded at once.
 TOGETHER = 1 << 12
@@ -155,43 +157,46 @@ class Bpe:
         return [",".join(flat[lo:hi]) for lo, hi in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
     def encode_long(self, piece: bytes) -> list[int]:
-        """Ids of one piece of any length."""
+        """Ids of one piece of any length.  A leaf of the tree is rank and position in one number; a
+        change goes up only as far as it changes the least."""
         n = len(piece)
-        token = self.byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        ids = self.byte[np.frombuffer(piece, dtype=np.uint8)]
         width = 1 << max(1, (n - 1).bit_length())
-        pairs = self.pairs
-        none = (NONE, 0)
-        tree = [none] * (2 * width)
-        for i in range(n - 1):
-            rank = pairs.get(token[i] << 20 | token[i + 1])
-            if rank is not None:
-                tree[width + i] = (rank, i)
-        for at in range(width - 1, 0, -1):
-            tree[at] = min(tree[2 * at], tree[2 * at + 1])
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, value: tuple[int, int]) -> None:
-            at = width + i
+        whole = np.full(2 * width, NONE << 40, dtype=np.int64)
+        whole[width : width + n - 1] = self.pair_ranks(ids[:-1], ids[1:]) << 40 | np.arange(n - 1)
+        at = width
+        while at > 1:
+            np.minimum(whole[at : 2 * at : 2], whole[at + 1 : 2 * at : 2], out=whole[at // 2 : at])
+            at //= 2
+        token, tree = array("i", ids.astype(np.int32).tobytes()), array("q", whole.tobytes())
+        right, left = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        get, none, place = self.pairs.get, NONE << 40, (1 << 40) - 1
+
+        def put(i: int, rank: int | None) -> None:
+            at, value = width + i, none if rank is None else rank << 40 | i
             tree[at] = value
             while at > 1:
+                beside = tree[at ^ 1]
+                if beside < value:
+                    value = beside
                 at >>= 1
-                tree[at] = min(tree[2 * at], tree[2 * at + 1])
+                if tree[at] == value:
+                    return
+                tree[at] = value
 
-        while tree[1][0] < NONE:
-            rank, i = tree[1]
+        while (top := tree[1]) < none:
+            rank, i = top >> 40, top & place
             gone = right[i]
             following, before = right[gone], left[i]
             token[i], token[gone], right[i] = rank, -1, following
-            put(gone, none)
+            put(gone, None)
             if following < n:
                 left[following] = i
-                found = pairs.get(rank << 20 | token[following])
-                put(i, none if found is None else (found, i))
+                put(i, get(rank << 20 | token[following]))
             else:
-                put(i, none)
+                put(i, None)
             if before >= 0:
-                found = pairs.get(token[before] << 20 | rank)
-                put(before, none if found is None else (found, before))
+                put(before, get(token[before] << 20 | rank))
         return [t for t in token if t >= 0]
 
     def encode_pieces(self, pieces: list[str]) -> list[str]:
@@ -227,7 +232,11 @@ class Bpe:
         fresh = list(new)
         cache.update(zip(fresh, self.encode_pieces(fresh), strict=True))
         get = cache.__getitem__
-        return [",".join(map(get, pieces)) for pieces in split]
+        out = [",".join(map(get, pieces)) for pieces in split]
+        for piece in fresh:
+            if len(piece) > SHORT:
+                del cache[piece]
+        return out
 
     def decode(self, ids: str) -> bytes:
         """The bytes of ids in decimal, joined by commas."""

@@ -74,7 +74,9 @@ def test_near_duplicates(spark, odd, none):
 
 def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     """More copies than a bucket's pairs are rows for: blocks of few shingles."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 2000)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     monkeypatch.setattr(near_dedup, "SMALL", 8)
     rng = random.Random(1)
     base = rng.choices(WORDS, k=90)
@@ -96,10 +98,34 @@ def test_posterior_keeps_the_threshold():
     assert (sig[0] == sig[1]).mean() > 0.9
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
-    got = {r.v: r.c for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    want = {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    for least in (1000, 1):
+        monkeypatch.setattr(common, "HOT_ROWS", least)
+        assert {r.v: r.c for r in common.components(spark.createDataFrame(links, "a long, b long")).df.collect()} == want
+
+
+def test_stored_tables_are_dropped(spark, odd):
+    """Of all tables only those of results stay."""
+    import os
+
+    folder = os.path.join(common.shared_dir(spark).removeprefix("file://"), "codeatlas")
+    seen = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = seen()
+    result = near_dedup.near_duplicates(odd)
+    assert len(seen() - before) == 1 and result.count() == odd.count()
+    before = seen()
+    sharding.shards(odd).count(), chat.conversations(odd.select(F.col("d").alias("conv_id"), F.col("doc_id").alias("turn"), "lang", "text").withColumn("role", F.lit("user"))).count()
+    assert len(seen() - before) == 2
+
+
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 64 + ["y" * 100_000] + ["z"] * 5})
+    cut = list(common.parts(batch, 20_000))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch])) and all(b.nbytes <= 20_000 or b.num_rows == 1 for b in cut)
 
 
 def test_bpe(spark, odd, none):
@@ -117,6 +143,8 @@ def test_bpe(spark, odd, none):
         ids = known.encode_ordinary(r.text or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    long_piece = "".join(rng.choices("abcdefgh", k=30_000))
+    assert own.encode_texts([long_piece, long_piece])[0] == ",".join(map(str, known.encode_ordinary(long_piece))) and long_piece not in own.cache
     encoded = bpe.encode(odd.filter("doc_id = 11"), queries.VOCABULARY, public_tokenizers.PATTERN)
     assert bytes(bpe.decode(encoded, queries.VOCABULARY, public_tokenizers.PATTERN).first().raw).decode() == odd.filter("doc_id = 11").first().text
     assert bpe.round_trip(none, queries.VOCABULARY, public_tokenizers.PATTERN).count() == 0
@@ -157,6 +185,34 @@ def test_shards(spark, odd, none):
     assert sharding.shards(none).count() == 0
 
 
+def test_write_shards(spark, none, tmp_path):
+    """Rows of one id and without an id are each written once."""
+    rows = [(3, "a"), (3, "b"), (3, "b"), (None, "x"), (None, None), (1, ""), (2, "long " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash")).withColumn("bucket", F.lit(1))
+    sharding.write_shards(docs, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, rows)) == sorted(str((r.doc_id, r.text)) for r in back.collect()) and set(back.columns) == {*docs.columns, "shard"}
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    sharding.write_shards(many, str(tmp_path / "m"))
+    written = {r.doc_id: r.shard for r in spark.read.parquet(str(tmp_path / "m")).select("doc_id", "shard").collect()}
+    assert written == {r.doc_id: r.shard for r in sharding.shards(many).collect()}
+    sharding.write_shards(none, str(tmp_path / "n"))
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("shard", F.lit(1)), str(tmp_path / "e"))
+
+
+def test_any_number_of_partitions(spark):
+    """Plans and results at 4,000 shuffle partitions are those at 4."""
+    docs = spark.range(700).select((F.col("id") * 7 - 1000).alias("doc_id"), F.concat_ws(" ", F.col("id") % 13, F.col("id"), F.lit("some more words here")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "null id"), (-1000, "second of an id")], "doc_id long, text string")).cache()
+    got = []
+    for n in ("4", "4000"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append((sorted(map(str, fingerprint.fingerprint_neighbours(docs).coalesce(8).collect())), sorted(map(str, sharding.shards(docs).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.predict_language(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -174,11 +230,67 @@ def test_language(spark, odd, none):
     # The test of single spans agrees with Viterbi.
     scorer = language.Scorer(model)
     for row in docs.limit(60).collect() + [None]:
-        words = language._WORD.findall((row.text if row else text).lower())
+        words = language.words_of(row.text if row else text)
         if words:
             assert scorer.label([words])[0] == language.viterbi(scorer.scores[scorer.rows([words])].astype(float))
 
 
+def plain_language(model, text):
+    """(language, score) by plain dynamic programming over all words."""
+    import math
+
+    words, langs = language.words_of(text or ""), model["langs"]
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    scores, letters = [], []
+    for w in words:
+        own = [model["grams"][g] for g in language.grams(w) if g in model["grams"]]
+        known = w in model["words"] or 2 * len(own) >= len(language.grams(w))
+        own += [model["words"][w]] * 2 if w in model["words"] else []
+        uses = model["scripts"].get(language.script(w))
+        raw = [language.WEIGHT * sum(x[k] - sum(x) / len(x) for x in own) if uses else 0.0 for k in range(len(langs))]
+        top = max(v for v, x in zip(raw, langs, strict=True) if not uses or x in uses)
+        scores.append([max(v - top, -language.MOST) if not uses or x in uses else -language.EXCLUDED for v, x in zip(raw, langs, strict=True)])
+        letters.append((sum(map(str.isalpha, w)), bool(known and uses)))
+    best, back = list(scores[0]), []
+    for row in scores[1:]:
+        come = [max(range(len(langs)), key=lambda j: (best[j] - (j != k) * language.SWITCH, j == k)) for k in range(len(langs))]
+        best = [best[j] - (j != k) * language.SWITCH + row[k] for k, j in enumerate(come)]
+        back.append(come)
+    path = [best.index(max(best))]
+    for come in reversed(back):
+        path.append(come[path[-1]])
+    path.reverse()
+    own = [sum(n for (n, ok), p in zip(letters, path, strict=True) if ok and p == k) for k in range(len(langs))]
+    if not max(own):
+        return model["first"], 0.0
+    k = own.index(max(own))
+    total = [sum(s[j] for s, (_, ok) in zip(scores, letters, strict=True) if ok) / language.DAMP for j in range(len(langs))]
+    chance = 1.0 if len(set(path)) > 1 else 1 / sum(math.exp(t - total[k]) for t in total)
+    return langs[k], max(own) / sum(n for n, _ in letters) * chance
+
+
+def test_language_by_brute_force(spark, odd):
+    """The whole query against a plain search over every word."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang")))
+    model = language.train(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.predict_language(docs).filter("doc_id IS NOT NULL").collect():
+        lang, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, r
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_language_scripts_exclude(spark):
+    """A language without a word's script never labels it, whatever the words around."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("der Hund und die Katze sind im Haus " * 3, "de"), ("это дом и кошка это собака " * 3, "ru"), ("यह एक घर है और हिन्दी भाषा " * 3, "hi")] * 5)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "der Hund und die Katze sind im кошка Haus और die Katze sind im Haus"
+    assert len(language.words_of("हिन्दी भाषा")) == 2
+    spans = language.Scorer(model).label([language.words_of(text)])[0]
+    assert [(model["langs"][k], b - a) for k, a, b in spans] == [("de", 7), ("ru", 1), ("de", 1), ("hi", 1), ("de", 5)]
+
+
 def test_language_needs_evidence(spark):
     """Texts in other scripts, without evidence or evenly mixed are rejected; clean ones and a text of
     two languages, three to one, are kept."""
@@ -243,6 +355,24 @@ def test_tiling(spark, odd, none):
     assert tiling.matches(none, items).count() == 0 and tiling.matches(odd, items.limit(0)).count() == 0
 
 
+def test_tiling_judges_rows(spark):
+    """Both ways judge each row by its own text: rows of one id, of none, copies, and common wording."""
+    words = LONG.split()
+    common_part = " ".join(words[:30])
+    leak, half, clean = " ".join(words[100:140]), " ".join(words[100:125]) + " other", " ".join(words[900:960])
+    rows = [(1, leak), (1, clean), (2, clean), (None, leak), (None, clean), (None, None), (3, ""), (4, half), (5, leak), (5, leak), (6, common_part + " " + clean), *((i, common_part) for i in range(10, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(1)).withColumn("doc", F.lit("clash"))
+    items = spark.createDataFrame([(1, leak), (None, leak), (2, common_part + " " + " ".join(words[200:260])), (3, leak), (4, "")], "item_id long, text string")
+    as_rows = lambda x: sorted(str(tuple(r)) for r in x.collect())
+    for coverage in (0.0, 0.3, 0.5, 1.0):
+        got = as_rows(tiling.matches(docs, items, coverage=coverage))
+        assert got == as_rows(tiling.matches(docs, items, most=0, coverage=coverage))
+        assert sum("None" in g.split(",")[0] for g in got) == 3
+    small, large = tiling.decontaminate(docs, items), tiling.decontaminate(docs, items, most=0)
+    assert small.columns == large.columns == docs.columns and as_rows(small) == as_rows(large)
+    assert sorted(str((r.doc_id, r.text)) for r in large.collect()) == sorted(str(r) for r in rows if r[1] not in (leak, half))
+
+
 def test_licences(spark, odd, none):
     texts = ["x\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License. All rights reserved.", None, "no licence here"]
     grant = " ".join(licences.SENTENCES[k][0] for k in ("mit-grant", "mit-keep", "as-is"))
@@ -252,7 +382,7 @@ def test_licences(spark, odd, none):
     assert got[5].licences == [] and got[5].unmatched == ["as-is"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     table = licences.known(licences.SENTENCES)
-    want = {r.doc_id: [table[s] for s in map(licences.normalise, re.split(r"\n|(?<=[.!?])\s", r.text)) if s in table] for r in docs.collect()}
+    want = {r.doc_id: [table[s] for s in map(licences.normalise, re.split(r"\n|(?<=[.!?:])\s", r.text)) if s in table] for r in docs.collect()}
     assert {r.doc_id: r.sentence_ids for r in licences.scan(docs).collect()} == want
     assert licences.scan(none).count() == 0 and licences.scan(odd).count() == odd.count()
 
@@ -260,7 +390,7 @@ def test_licences(spark, odd, none):
 def test_licences_behind_marks():
     """Whatever stands before its first letter, a known sentence is found as by plain look-up."""
     table = licences.known(licences.SENTENCES)
-    first = frozenset(s.split(" ", 1)[0] for s in table)
+    first = licences.beginnings(table)
     for mark in ["> ", "% ", "<!-- ", "[", "\u2022 ", "\u201c", "\u00a0", "__", " " * 77, "-" * 200, "x ", "\u0130 ", ""]:
         for sentence in ["Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Other words."]:
             want = [table[x] for x in [licences.normalise(mark + sentence)] if x in table]
@@ -280,7 +410,10 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"""
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
@@ -293,38 +426,92 @@ modification, are permitted provided that the following conditions are met:
 
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
-   this software without specific prior written permission."""
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD2 = re.sub(r"(?s)3\. Neither.*?permission\.\n\n", "", BSD)
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0
 
-Unless required by applicable law or agreed to in writing, software"""
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version.
 
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
 This program is distributed in the hope that it will be useful,
 but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+WHOLE = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD2), ("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL), ("GPL-2.0-or-later", GPL2), ("MPL-2.0", MPL), ("ISC", ISC)]
+WHOLE += [("AGPL-3.0-or-later", GPL.replace("GNU General", "GNU Affero General")), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007"), ("Unlicense", "This is free and unencumbered software released into the public domain.")]
 
 
-@pytest.mark.parametrize("lead", ["", "# ", " * ", "// ", "> "])
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// ", "> ", "   "])
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_licences_wrapped(lead, end):
     table = licences.known(licences.SENTENCES)
     begins = licences.beginnings(table)
-    want = [("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", BSD.split("\n\n3.")[0]), ("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL), ("GPL-2.0-or-later", GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"))]
-    for name, text in want:
-        wrapped = end.join(lead + x for x in ["Copyright (c) 2020 A. Person", "", *text.split("\n"), "", "rest"])
-        assert licences.recognise(licences.identifiers(wrapped, table, begins), licences.RULES) == ([name], []), (name, lead)
+    for name, text in WHOLE:
+        for whole in (text, " ".join(text.split())):
+            wrapped = end.join(lead + x for x in ["Copyright (c) 2020 A. Person. All rights reserved." if "BSD" in name else "Copyright (c) 2020 A. Person", "", *whole.split("\n"), "", "rest"])
+            assert licences.recognise(licences.identifiers(wrapped, table, begins), licences.RULES) == ([name], []), (name, lead)
     # Beside lines without a full stop a notice is a sentence of its own.
     assert licences.identifiers("a title\nReleased under the MIT License\nfree words\nAll rights reserved", table, begins) == ["mit-notice", "all-rights"]
 
 
+def test_licence_rules():
+    """Identifiers of a rule stand next to one another; every licence of the table is found by its tag."""
+    got = licences.recognise(["gpl-free", "apache-2-notice", "cc-by-4-notice", "no-warranty"], licences.RULES)
+    assert got == (["GPL-3.0-or-later", "Apache-2.0", "CC-BY-4.0"], ["no-warranty"])
+    assert licences.recognise(["mit-grant", "apache-2-notice", "mit-keep", "as-is"], licences.RULES) == (["Apache-2.0"], ["mit-grant", "mit-keep", "as-is"])
+    assert licences.recognise(["mit-notice", "mit-notice"], licences.RULES) == (["MIT", "MIT"], [])
+    table = licences.known(licences.SENTENCES)
+    assert all(p.rstrip("?") in licences.SENTENCES for _, need in licences.RULES for p in need)
+    names = {n for n, _ in licences.RULES} - {"Proprietary"}
+    assert len(names) > 40
+    for name in names:
+        assert licences.recognise(licences.identifiers(f"# SPDX-License-Identifier: {name}\nx = 1", table, licences.beginnings(table)), licences.RULES) == ([name], [])
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
@@ -336,6 +523,33 @@ def test_toxicity(spark, odd, none):
     assert toxicity.train(none, labels)["index"] == {} and toxicity.severity(odd, toxicity.train(odd, labels.limit(0))).first().severity == 0
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.count() < docs.count()
+    # Every severity by the plain formula: the sum over thresholds of the chance to be above.
+    import math
+    from collections import Counter
+
+    texts = [r.text for r in docs.limit(200).collect() + odd.collect()]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.severity(table, model).collect():
+        seen = Counter(f for w in re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()) for f in set(toxicity.features_of(w)) if f in model["index"])
+        score = sum(model["weights"][model["index"][f]] * math.log1p(n) for f, n in seen.items())
+        above = [1 - 1 / (1 + math.exp(-max(-40, min(40, t - score)))) for t in model["theta"]]
+        assert abs(r.severity - sum(above)) < 1e-9 and r.grade == sum(a >= 0.5 for a in above)
+
+
+def test_graded_labels(spark):
+    """Grades above 1 are taken as they are; negative and null ones are none."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        grade = i % 4
+        rows.append((i, " ".join(rng.choices(WORDS, k=30) + ["awful"] * (3 ** grade - 1))))
+        labels.append((i, grade if i < 380 else None if i < 390 else -1))
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, given)
+    assert len(model["theta"]) == 3
+    got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    assert sum(got[i].grade == i % 4 for i in got) >= 0.95 * len(got)
+    assert toxicity.train(docs, given.filter("toxic = 0"))["index"] == {}
 
 
 def test_ordinal_gradient():
@@ -359,6 +573,10 @@ def test_url_filter(spark, duck):
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("sub.example.org", "/es/x", "example.org/es/", "block")
     assert (got[2].rule, got[5].rule, got[6].rule) == ("example.org/en/1", "com/de/", "com/fr/")
     assert (got[3].host, got[3].path, got[4].host, got[4].rule) == ("", "", "", None)
+    odd_hosts = ["user@Shop.co.uk:8080", "a.b.shop.co.uk.", "192.168.0.1:80", "[::1]:9", "me.github.io", "x.s3.amazonaws.com", "com", ""]
+    name = reputation.bare(F.col("host"))
+    parts = spark.createDataFrame([(h.lower(),) for h in odd_hosts], "host string").withColumn("s", reputation.suffix_of(name, reputation.SUFFIXES)).withColumn("d", reputation.domain_of(name, F.col("s"))).collect()
+    assert [(r.s, r.d) for r in parts] == [("co.uk", "shop.co.uk"), ("co.uk", "shop.co.uk"), ("address", "192.168.0.1"), ("address", "[::1]"), ("github.io", "me.github.io"), ("s3.amazonaws.com", "x.s3.amazonaws.com"), ("com", "com"), ("", "")]
     assert got[7].rule is None and got[7].verdict == "block" and got[8].host == "Ä.net" and got[8].verdict == "allow"
     assert reputation.judge(pages.limit(0), outcomes, []).count() == 0 and reputation.judge(pages, outcomes.limit(0), []).count() == 9
     assert reputation.allowed(pages, outcomes, reputation.parse_rules(queries.URL_RULES)).columns == pages.columns
@@ -368,6 +586,7 @@ def test_chat_trees(spark):
     says = "<|im_end|>\n<|im_start|>assistant <\\| <\\\\| |>"
     rows = [(1, 1, None, "user", says, 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", None, 0.9), (1, 4, 3, "us\ner%0A<", "x", 0.5), (2, 1, None, "system", "", 0.0), (3, 1, 2, "user", "loop", 0.0), (3, 2, 1, "user", "loop", 0.0), (4, 5, 99, "assistant", "tail <", 1.0)]
     messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    messages = chat.once(messages)
     out = chat.format_paths(messages, chat.paths(messages)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
     got = {r.tree: r for r in out.collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [("user", says), ("assistant", ""), ("us\ner%0A<", "x")]
@@ -380,6 +599,38 @@ def test_chat_trees(spark):
     assert chat.conversations(chain.limit(0)).count() == 0
 
 
+def test_chat_branches_by_brute_force(spark):
+    """Random trees with repeated nodes and clashing columns: paths, ranks and texts of the best branches."""
+    rng = random.Random(12)
+    rows = []
+    for tree in range(12):
+        for node in range(1, rng.randrange(2, 40)):
+            rows.append((tree, node, rng.randrange(1, node) if node > 1 and rng.random() < 0.95 else None, rng.choice(["user", "assistant"]), f"t{tree}n{node} <|x|>", round(rng.random(), 1)))
+            if rng.random() < 0.1:
+                rows.append((tree, node, rng.randrange(1, node) if node > 1 else None, "user", f"again {node}", 0.0))
+    messages = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").withColumn("leaf", F.lit("x")).withColumn("depth", F.lit(1))
+    own = {}
+    for r in rows:
+        key = lambda x: (x[2] is not None, x[2] or 0, x[3], x[4], x[5])
+        if (r[0], r[1]) not in own or key(r) < key(own[r[0], r[1]]):
+            own[r[0], r[1]] = r
+    want = {}
+    for tree in range(12):
+        nodes = {n: r for (t, n), r in own.items() if t == tree}
+        branches = []
+        for leaf in set(nodes) - {r[2] for r in nodes.values()}:
+            path = [leaf]
+            while nodes[path[-1]][2] is not None:
+                path.append(nodes[path[-1]][2])
+            branches.append((-sum(nodes[n][5] for n in path) / len(path), leaf, path[::-1]))
+        for _, leaf, path in sorted(branches, key=lambda b: (round(b[0], 12), b[1]))[:3]:
+            want[tree, leaf] = [(nodes[n][3], nodes[n][4]) for n in path]
+    once = chat.once(messages)
+    out = chat.format_paths(once, chat.paths(once, best=3)).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert {(r.tree, r.leaf): [tuple(t) for t in r.turns] for r in out} == want
+    assert all(r.loss == "".join(t for role, t in want[r.tree, r.leaf] if role == "assistant") for r in out)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, duck, name):
     assert rows_of(queries.QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(queries.ORACLES[name]).df())

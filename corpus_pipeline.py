@@ -1,4 +1,11 @@
-"""From raw documents to token ids: five stages, each a table for the next."""
+"""From raw documents to token ids: five stages, each a table for the next.
+
+Defined results: null and empty texts, and texts without a recognised language, go at the first stage; a
+null id is kept as long as its text is; rows of one id are one document for near-dedup, and stand or fall
+there with it, and are judged one by one elsewhere; extra columns are carried up to the last stage; an
+empty table gives an empty result.  A stage's table is dropped when the next one is written; the one
+that the last stage reads stays for the caller in the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codeatlas.llm import bpe, language, near_dedup, tiling, toxicity
-from codeatlas.llm.common import Stored
+from codeatlas.llm.common import Stored, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir), "stage").df
+        with scratch():
+            kept = Stored(stage(spark, docs, sf_dir), "stage").keep()
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)

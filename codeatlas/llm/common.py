@@ -18,7 +18,9 @@ from ..session import ship
 #: Largest id list, in rows, that is broadcast; above it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
 #: Bytes of rows that a Python worker holds as lists at once.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 22
+#: Arrow batches while a table is stored.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 #: A key is hot above this number of rows, and above one in HOT_SHARE of all: so hot keys are at most HOT_SHARE.
 HOT_ROWS, HOT_SHARE = 1000, 100_000
 
@@ -40,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 _scratches: list[list[Stored]] = []
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs inside; the session's settings are as before at the end."""
+    before = {k: spark.conf.get(k) for k in ARROW}
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Stored:
     """A DataFrame written once as Parquet in the shared folder, so that lost
     executors cost a re-read and not a re-run; ``drop`` deletes the files."""
@@ -47,7 +62,8 @@ class Stored:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/codeatlas/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with small_batches(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         if _scratches:
             _scratches[-1].append(self)

@@ -33,7 +33,7 @@ SAMPLE, FEATURES = 2_500, 400
 #: Bytes of text that training collects at most on average, and of a training text.
 SAMPLE_BYTES, LONGEST = 128 << 20, 1 << 20
 #: Words whose features a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -32,7 +32,7 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -77,13 +77,22 @@ _MARK = re.compile(_marks())
 _MARKED = re.compile(rf"[^\W\d_](?:[^\W\d_]|{_MARK.pattern})*")
 
 
+def _pattern(text: str) -> re.Pattern:
+    """The pattern of words: runs of letters, and of the combining marks after a letter."""
+    try:
+        text.encode("latin-1")  # has no marks, and is soon told
+    except UnicodeEncodeError:
+        return _MARKED if _MARK.search(text) else _LETTERS
+    return _LETTERS
+
+
 def words_at(text: str) -> Iterator[re.Match]:
-    """Words: runs of letters, and of the combining marks after a letter."""
-    return (_MARKED if not text.isascii() and _MARK.search(text) else _LETTERS).finditer(text)
+    return _pattern(text).finditer(text)
 
 
 def words_of(text: str) -> list[str]:
-    return (_MARKED if not text.isascii() and _MARK.search(text) else _LETTERS).findall(text.lower())
+    text = text.lower()
+    return _pattern(text).findall(text)
 
 
 def _script_at(c: str) -> str:
@@ -206,8 +215,7 @@ class Scorer:
         self.cache.update(zip(words, range(base, base + len(words)), strict=True))
 
     def rows(self, texts: list[list[str]]) -> np.ndarray:
-        new = set().union(*texts)
-        new.difference_update(self.cache)
+        new = {w for w in set().union(*texts) if w not in self.cache}
         if len(self.cache) + len(new) > len(self.scores):
             self.cache.clear()
             new = set().union(*texts)
@@ -216,8 +224,7 @@ class Scorer:
                 self.letters = np.zeros((2 * len(new), 2), dtype=np.int64)
         if new:
             self.add(sorted(new))
-        get = self.cache.__getitem__
-        return np.fromiter((i for t in texts for i in map(get, t)), dtype=np.int64, count=sum(map(len, texts)))
+        return np.fromiter(map(self.cache.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sum(map(len, texts)))
 
     def label(self, texts: list[list[str]]) -> list[list[tuple[int, int, int]]]:
         """For each text with words: spans (language, first word, end)."""

@@ -28,7 +28,7 @@ from .common import map_columns
 
 SHORT = 64
 #: Pieces kept by a worker, each of at most SHORT characters; above it the cache starts again.
-CACHE = 500_000
+CACHE = 300_000
 #: Pieces encoded at once.
 TOGETHER = 1 << 12
 #: No pair: above every rank.
@@ -224,8 +224,7 @@ class Bpe:
     def encode_texts(self, texts: list[str]) -> list[str]:
         """Each text's ids in decimal, joined by commas."""
         cache, split = self.cache, [self.split(t) for t in texts]
-        new = set().union(*split) if split else set()
-        new.difference_update(cache)
+        new = {p for p in set().union(*split) if p not in cache}
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = set().union(*split)

@@ -10,7 +10,8 @@ Candidates come in two steps, so that a bucket of n documents never gives n^2 ro
 each document meets one document, the busiest of its buckets (that in most buckets), which
 joins families of copies into components.  Then only buckets that still hold several
 components count, and only pairs across components.  Such a bucket of at most ``SMALL``
-documents gives its pairs as rows.  A larger one is cut into blocks of ``BLOCK`` documents; a task
+documents gives its pairs as rows.  A larger one is cut into blocks of ``BLOCK`` documents, or, beyond
+``BLOCKS`` of these, into larger ones of up to ``BLOCK_MOST``; a task
 holds the ids and signatures of two blocks and returns the documents that have a partner the
 posterior does not rule out; only these are met again with their sets, in blocks of about ``SHINGLES``
 shingles, and a task returns the links that join components, at most one a document.  No candidate
@@ -45,8 +46,11 @@ WORDS, SIMILARITY = 5, 0.75
 BANDS, ROWS = 32, 4
 #: Signature values compared at once, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 16, 1e-7
-#: Documents of a bucket whose pairs are rows, and documents and shingles of a block of larger buckets.
-SMALL, BLOCK, SHINGLES = 64, 1 << 11, 1 << 20
+#: Documents of a bucket whose pairs are rows.
+SMALL = 64
+#: Documents of a block of signatures, blocks of a bucket beyond which they grow, and the most they grow to;
+#: shingles of a block of sets.
+BLOCK, BLOCKS, BLOCK_MOST, SHINGLES = 1 << 8, 64, 1 << 12, 1 << 18
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -242,7 +246,8 @@ def _in_blocks(apart: DataFrame, own_sig: DataFrame, own_set: DataFrame, rows: i
         found = join_block(t["d"].to_pylist(), t["c"].to_pylist(), t["block"].to_pylist(), signs(t), sets, t["band"][0].as_py(), rows, similarity, BATCH, miss)
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-    dealt = _in_pairs(apart, F.ceil(F.col("size") / BLOCK)).join(sig, "d")
+    blocks = F.greatest(F.least(F.ceil(F.col("size") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("size") / BLOCK_MOST))
+    dealt = _in_pairs(apart, blocks).join(sig, "d")
     some = dealt.groupBy("key", "i", "j").applyInArrow(keep, "key long, band int, d long, n long, c long")
     some = Stored(some.distinct(), "likely").df
     total = some.groupBy("key").agg(F.sum("n").alias("total"))

@@ -75,6 +75,8 @@ def test_near_duplicates(spark, odd, none):
 def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     """More copies than a bucket's pairs are rows for: blocks of few shingles."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCKS", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_MOST", 24)
     monkeypatch.setattr(near_dedup, "SHINGLES", 2000)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     monkeypatch.setattr(near_dedup, "SMALL", 8)

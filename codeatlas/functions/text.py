@@ -84,21 +84,21 @@ def split_words(name: Column) -> Column:
 
 #: Patterns of the structural counters (fixed values).
 BRANCHES = r"\b(if|else|match|switch|case|when|elif|elsif)\b"
-LOOPS = r"\b(for|while|loop|each|do)\b"
-CALLS = r"\b\w+\s*\("
+LOOPS = r"\b(for|while|loop|each)\b"
+CALLS = r"\b[a-zA-Z_]\w*\s*\("
 
 
 def structural_signals(source: Column) -> dict[str, Column]:
-    """Counts of branches, loops, early returns (those not on the last line that has text), calls
-    and lines."""
-    lines = F.split(source, "\n")
+    """Counts of branches, loops, early returns (lines with a return but the last line that has text),
+    calls and lines; an end of line at the end begins no line."""
+    lines = F.filter(F.split(F.regexp_replace(source, "\n$", ""), "\n"), lambda x: source != "")
     body = F.regexp_replace(source, r"\s+$", "")
     before_last = F.when(F.instr(body, "\n") > 0, F.regexp_replace(body, r"\n[^\n]*$", "")).otherwise(F.lit(""))
     count = lambda s, p: F.regexp_count(s, F.lit(p)).cast("long")
     return {
         "branches": count(source, BRANCHES),
         "loops": count(source, LOOPS),
-        "early_returns": count(before_last, r"\breturn\b"),
+        "early_returns": F.size(F.filter(F.split(before_last, "\n"), lambda x: x.rlike(r"\breturn\b"))).cast("long"),
         "calls": count(source, CALLS),
         "lines": F.size(lines).cast("long"),
     }

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import drift, split_words
 
 #: Words of the critic (fixed values).
-VAGUE = ["handle", "process", "do", "manage", "perform", "execute", "run", "make", "use", "work"]
-DETAIL = ["loop", "iterate", "array", "variable", "hashmap", "pointer", "mutex", "vector", "string", "integer", "boolean", "struct", "enum"]
+VAGUE = ["handle", "process", "manage", "deal", "do", "run", "execute", "perform", "work", "utilize"]
+DETAIL = ["loop", "iterate", "array", "index", "variable", "pointer", "mutex", "allocate", "deallocate", "malloc", "free", "increment", "decrement"]
 MINOR, MAJOR = 0.3, 0.7
 
 
@@ -29,16 +29,18 @@ def parse_lines(texts: DataFrame) -> DataFrame:
 
 
 def critique(entities: DataFrame) -> DataFrame:
-    """(id, feature, issue): duplicate, too_short, too_long, vague_verb, implementation_detail."""
+    """(id, feature, issue): duplicate (whatever the case), too_short, too_long, vague_verb,
+    implementation_detail; a feature that is too short is not looked at for the last two."""
     rows = entities.select("id", F.posexplode("semantic_features").alias("pos", "feature"), "semantic_features")
     words = F.filter(F.split(F.lower("feature"), r"\s+"), lambda w: w != "")
-    first = F.array_position("semantic_features", F.col("feature")) - 1
+    first = F.array_position(F.transform("semantic_features", F.lower), F.lower("feature")) - 1
+    enough = F.size(words) >= 2
     found = F.array_compact(F.array(
         F.when(first < F.col("pos"), F.lit("duplicate")),
         F.when(F.size(words) < 2, F.lit("too_short")),
         F.when(F.size(words) > 10, F.lit("too_long")),
-        F.when(F.get(words, F.lit(0)).isin(VAGUE), F.lit("vague_verb")),
-        F.when(F.arrays_overlap(words, F.array(*map(F.lit, DETAIL))), F.lit("implementation_detail")),
+        F.when(enough & F.get(words, F.lit(0)).isin(VAGUE), F.lit("vague_verb")),
+        F.when(enough & F.arrays_overlap(words, F.array(*map(F.lit, DETAIL))), F.lit("implementation_detail")),
     ))
     return rows.select("id", "feature", F.explode(found).alias("issue"))
 
@@ -164,10 +166,3 @@ def check_routing(decisions: DataFrame, pending: DataFrame, paths: DataFrame) ->
     rows = decisions.join(pending.select("id", F.lit(True).alias("p")), "id", "left").join(paths.select(F.col("path").alias("decision"), F.lit(True).alias("known")), "decision", "left")
     problem = F.when(F.col("p").isNull(), "not pending").when(F.col("decision") == "keep", None).when(~three_levels(F.col("decision")), "not three levels").when(F.col("known").isNull(), "unknown path")
     return rows.select("id", "decision", problem.alias("problem"))
-
-
-def cost_estimate(entities: DataFrame, in_price: float, out_price: float) -> DataFrame:
-    """One row: entities without features, tokens in and out, and cost with a fifth on top."""
-    open_ = entities.filter("kind <> 'module' AND size(semantic_features) = 0")
-    out = open_.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(F.length("source") / 4), F.lit(0.0)).alias("tokens_in"), (F.count(F.lit(1)) * 30).alias("tokens_out"))
-    return out.withColumn("cost", F.round(1.2 * (F.col("tokens_in") * in_price + F.col("tokens_out") * out_price) / 1e6, 6))

@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shapes by kind and styles by edge (fixed values).
-SHAPES = {"function": "ellipse", "class": "box", "method": "ellipse", "module": "folder", "page": "note", "component": "component", "test": "hexagon"}
-STYLES = {"imports": "dashed", "invokes": "solid", "inherits": "bold", "composes": "dotted", "contains": "dotted", "data_flow": "dashed"}
+from ..operators.hierarchy import nodes
+
+#: Shapes by kind, styles and arrows by edge (fixed values).
+SHAPES = {
+    "function": "ellipse", "method": "ellipse", "class": "box", "page": "tab", "layout": "tab", "component": "box3d", "hook": "ellipse", "store": "cylinder",
+    "module": "component", "controller": "hexagon", "route": "hexagon", "model": "box", "service": "ellipse", "middleware": "trapezium", "test": "diamond",
+}
+STYLES = {
+    "invokes": "solid", "imports": "dashed", "inherits": "bold", "composes": "solid", "renders": "solid", "reads_state": "dashed", "writes_state": "bold",
+    "dispatches": "solid", "data_flow": "dashed", "contains": "dotted",
+}
+ARROWS = {
+    "invokes": "-->", "composes": "-->", "renders": "-->", "dispatches": "-->", "imports": "-.->", "data_flow": "-.->", "reads_state": "-.->",
+    "inherits": "==>", "writes_state": "==>",
+}
+FOLDER, LIFTED, BARE = "#e0e0ff", "#e0ffe0", "#ffffff"
 
 
 def _quoted(c):
@@ -22,19 +35,55 @@ def _choose(column: str, table: dict[str, str], other: str):
 
 
 def dot_lines(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, line): the lines of a DOT graph; sort by both and write between ``digraph {`` and ``}``."""
-    nodes = entities.select(F.lit(0).alias("part"), F.concat(F.lit("  "), _quoted(F.col("id")), F.lit(" [label="), _quoted(F.col("name")), F.lit(", shape="), _choose("kind", SHAPES, "ellipse"), F.lit("];")).alias("line"))
-    arcs = edges.select(F.lit(1).alias("part"), F.concat(F.lit("  "), _quoted(F.col("source")), F.lit(" -> "), _quoted(F.col("target")), F.lit(" [label="), _quoted(F.col("kind")), F.lit(", style="), _choose("kind", STYLES, "solid"), F.lit("];")).alias("line"))
-    return nodes.unionByName(arcs)
+    """(part, line): the lines of a DOT graph, hierarchy nodes and their links, entities, edges; sort by
+    part and write between ``digraph {`` and ``}``."""
+    def box(node, shape, colour, label):
+        return F.concat(F.lit("  "), _quoted(node), F.lit(" [shape="), shape, F.lit(', style=filled, fillcolor="'), colour, F.lit('", label='), _quoted(label), F.lit("];"))
+
+    tree = nodes(entities)
+    folders = tree.select(F.lit(0).alias("part"), box(F.col("node_id"), F.lit("folder"), F.lit(FOLDER), F.col("name")).alias("line"))
+    below = tree.filter("parent_id IS NOT NULL").select(F.lit(1).alias("part"), F.concat(F.lit("  "), _quoted(F.col("parent_id")), F.lit(" -> "), _quoted(F.col("node_id")), F.lit(" [style=dotted];")).alias("line"))
+    colour = F.when(F.size("semantic_features") > 0, LIFTED).otherwise(BARE)
+    own = entities.select(F.lit(2).alias("part"), box(F.col("id"), _choose("kind", SHAPES, "ellipse"), colour, F.col("name")).alias("line"))
+    arcs = edges.select(F.lit(3).alias("part"), F.concat(F.lit("  "), _quoted(F.col("source")), F.lit(" -> "), _quoted(F.col("target")), F.lit(" [style="), _choose("kind", STYLES, "solid"), F.lit(", label="), _quoted(F.col("kind")), F.lit("];")).alias("line"))
+    return folders.unionByName(below).unionByName(own).unionByName(arcs)
 
 
 def mermaid_lines(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, area, line): the lines of a Mermaid flowchart, entities in a subgraph for each area."""
-    key = lambda c: F.concat(F.lit("n"), F.substring(F.sha2(c, 256), 1, 12))
-    area = F.substring_index("hierarchy_path", "/", 1)
-    nodes = entities.select(F.lit(0).alias("part"), area.alias("area"), F.concat(F.lit("    "), key(F.col("id")), F.lit("["), _quoted(F.col("name")), F.lit("]")).alias("line"))
-    arcs = edges.filter("kind <> 'contains'").select(F.lit(1).alias("part"), F.lit("").alias("area"), F.concat(F.lit("  "), key(F.col("source")), F.lit(" -->|"), F.col("kind"), F.lit("| "), key(F.col("target"))).alias("line"))
-    return nodes.unionByName(arcs)
+    """(part, place, line): the lines of a Mermaid flowchart, sorted by part and place: a subgraph for each
+    hierarchy node within its parent's, entities in theirs, then dependency edges.  In ``place`` each
+    level ends with a character below all others, so that a subgraph's lines stay together."""
+    safe = lambda c: F.translate(c, ":/. -", "_____")
+    at = lambda path: F.concat(F.replace(path, F.lit("/"), F.lit("\x01")), F.lit("\x01"))
+    pad = lambda path: F.repeat(F.lit("  "), F.size(F.split(path, "/")))
+    tree = nodes(entities)
+    begin = tree.select(F.lit(0).alias("part"), at(F.col("path")).alias("place"), F.concat(pad(F.col("path")), F.lit("subgraph "), safe(F.col("node_id")), F.lit("["), _quoted(F.col("name")), F.lit("]")).alias("line"))
+    end = tree.select(F.lit(0).alias("part"), F.concat(at(F.col("path")), F.lit("\uffff")).alias("place"), F.concat(pad(F.col("path")), F.lit("end")).alias("line"))
+    label = _quoted(F.concat("name", F.lit("\0("), "kind", F.lit(")")))
+    own = entities.filter("hierarchy_path <> ''").select(
+        F.lit(0).alias("part"), F.concat(at(F.col("hierarchy_path")), F.lit("\x00"), "id").alias("place"),
+        F.concat(pad(F.col("hierarchy_path")), F.lit("  "), safe(F.col("id")), F.lit("["), F.replace(label, F.lit("\0"), F.lit("\\n")), F.lit("]")).alias("line"),
+    )
+    arcs = edges.filter("kind <> 'contains'").select(F.lit(1).alias("part"), F.lit("").alias("place"), F.concat(F.lit("  "), safe(F.col("source")), F.lit(" "), _choose("kind", ARROWS, "-->"), F.lit("|"), F.col("kind"), F.lit("| "), safe(F.col("target"))).alias("line"))
+    return begin.unionByName(own).unionByName(end).unionByName(arcs)
+
+
+def change_plan_text(plan: dict) -> str:
+    """A change plan (``planning.plan_change``) as text: hits, order, impact, tests and how much is lifted."""
+    out = [f'## Change Plan for: "{plan["goal"]}"', "", "### Relevant Entities (by relevance)", ""]
+    for i, r in enumerate(plan["relevant"], 1):
+        about = '"' + ", ".join(r["features"]) + '"' if r["features"] else "(no features)"
+        out.append(f"{i}. `{r['id']}` ({r['file']}) \u2014 {about} ({r['score']:.2f})")
+    if plan["order"]:
+        out += ["", "### Modification Order (dependency-safe)", "", *(f"{i}. `{x}`" for i, x in enumerate(plan["order"], 1))]
+    if plan["impact"]:
+        many = lambda n, word: f"{n} {word}{'' if n == 1 else 's'}"
+        out += ["", "### Impact Radius", "", *(f"- `{x['id']}`: {many(x['upstream'], 'upstream dependent')} across {many(x['files'], 'file')}" for x in plan["impact"])]
+    if plan["tests"]:
+        out += ["", "### Related Tests", "", *(f"- `{x}`" for x in plan["tests"])]
+    if plan["lifted"] < 100:
+        out += ["", f"Note: {plan['lifted']:.0f}% lifting coverage. Results improve with full lifting."]
+    return "\n".join(out) + "\n"
 
 
 def health_lines(report: DataFrame, top: int = 10) -> DataFrame:
@@ -54,7 +103,7 @@ def health_lines(report: DataFrame, top: int = 10) -> DataFrame:
 
 def pipe_table(name: str, df: DataFrame) -> str:
     """A small result as a pipe table: a header with the row count and column names, then rows."""
-    rows = df.collect()
+    rows = df.collect()  # a result for reading
     out = [f"{name}[{len(rows)}|]{{{'|'.join(df.columns)}}}:"]
     return "\n".join(out + ["  " + "|".join("" if v is None else str(v) for v in r) for r in rows])
 

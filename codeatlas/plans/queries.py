@@ -176,10 +176,10 @@ def scope_filter(spark, sf):
     return search.filtered(entities(spark, sf), "PARTS/Brand#1, ASIA, nowhere").select("id", "hierarchy_path")
 
 
-@query("WITH items AS (SELECT DISTINCT id, unnest(semantic_features) AS f FROM entities WHERE kind = 'model'), nn AS (SELECT id, count(*) AS n FROM items GROUP BY id), " + _UP.removeprefix("WITH ").rstrip() + ", tr AS (SELECT DISTINCT path, unnest(semantic_features) AS f FROM up), tm AS (SELECT path, count(*) AS m FROM tr GROUP BY path), sims AS (SELECT id, path, len(string_split(path, '/')) AS level, count(*)::DOUBLE / (any_value(n) + any_value(m) - count(*)) AS sim FROM items JOIN tr USING (f) JOIN nn USING (id) JOIN tm USING (path) GROUP BY id, path), l1 AS (SELECT * FROM sims WHERE level = 1 AND sim >= 0.05 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, path) = 1), l2 AS (SELECT s.* FROM sims s JOIN l1 ON l1.id = s.id AND regexp_replace(s.path, '/[^/]*$', '') = l1.path AND s.level = 2 AND s.sim > l1.sim QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.sim DESC, s.path) = 1), l3 AS (SELECT s.* FROM sims s JOIN l2 ON l2.id = s.id AND regexp_replace(s.path, '/[^/]*$', '') = l2.path AND s.level = 3 AND s.sim > l2.sim QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.sim DESC, s.path) = 1) SELECT l1.id, coalesce(l3.path, l2.path, l1.path) AS best_path FROM l1 LEFT JOIN l2 USING (id) LEFT JOIN l3 USING (id)")
+@query("WITH items AS (SELECT DISTINCT id, unnest(semantic_features) AS f FROM entities), nn AS (SELECT id, count(*) AS n FROM items GROUP BY id), " + _UP.removeprefix("WITH ").rstrip() + ", tr AS (SELECT DISTINCT path, unnest(semantic_features) AS f FROM up), tm AS (SELECT path, count(*) AS m FROM tr GROUP BY path), sims AS (SELECT id, path, len(string_split(path, '/')) AS level, count(*)::DOUBLE / (any_value(n) + any_value(m) - count(*)) AS sim FROM items JOIN tr USING (f) JOIN nn USING (id) JOIN tm USING (path) GROUP BY id, path), l1 AS (SELECT * FROM sims WHERE level = 1 AND sim >= 0.05 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, path) = 1), l2 AS (SELECT s.* FROM sims s JOIN l1 ON l1.id = s.id AND regexp_replace(s.path, '/[^/]*$', '') = l1.path AND s.level = 2 AND s.sim > l1.sim QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.sim DESC, s.path) = 1), l3 AS (SELECT s.* FROM sims s JOIN l2 ON l2.id = s.id AND regexp_replace(s.path, '/[^/]*$', '') = l2.path AND s.level = 3 AND s.sim > l2.sim QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.sim DESC, s.path) = 1) SELECT l1.id, coalesce(l3.path, l2.path, l1.path) AS best_path FROM l1 LEFT JOIN l2 USING (id) LEFT JOIN l3 USING (id)")
 def best_path_routing(spark, sf):
     e = entities(spark, sf)
-    return tree.best_paths(e.filter("kind = 'model'").select("id", F.col("semantic_features").alias("features")), tree.features(e))
+    return tree.best_paths(e.select("id", F.col("semantic_features").alias("features")), tree.features(e))
 
 
 @query("WITH f AS (SELECT DISTINCT file FROM entities), r AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) // 20 AS cluster FROM f), l AS (SELECT cluster, list_sort(list(file)) AS f FROM r GROUP BY cluster) SELECT cluster, len(f)::INT AS files, array_to_string(CASE WHEN len(f) = 1 THEN [f[1]] WHEN len(f) = 2 THEN [f[1], f[2]] ELSE [f[1], f[len(f) // 2 + 1], f[len(f)]] END, ',') AS representatives FROM l")
@@ -188,12 +188,12 @@ def file_clusters(spark, sf):
     return tree.file_clusters(build.module_entities(e), 20)
 
 
-_TOKENS = "WITH tk AS (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(lower(f), '\\s+'), lambda x: x <> '')) AS token FROM (SELECT id, unnest(semantic_features) AS f FROM entities WHERE kind = 'model')), idf AS (SELECT token, count(*) AS df, greatest(0.0, ln((SELECT count(*) FROM entities WHERE kind = 'model')::DOUBLE / (1 + count(*)))) AS idf FROM tk GROUP BY token)"
+_TOKENS = "WITH tk AS (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(lower(f), '\\s+'), lambda x: x <> '')) AS token FROM (SELECT id, unnest(semantic_features) AS f FROM entities)), idf AS (SELECT token, count(*) AS df, greatest(0.0, ln((SELECT count(*) FROM entities)::DOUBLE / (1 + count(*)))) AS idf FROM tk GROUP BY token)"
 
 
 @query(_TOKENS + " SELECT token, df, round(idf, 9) AS idf FROM idf")
 def idf_table(spark, sf):
-    return search.idf(entities(spark, sf).filter("kind = 'model'")).select("token", "df", F.round("idf", 9).alias("idf"))
+    return search.idf(entities(spark, sf)).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 def _score_sql(text: str, weighted: bool) -> str:
@@ -208,19 +208,19 @@ def _score_sql(text: str, weighted: bool) -> str:
     return f"(0.4::DOUBLE * ({overlap}) / {total} + 0.2::DOUBLE * CASE WHEN contains(lower({text}), '{QUERY}') THEN 0.5 ELSE 0.0 END + 0.4::DOUBLE * ({edit}) / {len(terms)})"
 
 
-_FEATURES = _TOKENS + f", fe AS (SELECT id, unnest(semantic_features) AS f FROM entities WHERE kind = 'model'), sc AS (SELECT f, {_score_sql('f', True)} AS s FROM (SELECT DISTINCT f FROM fe)), ft AS (SELECT id, sum(s) AS score, array_to_string(list_sort(list(f)), ',') AS matched FROM fe JOIN sc USING (f) WHERE s > 0.05::DOUBLE GROUP BY id)"
-_SNIPPETS = f", sn AS (SELECT * FROM (SELECT id, 2 * {_score_sql('name', False)} + {_score_sql('file', False)} + 0.5 * {_score_sql('hierarchy_path', False)} AS score FROM entities WHERE kind = 'model') WHERE score > 0.05::DOUBLE)"
+_FEATURES = _TOKENS + f", fe AS (SELECT id, unnest(semantic_features) AS f FROM entities), sc AS (SELECT f, {_score_sql('f', True)} AS s FROM (SELECT DISTINCT f FROM fe)), ft AS (SELECT id, sum(s) AS score, array_to_string(list_sort(list(f)), ',') AS matched FROM fe JOIN sc USING (f) WHERE s > 0.05::DOUBLE GROUP BY id)"
+_SNIPPETS = f", sn AS (SELECT * FROM (SELECT id, 2 * {_score_sql('name', False)} + {_score_sql('file', False)} + 0.5 * {_score_sql('hierarchy_path', False)} AS score FROM entities) WHERE score > 0.05::DOUBLE)"
 
 
 @query(_FEATURES + " SELECT id, round(score, 6) AS score, matched FROM ft ORDER BY round(score, 9) DESC, id LIMIT 15")
 def search_features(spark, sf):
-    out = search.search_features(entities(spark, sf).filter("kind = 'model'"), QUERY, 15)
+    out = search.search_features(entities(spark, sf), QUERY, 15)
     return out.select("id", F.round("score", 6).alias("score"), "matched")
 
 
 @query(_TOKENS + _SNIPPETS + " SELECT id, round(score, 6) AS score FROM sn ORDER BY round(score, 9) DESC, id LIMIT 15")
 def search_snippets(spark, sf):
-    return search.search_snippets(entities(spark, sf).filter("kind = 'model'"), QUERY, 15).select("id", F.round("score", 6).alias("score"))
+    return search.search_snippets(entities(spark, sf), QUERY, 15).select("id", F.round("score", 6).alias("score"))
 
 
 _AUTO = _FEATURES + _SNIPPETS + ", f30 AS (SELECT id, score AS f FROM ft ORDER BY round(score, 9) DESC, id LIMIT 30), s30 AS (SELECT id, score AS s FROM sn ORDER BY round(score, 9) DESC, id LIMIT 30), au AS (SELECT id, coalesce(f, 0) + 0.5 * coalesce(s, 0) AS score FROM f30 FULL JOIN s30 USING (id) ORDER BY round(coalesce(f, 0) + 0.5 * coalesce(s, 0), 9) DESC, id LIMIT 15)"
@@ -228,7 +228,7 @@ _AUTO = _FEATURES + _SNIPPETS + ", f30 AS (SELECT id, score AS f FROM ft ORDER B
 
 @query(_AUTO + " SELECT id, round(score, 6) AS score FROM au")
 def search_auto(spark, sf):
-    return search.search_auto(entities(spark, sf).filter("kind = 'model'"), QUERY, 15).select("id", F.round("score", 6).alias("score"))
+    return search.search_auto(entities(spark, sf), QUERY, 15).select("id", F.round("score", 6).alias("score"))
 
 
 _COS = "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), vs AS (SELECT 'part:' || vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q)"
@@ -249,14 +249,14 @@ def vector_topk(spark, sf):
 
 @query(_AUTO + "," + _COS.removeprefix("WITH ") + ", v20 AS (SELECT id, score FROM vs WHERE score > 0 ORDER BY score DESC, id LIMIT 20), a AS (SELECT id, 1 - (row_number() OVER (ORDER BY score DESC, id) - 1)::DOUBLE / count(*) OVER () AS a FROM v20), b AS (SELECT id, 1 - (row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1)::DOUBLE / count(*) OVER () AS b FROM au) SELECT id, round(0.6 * coalesce(a, 0) + 0.4 * coalesce(b, 0), 6) AS score FROM a FULL JOIN b USING (id) ORDER BY round(0.6 * coalesce(a, 0) + 0.4 * coalesce(b, 0), 9) DESC, id LIMIT 12")
 def hybrid_rerank(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'")
+    e = entities(spark, sf)
     out = search.hybrid(search.search_auto(e, QUERY, 15), search.vector_scores(_vectors(spark, sf), _first_vector(spark, sf), 20), 12)
     return out.select("id", F.round("score", 6).alias("score"))
 
 
-@query("WITH o AS (SELECT id, md5(array_to_string(list_transform(semantic_features, lambda f: lower(trim(f))), chr(10))) AS h FROM entities WHERE kind = 'model' AND line_start % 7 <> 0), n AS (SELECT id, md5(array_to_string(list_transform(CASE WHEN line_start % 5 = 0 THEN list_append(semantic_features, 'new') ELSE semantic_features END, lambda f: lower(trim(f))), chr(10))) AS h FROM entities WHERE kind = 'model' AND line_start % 11 <> 0) SELECT id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'pruned' WHEN o.h = n.h THEN 'kept' ELSE 'changed' END AS status FROM o FULL JOIN n USING (id)")
+@query("WITH o AS (SELECT id, md5(array_to_string(list_transform(semantic_features, lambda f: lower(trim(f))), chr(10))) AS h FROM entities WHERE line_start % 7 <> 0), n AS (SELECT id, md5(array_to_string(list_transform(CASE WHEN line_start % 5 = 0 THEN list_append(semantic_features, 'new') ELSE semantic_features END, lambda f: lower(trim(f))), chr(10))) AS h FROM entities WHERE line_start % 11 <> 0) SELECT id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'pruned' WHEN o.h = n.h THEN 'kept' ELSE 'changed' END AS status FROM o FULL JOIN n USING (id)")
 def embed_sync_status(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'").select("id", "line_start", F.col("semantic_features").alias("features"))
+    e = entities(spark, sf).select("id", "line_start", F.col("semantic_features").alias("features"))
     new = e.filter("line_start % 11 <> 0").withColumn("features", F.when(F.col("line_start") % 5 == 0, F.concat("features", F.array(F.lit("new")))).otherwise(F.transform("features", F.upper)))
     return search.embedding_status(e.filter("line_start % 7 <> 0"), new)
 
@@ -277,13 +277,13 @@ def change_proximity(spark, sf):
 @query(_FEATURES + "," + _NEAR.removeprefix("WITH ") + ", big AS (SELECT id, score FROM ft ORDER BY round(score, 9) DESC, id LIMIT 100) SELECT id, round(score * CASE hops WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END, 6) AS score FROM big LEFT JOIN nr USING (id) ORDER BY round(score * CASE hops WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END, 9) DESC, id LIMIT 10")
 def proximity_boost(spark, sf):
     g = graph(spark, sf)
-    hits = search.search_features(g.entities.filter("kind = 'model'"), QUERY, 100).select("id", "score")
+    hits = search.search_features(g.entities, QUERY, 100).select("id", "score")
     return search.boosted(hits, search.change_nearness(g.edges, _changed(g)), 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query("WITH o AS (SELECT id, semantic_features AS o, list_concat(list_slice(semantic_features, 1, line_start % 3), ['x' || line_start % 4]) AS n FROM entities WHERE kind = 'model'), d AS (SELECT id, 1 - len(list_intersect(o, n))::DOUBLE / len(list_distinct(list_concat(o, n))) AS d FROM o) SELECT id, round(d, 6) AS drift, CASE WHEN d < 0.3::DOUBLE THEN 'minor' WHEN d <= 0.7::DOUBLE THEN 'borderline' ELSE 'route' END AS zone FROM d")
+@query("WITH o AS (SELECT id, semantic_features AS o, list_concat(list_slice(semantic_features, 1, line_start % 3), ['x' || line_start % 4]) AS n FROM entities), d AS (SELECT id, 1 - len(list_intersect(o, n))::DOUBLE / len(list_distinct(list_concat(o, n))) AS d FROM o) SELECT id, round(d, 6) AS drift, CASE WHEN d < 0.3::DOUBLE THEN 'minor' WHEN d <= 0.7::DOUBLE THEN 'borderline' ELSE 'route' END AS zone FROM d")
 def drift_zones(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'")
+    e = entities(spark, sf)
     new = e.select("id", F.concat(F.slice("semantic_features", 1, F.col("line_start") % 3), F.array(F.concat(F.lit("x"), (F.col("line_start") % 4).cast("string")))).alias("features"))
     return lifting.drift_zones(e.select("id", F.col("semantic_features").alias("features")), new)
 
@@ -330,7 +330,7 @@ def slice_between(spark, sf):
 
 @query(_AUTO + ", sz AS (SELECT au.id, au.score, CAST(ceil((length(au.id) + length(name) + length(array_to_string(semantic_features, ', '))) / 4.0) + 1 AS BIGINT) AS tokens FROM au JOIN entities e ON e.id = au.id), rn AS (SELECT *, sum(tokens) OVER (ORDER BY round(score, 9) DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM sz) SELECT id, tokens, CAST(running AS BIGINT) AS running FROM rn WHERE running <= 100")
 def context_pack_budget(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'")
+    e = entities(spark, sf)
     size = F.ceil((F.length("id") + F.length("name") + F.length(F.array_join("semantic_features", ", "))) / 4) + 1
     rows = search.search_auto(e, QUERY, 15).join(e, "id").select("id", "score", size.cast("long").alias("tokens"))
     return traverse.within_budget(rows, 100).select("id", "tokens", "running")
@@ -442,11 +442,11 @@ def test_coverage(spark, sf):
     return planning.test_coverage(e, g.edges, spark.createDataFrame([("part:7",), ("part:8",)], "id string"))
 
 
-@query("""WITH it AS (SELECT hierarchy_path AS area, row_number() OVER (PARTITION BY hierarchy_path ORDER BY id) AS rn, length(name) AS t FROM entities WHERE kind = 'model'),
+@query("""WITH it AS (SELECT hierarchy_path AS area, row_number() OVER (PARTITION BY hierarchy_path ORDER BY id) AS rn, length(name) AS t FROM entities),
 fd(area, rn, batch, n, tokens) AS (SELECT area, 1::BIGINT, 0, 1, t::BIGINT FROM it WHERE rn = 1 UNION ALL SELECT it.area, it.rn, CASE WHEN fd.tokens + it.t > 60 OR fd.n >= 5 THEN fd.batch + 1 ELSE fd.batch END, CASE WHEN fd.tokens + it.t > 60 OR fd.n >= 5 THEN 1 ELSE fd.n + 1 END, CASE WHEN fd.tokens + it.t > 60 OR fd.n >= 5 THEN it.t ELSE fd.tokens + it.t END FROM fd JOIN it ON it.area = fd.area AND it.rn = fd.rn + 1)
 SELECT area, batch::INT AS batch, max(n)::INT AS n, max(tokens)::BIGINT AS tokens FROM fd GROUP BY area, batch""")
 def token_batches(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'").select(F.col("hierarchy_path").alias("area"), "id", F.length("name").alias("tokens"))
+    e = entities(spark, sf).select(F.col("hierarchy_path").alias("area"), "id", F.length("name").alias("tokens"))
     return planning.token_batches_by_area(e, 60, 5)
 
 
@@ -488,7 +488,7 @@ def remove_cascade(spark, sf):
     return build.remove(g.entities, g.edges, g.entities.filter("kind = 'service' OR line_start % 9 = 0").select("id"))[0].select("id")
 
 
-_SIGNALS = "SELECT conv_id, turn, len(regexp_extract_all(text, '\\b(if|else|match|switch|case|when|elif|elsif)\\b'))::BIGINT AS branches, len(regexp_extract_all(text, '\\b(for|while|loop|each|do)\\b'))::BIGINT AS loops, 0::BIGINT AS early_returns, len(regexp_extract_all(text, '\\b\\w+\\s*\\('))::BIGINT AS calls, len(string_split(text, chr(10)))::BIGINT AS lines FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations)"
+_SIGNALS = "SELECT conv_id, turn, len(regexp_extract_all(text, '\\b(if|else|match|switch|case|when|elif|elsif)\\b'))::BIGINT AS branches, len(regexp_extract_all(text, '\\b(for|while|loop|each)\\b'))::BIGINT AS loops, 0::BIGINT AS early_returns, len(regexp_extract_all(text, '\\b[a-zA-Z_]\\w*\\s*\\('))::BIGINT AS calls, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END::BIGINT AS lines FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM conversations)"
 
 
 @query(_SIGNALS, with_graph=False)
@@ -531,16 +531,21 @@ def auto_lift(spark, sf):
     return lifting.auto_lift(e, LIFTS).select("id", "rule", "confidence", F.array_join("features", ",").alias("features"))
 
 
-@query("WITH x AS (SELECT id, unnest(list_concat(semantic_features, [semantic_features[1], 'do ' || name, 'loop over the ' || lower(name)])) AS feature, generate_subscripts(list_concat(semantic_features, [semantic_features[1], '', '']), 1) AS pos, semantic_features AS s FROM entities WHERE kind = 'model'), w AS (SELECT *, list_filter(regexp_split_to_array(lower(feature), '\\s+'), lambda v: v <> '') AS ws FROM x) SELECT id, feature, 'duplicate' AS issue FROM w WHERE pos = 4 OR (pos IN (2, 3) AND list_contains(s[1:pos - 1], feature)) UNION ALL SELECT id, feature, 'too_short' FROM w WHERE len(ws) < 2 UNION ALL SELECT id, feature, 'vague_verb' FROM w WHERE ws[1] IN ('handle', 'process', 'do', 'manage', 'perform', 'execute', 'run', 'make', 'use', 'work') UNION ALL SELECT id, feature, 'implementation_detail' FROM w WHERE list_has_any(ws, ['loop', 'iterate', 'array', 'variable', 'hashmap', 'pointer', 'mutex', 'vector', 'string', 'integer', 'boolean', 'struct', 'enum'])")
+@query("""WITH x AS (SELECT id, list_concat(semantic_features, [upper(semantic_features[1]), 'deal with ' || name, 'free the index of ' || lower(name), 'utilize']) AS s FROM entities),
+y AS (SELECT id, s, unnest(s) AS feature, generate_subscripts(s, 1) AS pos FROM x),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(feature), '\\s+'), lambda v: v <> '') AS ws FROM y)
+SELECT id, feature, 'duplicate' AS issue FROM w WHERE list_contains(list_transform(s[1:pos - 1], lambda f: lower(f)), lower(feature))
+UNION ALL SELECT id, feature, 'too_short' FROM w WHERE len(ws) < 2 UNION ALL SELECT id, feature, 'too_long' FROM w WHERE len(ws) > 10
+UNION ALL SELECT id, feature, 'vague_verb' FROM w WHERE len(ws) > 1 AND ws[1] IN ('handle', 'process', 'manage', 'deal', 'do', 'run', 'execute', 'perform', 'work', 'utilize')
+UNION ALL SELECT id, feature, 'implementation_detail' FROM w WHERE len(ws) > 1 AND list_has_any(ws, ['loop', 'iterate', 'array', 'index', 'variable', 'pointer', 'mutex', 'allocate', 'deallocate', 'malloc', 'free', 'increment', 'decrement'])""")
 def feature_critic(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'")
-    more = F.concat("semantic_features", F.array(F.element_at("semantic_features", 1), F.concat(F.lit("do "), "name"), F.concat(F.lit("loop over the "), F.lower("name"))))
-    return lifting.critique(e.select("id", more.alias("semantic_features")))
+    more = F.concat("semantic_features", F.array(F.upper(F.element_at("semantic_features", 1)), F.concat(F.lit("deal with "), "name"), F.concat(F.lit("free the index of "), F.lower("name")), F.lit("utilize")))
+    return lifting.critique(entities(spark, sf).select("id", more.alias("semantic_features")))
 
 
-@query("WITH l AS (SELECT trim(unnest(string_split(regexp_replace(name || ' | ' || array_to_string(semantic_features, ', ') || ',  ' || upper(name) || chr(10) || '# note | x' || chr(10) || '<think>a | b</think>', '<think>.*?</think>', '', 'gs'), chr(10)))) AS l FROM entities WHERE kind = 'model') SELECT trim(split_part(l, '|', 1)) AS name, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(l, '^[^|]*\\|', ''), ','), lambda f: lower(trim(f))), lambda f: f <> ''))), ',') AS features FROM l WHERE l <> '' AND NOT starts_with(l, '#') AND contains(l, '|')")
+@query("WITH l AS (SELECT trim(unnest(string_split(regexp_replace(name || ' | ' || array_to_string(semantic_features, ', ') || ',  ' || upper(name) || chr(10) || '# note | x' || chr(10) || '<think>a | b</think>', '<think>.*?</think>', '', 'gs'), chr(10)))) AS l FROM entities) SELECT trim(split_part(l, '|', 1)) AS name, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(l, '^[^|]*\\|', ''), ','), lambda f: lower(trim(f))), lambda f: f <> ''))), ',') AS features FROM l WHERE l <> '' AND NOT starts_with(l, '#') AND contains(l, '|')")
 def parse_line_features(spark, sf):
-    e = entities(spark, sf).filter("kind = 'model'")
+    e = entities(spark, sf)
     text = F.concat("name", F.lit(" | "), F.array_join("semantic_features", ", "), F.lit(",  "), F.upper("name"), F.lit("\n# note | x\n<think>a | b</think>"))
     return lifting.parse_lines(e.select(text.alias("text"))).select("name", F.array_join("features", ",").alias("features"))
 
@@ -579,20 +584,26 @@ def python_extract(spark, sf):
 
 
 _LABEL = "replace(replace({}, '\\', '\\\\'), '\"', '\\\"')"
+_NODES = "WITH n AS (SELECT DISTINCT array_to_string(list_slice(string_split(hierarchy_path, '/'), 1, i), '/') AS path FROM (SELECT DISTINCT hierarchy_path FROM entities), range(1, 4) t(i) WHERE i <= len(string_split(hierarchy_path, '/'))), nd AS (SELECT path, 'h:' || path AS id, len(string_split(path, '/')) AS level, string_split(path, '/')[-1] AS name FROM n)"
 
 
-@query("SELECT 0 AS part, '  \"' || " + _LABEL.format("id") + " || '\" [label=\"' || " + _LABEL.format("name") + " || '\", shape=' || CASE kind WHEN 'class' THEN 'box' ELSE 'ellipse' END || '];' AS line FROM entities"
-       " UNION ALL SELECT 1, '  \"' || " + _LABEL.format("source") + " || '\" -> \"' || " + _LABEL.format("target") + " || '\" [label=\"' || kind || '\", style=' || CASE kind WHEN 'invokes' THEN 'solid' WHEN 'imports' THEN 'dashed' ELSE 'dotted' END || '];' FROM edges")
+@query(_NODES + " SELECT 0 AS part, '  \"' || id || '\" [shape=folder, style=filled, fillcolor=\"#e0e0ff\", label=\"' || name || '\"];' AS line FROM nd"
+       " UNION ALL SELECT 1, '  \"' || regexp_replace(id, '/[^/]*$', '') || '\" -> \"' || id || '\" [style=dotted];' FROM nd WHERE level > 1"
+       " UNION ALL SELECT 2, '  \"' || " + _LABEL.format("id") + " || '\" [shape=' || CASE kind WHEN 'class' THEN 'box' WHEN 'model' THEN 'box' ELSE 'ellipse' END || ', style=filled, fillcolor=\"#e0ffe0\", label=\"' || " + _LABEL.format("name") + " || '\"];' FROM entities"
+       " UNION ALL SELECT 3, '  \"' || " + _LABEL.format("source") + " || '\" -> \"' || " + _LABEL.format("target") + " || '\" [style=' || CASE kind WHEN 'invokes' THEN 'solid' WHEN 'imports' THEN 'dashed' WHEN 'composes' THEN 'solid' ELSE '?' END || ', label=\"' || kind || '\"];' FROM edges")
 def dot_export(spark, sf):
     g = graph(spark, sf)
     return export.dot_lines(g.entities, g.edges)
 
 
-@query("SELECT 0 AS part, split_part(hierarchy_path, '/', 1) AS area, '    n' || substr(sha256(id), 1, 12) || '[\"' || " + _LABEL.format("name") + " || '\"]' AS line FROM entities"
-       " UNION ALL SELECT 1, '', '  n' || substr(sha256(source), 1, 12) || ' -->|' || kind || '| n' || substr(sha256(target), 1, 12) FROM edges")
+@query(_NODES + ", x AS (SELECT path, id, level, name, replace(path, '/', chr(1)) || chr(1) AS place FROM nd)"
+       " SELECT 0 AS part, hex(place) AS place, repeat('  ', level) || 'subgraph ' || translate(id, ':/. -', '_____') || '[\"' || name || '\"]' AS line FROM x"
+       " UNION ALL SELECT 0, hex(place || chr(65535)), repeat('  ', level) || 'end' FROM x"
+       " UNION ALL SELECT 0, hex(replace(hierarchy_path, '/', chr(1)) || chr(1)) || '00' || hex(id), repeat('  ', len(string_split(hierarchy_path, '/'))) || '  ' || translate(id, ':/. -', '_____') || '[\"' || " + _LABEL.format("name") + " || '\\n(' || kind || ')\"]' FROM entities"
+       " UNION ALL SELECT 1, '', '  ' || translate(source, ':/. -', '_____') || CASE kind WHEN 'invokes' THEN ' -->|' WHEN 'composes' THEN ' -->|' WHEN 'imports' THEN ' -.->|' ELSE '?' END || kind || '| ' || translate(target, ':/. -', '_____') FROM edges")
 def mermaid_export(spark, sf):
     g = graph(spark, sf)
-    return export.mermaid_lines(g.entities, g.edges)
+    return export.mermaid_lines(g.entities, g.edges).withColumn("place", F.hex("place"))
 
 
 _REPORT_LINE = "id || ': in ' || ca || ', out ' || ce || ', instability ' || CAST(round(instability * 100) AS BIGINT) || '%'"

@@ -77,6 +77,12 @@ def containment(entities: DataFrame) -> DataFrame:
     return inner.unionByName(leaves).withColumn("kind", F.lit("contains"))
 
 
+def edges_of(entities: DataFrame, references: DataFrame) -> DataFrame:
+    """All edges of a graph: resolved references, data flow, containment."""
+    edges = resolve(entities, references)
+    return edges.unionByName(data_flow(entities, edges)).unionByName(containment(entities))
+
+
 def metadata(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts."""
     area = F.substring_index("hierarchy_path", "/", 1)

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from ..operators import evolve, graph, hierarchy
 from ..schema import CodeGraph
-from ..sources.extract import extract_entities, extract_references
+from ..sources.extract import extract
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities without modules, raw references) of files, each parsed once."""
+    entities, raw = extract(files)
+    return entities.withColumns({"semantic_features": F.array().cast("array<string>"), "feature_source": F.lit(None).cast("string"), "hierarchy_path": hierarchy.structural_path(F.col("file"))}), raw
 
 
 def build(files: DataFrame, old: CodeGraph | None = None) -> CodeGraph:
-    entities = extract_entities(files)
-    entities = entities.unionByName(graph.module_entities(entities), allowMissingColumns=True)
-    entities = entities.withColumns({"semantic_features": F.array().cast("array<string>"), "feature_source": F.lit(None).cast("string"), "hierarchy_path": hierarchy.structural_path(F.col("file"))})
+    entities, raw = parsed(files)
+    modules = graph.module_entities(entities).withColumns({"semantic_features": F.array().cast("array<string>"), "hierarchy_path": hierarchy.structural_path(F.col("file"))})
+    entities = entities.unionByName(modules, allowMissingColumns=True)
     if old is not None:
         entities, _ = evolve.merge_features(entities, old.entities)
-    references = graph.populate_dependencies(entities, extract_references(files))
-    edges = graph.resolve(entities, references)
-    edges = edges.unionByName(graph.data_flow(entities, edges)).unionByName(graph.containment(entities))
-    return CodeGraph(entities, edges)
+    references = graph.populate_dependencies(entities, raw)
+    return CodeGraph(entities, graph.edges_of(entities, references), references)

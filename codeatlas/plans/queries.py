@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,10 +14,13 @@ from ..operators import analytics, evolve, lifting, planning, search, traverse
 from ..operators import graph as build
 from ..operators import hierarchy as tree
 from ..operators.order import numbered
-from ..session import cut
-from ..sources.extract import enclosing_scopes
-from ..streaming.sync import event_counts
+from ..session import cut, shared_dir
+from ..sources.extract import enclosing_scopes, extract_entities
+from ..sources.files import load, save
+from ..streaming.sync import apply_stream, event_counts
 from . import export
+from .build import build as build_graph
+from .build import parsed
 from .tables import GRAPH_SQL, entities, graph, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,7 +326,7 @@ def shortest_paths_k(spark, sf):
     return traverse.find_paths(e, "order:7", target, 3, 3).select(F.array_join("path", " ").alias("path"), "length")
 
 
-@query()
+@query("WITH wy AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), s0 AS (SELECT unnest(['order:1', 'order:2', 'supplier:5']) AS root, unnest(['order:1', 'order:2', 'supplier:5']) AS id, NULL::VARCHAR AS parent), s1 AS (SELECT root, b AS id, min(a) AS parent FROM s0 JOIN wy ON a = s0.id WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.root = s0.root AND x.id = b) GROUP BY ALL), s2 AS (SELECT root, b AS id, min(a) AS parent FROM s1 JOIN wy ON a = s1.id WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.root = s1.root AND x.id = b) AND NOT EXISTS (SELECT 1 FROM s1 x WHERE x.root = s1.root AND x.id = b) GROUP BY ALL), s3 AS (SELECT root, b AS id, min(a) AS parent FROM s2 JOIN wy ON a = s2.id WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.root = s2.root AND x.id = b) AND NOT EXISTS (SELECT 1 FROM s1 x WHERE x.root = s2.root AND x.id = b) AND NOT EXISTS (SELECT 1 FROM s2 x WHERE x.root = s2.root AND x.id = b) GROUP BY ALL), se AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), p0 AS (SELECT root, id, parent FROM se WHERE id IN ('order:1', 'order:2', 'supplier:5') AND root < id), p1 AS (SELECT se.* FROM p0 JOIN se ON se.root = p0.root AND se.id = p0.parent), p2 AS (SELECT se.* FROM p1 JOIN se ON se.root = p1.root AND se.id = p1.parent), p3 AS (SELECT se.* FROM p2 JOIN se ON se.root = p2.root AND se.id = p2.parent) SELECT id FROM p0 UNION SELECT id FROM p1 UNION SELECT id FROM p2 UNION SELECT id FROM p3")
 def slice_between(spark, sf):
     g = graph(spark, sf)
     return traverse.slice_between(g.edges, ["order:1", "order:2", "supplier:5"], 3)[0]
@@ -469,12 +473,56 @@ def diff_report(spark, sf):
 
 
 @query("WITH o AS (SELECT id FROM entities WHERE kind <> 'function' AND file IN (SELECT DISTINCT file FROM entities WHERE kind = 'class')), n AS (SELECT CASE WHEN line_start % 4 = 0 THEN id || 'b' ELSE id END AS id FROM entities WHERE kind = 'class') SELECT id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'kept' END AS status FROM (SELECT id FROM o UNION SELECT id FROM n) LEFT JOIN o USING (id) LEFT JOIN n USING (id)")
-def apply_changes(spark, sf):
+def merge_versions(spark, sf):
     e = entities(spark, sf)
     new = e.filter("kind = 'class'").withColumn("id", F.when(F.col("line_start") % 4 == 0, F.concat("id", F.lit("b"))).otherwise(F.col("id")))
     return evolve.merge_versions(e, new, e.filter("kind = 'class'").select("file").distinct())
 
 
+_TREE = """WITH k AS (SELECT c_custkey AS k, c_custkey % 7 = 0 AS gone, c_custkey % 5 = 1 AS changed, c_custkey % 11 = 3 AS moved FROM customer),
+f AS (SELECT k, changed, CASE WHEN moved AND NOT changed THEN 'g' ELSE 'f' END || k || '.py' AS file FROM k WHERE NOT gone),
+d AS (SELECT file || ':run_' || k AS id, file, k FROM f UNION ALL SELECT file || ':extra_' || k, file, NULL FROM f WHERE changed),
+c AS (SELECT s.file || ':run_' || s.k AS source, t.file || ':run_' || t.k AS target FROM f s JOIN f t ON t.k = s.k + CASE WHEN s.changed THEN 3 ELSE 1 END)"""
+
+
+def _changed_tree(spark, sf):
+    """A file a customer, whose function calls the next customer's; every seventh is deleted, of the others
+    every fifth is changed, and of the rest every eleventh renamed: (before, changes, parse)."""
+    k = F.col("c_custkey")
+    at = lambda letter: F.concat(F.lit(letter), k.cast("string"), F.lit(".py"))
+    body = lambda ahead: F.concat(F.lit("def run_"), k.cast("string"), F.lit("():\n    return run_"), (k + ahead).cast("string"), F.lit("()\n"))
+    customers = read(spark, sf, "customer").select("c_custkey")
+    files = lambda rows, text: rows.select(at("f").alias("path"), F.lit("python").alias("language"), text.alias("content"))
+    op = F.when(k % 7 == 0, "deleted").when(k % 5 == 1, "modified").when(k % 11 == 3, "renamed")
+    changes = customers.select(op.alias("op"), F.when(op == "renamed", at("g")).otherwise(at("f")).alias("path"), F.when(op == "renamed", at("f")).alias("from_path")).filter("op IS NOT NULL")
+    new = files(customers.filter(op == "modified"), F.concat(body(3), F.lit("\ndef extra_"), k.cast("string"), F.lit("():\n    pass\n")))
+    return build_graph(files(customers, body(1))), changes, lambda rows: parsed(new.join(rows.select("path"), "path", "left_semi"))
+
+
+@query(_TREE + " SELECT id, 'function' AS kind, '' AS target FROM d UNION ALL SELECT source, 'invokes', target FROM c", with_graph=False)
+def apply_changes(spark, sf):
+    """Functions and calls of a tree after deletions, changes and renames."""
+    before, changes, parse = _changed_tree(spark, sf)
+    return _functions_and_calls(evolve.apply_changes(before, changes, *parse(changes.filter("op = 'modified'"))))
+
+
+def _functions_and_calls(g):
+    functions = g.entities.filter("kind = 'function'").select("id", "kind", F.lit("").alias("target"))
+    return functions.unionByName(g.edges.filter("kind = 'invokes'").select(F.col("source").alias("id"), "kind", "target"))
+
+
+@query(_TREE + " SELECT id, 'function' AS kind, '' AS target FROM d UNION ALL SELECT source, 'invokes', target FROM c", with_graph=False)
+def stream_apply(spark, sf):
+    """The same through a stream of changes over saved versions; the last version's rows."""
+    before, changes, parse = _changed_tree(spark, sf)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    save(before, f"{folder}/graph", "v0")
+    changes.coalesce(1).write.json(f"{folder}/feed")
+    feed = spark.readStream.schema("op string, path string, from_path string").json(f"{folder}/feed")
+    apply_stream(feed, f"{folder}/graph", lambda rows: parse(rows.filter("op = 'modified'")), f"{folder}/progress").awaitTermination()
+    return _functions_and_calls(load(spark, f"{folder}/graph/v1"))
+
+
 @query("SELECT count_if(line_start % 3 <> 0 AND line_start % 2 = 0)::BIGINT AS restored, count_if(line_start % 3 <> 0 AND line_start % 2 <> 0)::BIGINT AS orphaned, count_if(line_start % 3 = 0 AND line_start % 2 = 0)::BIGINT AS new FROM entities")
 def merge_features(spark, sf):
     e = entities(spark, sf)
@@ -575,11 +623,12 @@ def topo_exact(spark, sf):
     return places.join(ids, places.n == ids.pos).select(F.col("at").alias("pos"), "id")
 
 
-@query()
+@query("SELECT p || x.suffix AS id, x.kind, x.line_start, x.line_end, x.parent_class FROM (SELECT 'c' || conv_id || '_' || turn || '.py' AS p FROM conversations), (VALUES (':C', 'class', 1, 3, NULL), (':C::m', 'method', 2, 3, 'C'), (':f', 'function', 5, 6, NULL)) x(suffix, kind, line_start, line_end, parent_class)", with_graph=False)
 def python_extract(spark, sf):
-    from ..sources.extract import extract_entities
-
-    rows = read(spark, sf, "conversations").filter("turn = 0").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("class C:\n    def m(self, a: int) -> int:\n        return f(a)\n\ndef f(x):\n    return "), F.length("text").cast("string"), F.lit("\n")).alias("content"))
+    """A file a message, with the message as a comment's words."""
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 ]", " ")
+    content = F.concat(F.lit("class C:\n    def m(self, a: int) -> int:\n        return f(a)\n\ndef f(x):\n    return '"), words, F.lit("'\n"))
+    rows = read(spark, sf, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
     return extract_entities(rows).select("id", "kind", "line_start", "line_end", "parent_class")
 
 

@@ -17,12 +17,17 @@ ENTITIES = (
     " signature struct<parameters: array<struct<name: string, type_annotation: string>>, return_type: string>"
 )
 EDGES = "source string, target string, kind string"
+REFERENCES = "source string, file string, name string, kind string"
 
 
 @dataclass
 class CodeGraph:
+    """Entities, edges, and if known the references by name that edges are resolved from, so that they can
+    be resolved again after changes."""
+
     entities: DataFrame
     edges: DataFrame
+    references: DataFrame | None = None
 
 
 def kind_ord(kind: Column) -> Column:

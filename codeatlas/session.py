@@ -29,13 +29,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only in a local session
+    without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="codeatlas-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut(df):
-    """Cuts a DataFrame's lineage with a checkpoint in the folder that the cluster shares; a
-    temporary one only in a local session without that setting."""
+    """Cuts a DataFrame's lineage with a checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeatlas-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

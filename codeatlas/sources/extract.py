@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 #: Line patterns by language: (kind, pattern with a group for the name) (fixed values).
 _C_LIKE = [("class", r"^\s*(?:(?:public|private|protected|internal|abstract|final|static|sealed|partial|data|open|case|export|default)\s+)*(?:class|interface|struct|enum|record|trait|object|protocol|extension)\s+(\w+)")]
@@ -185,39 +185,58 @@ def entity_id(path: str, name: str, parent: str | None) -> str:
     return f"{path}:{parent}::{name}" if parent else f"{path}:{name}"
 
 
-def extract_entities(files: DataFrame) -> DataFrame:
-    """(id, kind, name, file, line_start, line_end, parent_class, signature) of (path, language, content);
-    of equal ids the last wins."""
-    ship(files.sparkSession)
+_ENTITY = (
+    "id string, kind string, name string, file string, line_start int, line_end int, parent_class string,"
+    " signature struct<parameters: array<struct<name: string, type_annotation: string>>, return_type: string>"
+)
+_REFERENCE = "file string, kind string, caller string, callee string, module string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = {}
-            for p, lang, text in zip(f["path"], f["language"], f["content"], strict=True):
-                for kind, name, a, b, parent, sig in parse(p, lang, text or "")[0]:
-                    s = {"parameters": [{"name": n, "type_annotation": t} for n, t in sig[0]], "return_type": sig[1]} if sig else None
-                    rows[entity_id(p, name, parent)] = (entity_id(p, name, parent), kind, name, p, a, b, parent, s)
-            yield pd.DataFrame(list(rows.values()), columns=["id", "kind", "name", "file", "line_start", "line_end", "parent_class", "signature"])
 
-    schema = "id string, kind string, name string, file string, line_start int, line_end int, parent_class string, signature struct<parameters: array<struct<name: string, type_annotation: string>>, return_type: string>"
-    return files.select("path", "language", "content").mapInPandas(run, schema)
+def _rows(path: str, language: str, text: str) -> tuple[list[dict], list[dict]]:
+    """A file's entities, of equal ids the last, and its references."""
+    entities, references = {}, []
+    found, deps = parse(path, language, text)
+    for kind, name, a, b, parent, sig in found:
+        s = {"parameters": [{"name": n, "type_annotation": t} for n, t in sig[0]], "return_type": sig[1]} if sig else None
+        i = entity_id(path, name, parent)
+        entities[i] = {"id": i, "kind": kind, "name": name, "file": path, "line_start": a, "line_end": b, "parent_class": parent, "signature": s}
+    for kind, caller, callee, module in deps:
+        references.append({"file": path, "kind": kind, "caller": caller, "callee": callee, "module": module})
+    return list(entities.values()), references
 
 
-def extract_references(files: DataFrame) -> DataFrame:
-    """(file, kind, caller, callee, module) of (path, language, content)."""
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, references) of (path, language, content): each file is parsed once, and what was found
+    is kept in the shared folder.  Null content is empty; unknown languages have none of either."""
     ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, *d) for p, lang, text in zip(f["path"], f["language"], f["content"], strict=True) for d in parse(p, lang, text or "")[1]]
-            yield pd.DataFrame(rows, columns=["file", "kind", "caller", "callee", "module"])
+            both = [_rows(p, lang, text or "") for p, lang, text in zip(f["path"], f["language"], f["content"], strict=True)]
+            yield pd.DataFrame({"e": [e for e, _ in both], "r": [r for _, r in both]})
+
+    found = cut(files.select("path", "language", "content").mapInPandas(run, f"e array<struct<{_ENTITY}>>, r array<struct<{_REFERENCE}>>"))
+    return found.select(F.inline("e")), found.select(F.inline("r"))
 
-    return files.select("path", "language", "content").mapInPandas(run, "file string, kind string, caller string, callee string, module string")
+
+def extract_entities(files: DataFrame) -> DataFrame:
+    """(id, kind, name, file, line_start, line_end, parent_class, signature) of (path, language, content);
+    of equal ids the last wins."""
+    return extract(files)[0]
+
+
+def extract_references(files: DataFrame) -> DataFrame:
+    """(file, kind, caller, callee, module) of (path, language, content)."""
+    return extract(files)[1]
 
 
-def enclosing_scopes(calls: DataFrame, scopes: DataFrame) -> DataFrame:
-    """The interval join: (file, row) with the shortest scope (file, scope, first, last) that holds it."""
-    rows = calls.join(scopes, "file").filter("row BETWEEN first AND last")
+def enclosing_scopes(calls: DataFrame, scopes: DataFrame, block: int = 256) -> DataFrame:
+    """The interval join: (file, row) with the shortest scope (file, scope, first, last) that holds it.
+    Rows meet only scopes that touch their block of lines, so that a file of many scopes and calls
+    does not give the product of both."""
+    lines = F.sequence((F.col("first") / block).cast("long"), (F.greatest("first", "last") / block).cast("long"))
+    dealt = scopes.select("*", F.explode(lines).alias("_block"))
+    rows = calls.withColumn("_block", (F.col("row") / block).cast("long")).join(dealt, ["file", "_block"]).filter("row BETWEEN first AND last")
     best = F.min(F.struct((F.col("last") - F.col("first")).alias("n"), "scope"))
     return rows.groupBy("file", "row").agg(best.alias("m")).select("file", "row", "m.scope")
 

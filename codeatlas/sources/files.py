@@ -47,7 +47,10 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
     reader: hidden files, ignored ones and other languages are left out before they are read whole."""
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     base = root.rstrip("/").removeprefix("file://")
-    path = F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*(?=/)", ""), F.lit(base + "/"), F.lit(""))
+    # The reader gives paths as URIs: percent signs escape bytes, a plus is itself.
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    whole = F.regexp_replace(whole, "^[a-z]+:/*(?=/)", "")
+    path = F.when(F.startswith(whole, F.lit(base + "/")), F.substring(whole, len(base) + 2, 1 << 20)).otherwise(whole)
     rows = rows.select(path.alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"))
     rows = rows.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull() & ~F.col("path").rlike(r"(^|/)\."))
     if languages:
@@ -68,10 +71,17 @@ def save(graph: CodeGraph, path: str, version: str) -> str:
     """Writes a version beside the earlier ones, which are the backups; returns its folder."""
     folder = f"{path.rstrip('/')}/{version}"
     graph.entities.sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{folder}/entities")
+    if graph.references is not None:
+        graph.references.write.option("compression", "zstd").parquet(f"{folder}/references")
     graph.edges.sortWithinPartitions("source", "target", "kind").write.option("compression", "zstd").parquet(f"{folder}/edges")
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def load(spark: SparkSession, folder: str) -> CodeGraph:
     """A saved graph with forward slashes in ids and paths; missing columns are an error."""
     entities, edges = spark.read.parquet(f"{folder}/entities"), spark.read.parquet(f"{folder}/edges")
@@ -79,7 +89,8 @@ def load(spark: SparkSession, folder: str) -> CodeGraph:
         missing = {f.split()[0] for f in ddl.replace(", parameters", "").split(", ") if ":" not in f} - set(df.columns)
         if missing:
             raise ValueError(f"columns missing in {folder}: {sorted(missing)}")
-    return CodeGraph(migrate(entities, ["id", "file"]), migrate(edges, ["source", "target"]))
+    references = migrate(spark.read.parquet(f"{folder}/references"), ["source", "file"]) if exists(spark, f"{folder}/references") else None
+    return CodeGraph(migrate(entities, ["id", "file"]), migrate(edges, ["source", "target"]), references)
 
 
 def load_json(spark: SparkSession, path: str) -> CodeGraph:
@@ -100,14 +111,32 @@ def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select("entity_id", "feature_ord", "vector", "fingerprint").write.parquet(path)
 
 
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Saved vectors (entity_id, feature_ord, vector, fingerprint); other columns are an error."""
+    out = spark.read.parquet(path)
+    if out.columns != ["entity_id", "feature_ord", "vector", "fingerprint"]:
+        raise ValueError(f"not a store of vectors: {path}")
+    return out
+
+
 def git_changes(spark: SparkSession, repository: str, base: str, head: str | None = "HEAD") -> DataFrame:
-    """(op, path, from_path) between two commits, or with head None between a commit and the working tree."""
-    args = ["git", "-C", repository, "diff", "--name-status", "-M", base, *([head] if head else [])]
+    """(op, path, from_path) between two commits, or with head None between a commit and the working tree,
+    whose untracked files are additions.  Names come as they are, whatever characters they have."""
+
+    def git(*args: str) -> list[str]:
+        out = subprocess.run(["git", "-C", repository, *args], capture_output=True, check=True).stdout
+        return out.decode("utf-8", "replace").split("\0")[:-1]
+
     names = {"A": "added", "M": "modified", "D": "deleted", "T": "modified"}
-    rows = []
-    for line in subprocess.run(args, capture_output=True, text=True, check=True).stdout.splitlines():
-        op, *paths = line.split("\t")
-        rows.append(("renamed", paths[1], paths[0]) if op[0] == "R" else (names.get(op[0], "modified"), paths[-1], None))
+    rows, parts = [], iter(git("diff", "--name-status", "-M", "-z", base, *([head] if head else [])))
+    for op in parts:
+        if op[0] in "RC":
+            old, new = next(parts), next(parts)
+            rows.append(("renamed", new, old) if op[0] == "R" else ("added", new, None))
+        else:
+            rows.append((names.get(op[0], "modified"), next(parts), None))
+    if not head:
+        rows += [("added", p, None) for p in git("ls-files", "--others", "--exclude-standard", "-z")]
     return spark.createDataFrame(rows, "op string, path string, from_path string")
 
 

@@ -19,9 +19,9 @@ def _exists(spark, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def apply_stream(changes: DataFrame, path: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def apply_stream(changes: DataFrame, path: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Starts a query over streamed (op, path, from_path).  Version 0 must have been saved under
-    ``path``/v0; batch n makes v(n + 1).  ``parse`` gives the entities of changed paths."""
+    ``path``/v0; batch n makes v(n + 1).  ``parse`` gives the entities and raw references of changed paths."""
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
@@ -30,7 +30,7 @@ def apply_stream(changes: DataFrame, path: str, parse: Callable[[DataFrame], Dat
             return
         graph: CodeGraph = load(spark, f"{path}/v{n}")
         rows = batch.dropDuplicates(["op", "path"])
-        save(apply_changes(graph, rows, parse(rows)), path, after)
+        save(apply_changes(graph, rows, *parse(rows)), path, after)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -189,7 +189,7 @@ def test_lexical_extraction(language, path, text, names):
 
 
 def test_scan_save_load_stream(spark, tmp_path):
-    from codeatlas.plans.build import build
+    from codeatlas.plans.build import build, parsed
     from codeatlas.streaming.sync import apply_stream
 
     root = tmp_path / "src"
@@ -210,11 +210,75 @@ def test_scan_save_load_stream(spark, tmp_path):
     feed.mkdir()
     (feed / "1.json").write_text('{"op": "deleted", "path": "main.py"}\n')
     stream = spark.readStream.schema("op string, path string, from_path string").json(str(feed))
-    q = apply_stream(stream, str(tmp_path / "graph"), lambda b: g.entities.limit(0), str(tmp_path / "cp"))
+    q = apply_stream(stream, str(tmp_path / "graph"), lambda b: parsed(rows.limit(0)), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.file for r in files.load(spark, str(tmp_path / "graph" / "v1")).entities.collect()} == {"auth/login.py"}
 
 
+def test_update_equals_a_fresh_build(spark):
+    """After deletions, renames, changes and additions the graph is that of the new tree: calls that were
+    removed are gone, new ones are there, names that became ambiguous resolve no more; features stay."""
+    from codeatlas.plans.build import build, parsed
+
+    def tree(rows):
+        return spark.createDataFrame([(p, "python", t) for p, t in rows.items()], "path string, language string, content string")
+
+    old = {
+        "a/main.py": "from b import helper\n\ndef run():\n    helper(1)\n    gone()\n\ndef twice(x: int) -> int:\n    return unique(x)\n",
+        "a/b.py": "def helper(x):\n    return x\n", "c.py": "def gone():\n    pass\n", "d.py": "def unique(x) -> int:\n    return 1\n", "e.py": "def lonely():\n    run()\n",
+    }
+    new = {
+        "a/main.py": "def run():\n    helper(1)\n    fresh()\n\ndef twice(x: int) -> int:\n    return unique(x)\n",
+        "a/b2.py": old["a/b.py"], "d.py": old["d.py"], "e.py": old["e.py"], "f/g.py": "def fresh():\n    lonely()\n\ndef unique():\n    pass\n",
+    }
+    changes = spark.createDataFrame([("deleted", "c.py", None), ("renamed", "a/b2.py", "a/b.py"), ("modified", "a/main.py", None), ("added", "f/g.py", None)], "op string, path string, from_path string")
+    before = build(tree(old))
+    lifted = F.when(F.col("id").isin("a/main.py:run", "a/main.py:main", "a/b.py:helper", "a/b.py:b"), F.array(F.lit("does it"))).otherwise(F.col("semantic_features"))
+    before = CodeGraph(before.entities.withColumn("semantic_features", lifted), before.edges, before.references)
+    after = evolve.apply_changes(before, changes, *parsed(tree({k: new[k] for k in ("a/main.py", "f/g.py")})))
+    want = build(tree(new))
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    columns = ("id", "kind", "name", "file", "line_start", "line_end", "parent_class", "signature")
+    assert rows(after.entities, *columns) == rows(want.entities, *columns)
+    dependencies = "kind <> 'contains'"
+    assert rows(after.edges.filter(dependencies), "source", "target", "kind") == rows(want.edges.filter(dependencies), "source", "target", "kind")
+    assert rows(after.references, "source", "file", "name", "kind") == rows(want.references, "source", "file", "name", "kind")
+    assert {r.id for r in after.entities.filter("size(semantic_features) > 0").collect()} == {"a/main.py:run", "a/main.py:main", "a/b2.py:helper", "a/b2.py:b2"}
+    assert after.entities.filter("hierarchy_path IS NULL OR semantic_features IS NULL").count() == 0
+    # Containment is that of the entities' own places.
+    assert rows(after.edges.filter("kind = 'contains'"), "source", "target") == rows(graph.containment(after.entities), "source", "target")
+
+
+def test_change_filters(spark):
+    rows = [("added", "a.py", None), ("added", "a.txt", None), ("renamed", "b.txt", "b.py"), ("renamed", "c.py", "c.txt"), ("renamed", "gen/d.py", "d.py"), ("renamed", "e.py", "f.py"), ("deleted", "g.py", None)]
+    changes = spark.createDataFrame(rows, "op string, path string, from_path string")
+    got = {tuple(r) for r in evolve.keep_changes(changes, ["py"], ["gen/*"]).collect()}
+    assert got == {("added", "a.py", None), ("deleted", "b.py", None), ("added", "c.py", None), ("deleted", "d.py", None), ("renamed", "e.py", "f.py"), ("deleted", "g.py", None)}
+    e = entities_df(spark, [("gen/x.py:f", "function", "f", "gen/x.py", [], ""), ("y.py:f", "function", "f", "y.py", [], "")])
+    assert [r.path for r in evolve.newly_ignored(e, ["gen/*"]).collect()] == ["gen/x.py"]
+    assert [r.path for r in evolve.vanished(e, spark.createDataFrame([("y.py",)], "path string")).collect()] == ["gen/x.py"]
+
+
+def test_odd_paths(spark, tmp_path):
+    import subprocess
+
+    root = tmp_path / "a root+x"
+    (root / "sub").mkdir(parents=True)
+    for name in ("a b.py", "ä+ü.py", "100%.py"):
+        (root / "sub" / name).write_text("def f():\n    pass\n")
+    assert {r.path for r in files.scan(spark, str(root)).collect()} == {"sub/a b.py", "sub/ä+ü.py", "sub/100%.py"}
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    git("init", "-q"), git("add", "."), git("commit", "-qm", "one")
+    (root / "sub" / "ä+ü.py").write_text("x = 1\n")
+    git("mv", "sub/a b.py", "sub/c\td.py")
+    (root / "new ñ.py").write_text("x = 2\n")
+    got = {tuple(r) for r in files.git_changes(spark, str(root), "HEAD", None).collect()}
+    assert got == {("modified", "sub/ä+ü.py", None), ("renamed", "sub/c\td.py", "sub/a b.py"), ("added", "new ñ.py", None)}
+    vectors = spark.createDataFrame([("a", 0, [1.0], "f")], "entity_id string, feature_ord int, vector array<double>, fingerprint string")
+    files.save_vectors(vectors, str(tmp_path / "v"))
+    assert files.load_vectors(spark, str(tmp_path / "v")).collect() == vectors.collect()
+
+
 def test_ignore_rules():
     import re
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_score
+from ..functions.code import code_tokens
+from ..functions.text import clean_score, glob_regex
 from ..schema import DEPENDENCY_KINDS
 from ..session import cut, ship
 
@@ -47,7 +49,7 @@ def health_summary(report: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, longest: int = 10, least: int = 2) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = 20, least: int = 2) -> DataFrame:
     """(cycle array, length): elementary cycles of ``least`` to ``longest`` entities, each from its
     smallest id.  Vertices that lie on no cycle are peeled off first; then paths that start at
     their smallest id grow by one edge a round, in the shared folder."""
@@ -96,9 +98,23 @@ def cycle_lengths(found: DataFrame) -> DataFrame:
     return found.groupBy(F.size("cycle").alias("length")).agg(F.count(F.lit(1)).alias("cycles"))
 
 
-def filter_cycles(found: DataFrame, entities: DataFrame, area_prefix: str = "", cross_file: bool = False, cross_area: bool = False) -> DataFrame:
+def sort_cycles(found: DataFrame, entities: DataFrame, by: str = "length") -> DataFrame:
+    """Cycles with ``files`` and ``members``, the most by ``by`` (length, file_count or entity_count) first,
+    then by the cycle."""
+    order = {"length": "length", "file_count": "files", "entity_count": "members"}[by]
+    facts = _members(found, entities).groupBy("cycle").agg(F.count_distinct("file").alias("files"), F.count_distinct("id").alias("members"))
+    return found.join(facts, "cycle", "left").na.fill(0, ["files", "members"]).orderBy(F.desc(order), "cycle")
+
+
+def filter_cycles(found: DataFrame, entities: DataFrame, area_prefix: str = "", cross_file: bool = False, cross_area: bool = False, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Cycles with a member in an area of the comma-separated prefixes, over several files, over
-    several areas."""
+    several areas; those whose members' files all fit one of the globs ``ignored`` are left out."""
+    if ignored:
+        hidden = F.lit(False)
+        for regex in filter(None, map(glob_regex, ignored)):
+            hidden = hidden | F.coalesce(F.col("file").rlike(regex), F.lit(False))
+        seen = _members(found, entities).groupBy("cycle").agg(F.bool_and(hidden).alias("all")).filter("all")
+        found = found.join(seen.select("cycle"), "cycle", "left_anti")
     fits = F.lit(not area_prefix)
     for p in filter(None, (x.strip() for x in area_prefix.split(","))):
         fits = fits | F.col("area").startswith(p)
@@ -110,15 +126,22 @@ def filter_cycles(found: DataFrame, entities: DataFrame, area_prefix: str = "",
 def semantic_clones(entities: DataFrame, threshold: float = 0.6, common: int = 20, top: int = 50) -> DataFrame:
     """(a, b, similarity) of entities in different files whose features' Jaccard similarity reaches
     the threshold.  Features of more than ``common`` entities make no candidates; the shared rare
-    features must reach the threshold over the larger set, then the exact similarity decides."""
-    own = entities.select("id", "file", F.array_distinct("semantic_features").alias("fs")).filter("size(fs) > 0")
-    rows = own.select("id", F.explode("fs").alias("f"))
-    rare = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter(f"n between 2 and {common}").select("f")
-    rows = rows.join(rare, "f")
-    pairs = rows.select("f", F.col("id").alias("a")).join(rows.select("f", F.col("id").alias("b")), "f").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    side = lambda x: own.select(F.col("id").alias(x), F.col("file").alias(f"{x}_file"), F.col("fs").alias(f"{x}_fs"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_file <> b_file").filter(F.col("shared") / F.greatest(F.size("a_fs"), F.size("b_fs")) >= threshold)
-    sim = F.size(F.array_intersect("a_fs", "b_fs")) / F.size(F.array_union("a_fs", "b_fs"))
+    features must reach the threshold over the larger set, then the exact similarity decides.
+    Features are compared by 64-bit hashes, made once; a feature has at most ``common`` squared pairs, and
+    only pairs that pass the bound by numbers meet with their sets."""
+    own = cut(entities.select("id", "file", F.array_distinct(F.transform("semantic_features", lambda f: F.xxhash64(f))).alias("fs")))
+    rows = own.select("id", "file", F.size("fs").alias("n"), F.explode("fs").alias("f"))
+    rare = rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter(f"c between 2 and {common}").select("f")
+    rows = cut(rows.join(rare, "f"))
+    one = rows.select("f", F.col("id").alias("a"), F.col("file").alias("a_file"), F.col("n").alias("a_n"))
+    two = rows.select("f", F.col("id").alias("b"), F.col("file").alias("b_file"), F.col("n").alias("b_n"))
+    size = F.greatest("a_n", "b_n")
+    pairs = one.join(two, "f").filter((F.col("a") < F.col("b")) & (F.col("a_file") != F.col("b_file")) & (F.least("a_n", "b_n") / size >= threshold))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(size).alias("m")).filter(F.col("shared") / F.col("m") >= threshold).select("a", "b")
+    side = lambda x: own.select(F.col("id").alias(x), F.col("fs").alias(f"{x}_fs"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("a_fs", "b_fs"))
+    sim = both / (F.size("a_fs") + F.size("b_fs") - both)
     return pairs.select("a", "b", sim.alias("s")).filter(F.col("s") >= threshold).select("a", "b", F.round("s", 3).alias("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(top)
 
 
@@ -127,15 +150,23 @@ BASE, MODULUS = 256, 1_000_000_007
 
 
 def window_hashes(tokens: list[int], width: int) -> list[int]:
-    """Rolling polynomial hashes of the windows of ``width`` tokens."""
-    lead, value, out = pow(BASE, width - 1, MODULUS), 0, []
-    for i, t in enumerate(tokens):
-        if i >= width:
-            value = (value - tokens[i - width] * lead) % MODULUS
-        value = (value * BASE + t) % MODULUS
-        if i >= width - 1:
-            out.append(value)
-    return out
+    """Polynomial hashes of the windows of ``width`` tokens, by one pass over all windows for each place."""
+    row = np.asarray(tokens, dtype=np.int64) % MODULUS
+    out = np.zeros(max(0, len(row) - width + 1), dtype=np.int64)
+    for k in range(width if len(out) else 0):
+        out = (out * BASE + row[k : k + len(out)]) % MODULUS
+    return out.tolist()
+
+
+def tokenized(files: DataFrame) -> DataFrame:
+    """(id, tokens) of sources (id, content), for ``token_clones``."""
+    ship(files.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], "tokens": [code_tokens(t) for t in f["content"]]})
+
+    return files.select("id", "content").mapInPandas(run, "id string, tokens array<int>")
 
 
 def token_clones(sources: DataFrame, width: int = 20, threshold: float = 0.7, least: int = 15, top: int = 50) -> DataFrame:
@@ -194,12 +225,24 @@ def module_features(entities: DataFrame) -> DataFrame:
 
 
 def snapshot_groups(entities: DataFrame, per_entity: int = 3, per_group: int = 5) -> DataFrame:
-    """(hierarchy_path, entities, sample): the groups of a snapshot, with a few entities and features."""
+    """(hierarchy_path, entities, sample): the groups of a snapshot, with a few entities and features.  Each
+    task leaves at most ``per_group`` rows a group to the sample, however large the group is."""
+    own = entities.filter("kind <> 'module' AND hierarchy_path <> ''")
     rank = F.row_number().over(Window.partitionBy("hierarchy_path").orderBy("id"))
     line = F.concat("name", F.lit(": "), F.array_join(F.slice("semantic_features", 1, per_entity), ", "))
-    rows = entities.filter("kind <> 'module' AND hierarchy_path <> ''").withColumn("r", rank)
-    few = F.when(F.col("r") <= per_group, F.struct("r", line.alias("l")))
-    return rows.groupBy("hierarchy_path").agg(F.count(F.lit(1)).alias("entities"), F.array_join(F.transform(F.sort_array(F.collect_list(few)), lambda x: x.l), "; ").alias("sample"))
+    few = own.select("hierarchy_path", "id", line.alias("l")).withColumn("r", rank).filter(F.col("r") <= per_group)
+    few = few.groupBy("hierarchy_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "l"))), lambda x: x.l), "; ").alias("sample"))
+    return own.groupBy("hierarchy_path").agg(F.count(F.lit(1)).alias("entities")).join(few, "hierarchy_path")
+
+
+def skeleton(edges: DataFrame, entities: DataFrame, per_folder: int = 5) -> DataFrame:
+    """(folder, entity, links): of each folder the ``per_folder`` entities with most dependencies."""
+    ends = edges.filter(F.col("kind").isin(DEPENDENCY_KINDS)).select(F.explode(F.array("source", "target")).alias("id"))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    folder = F.when(F.instr("file", "/") > 0, F.regexp_replace("file", "/[^/]*$", "")).otherwise(F.lit(""))
+    rows = entities.filter("kind <> 'module'").select("id", folder.alias("folder")).join(degree, "id")
+    rank = F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("links"), "id"))
+    return rows.withColumn("r", rank).filter(F.col("r") <= per_folder).select("folder", F.col("id").alias("entity"), "links")
 
 
 def trimmed_snapshot(entities: DataFrame, budget: int = 30_000) -> tuple[DataFrame, int]:

@@ -111,6 +111,20 @@ def issues(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return dangling.unionByName(odd)
 
 
+def orphans(entities: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """More of integrity: (issue, subject) of containment whose end is no entity or node, and, given
+    ``files`` (path), of entities in files that are not there."""
+    from .hierarchy import nodes
+
+    known = entities.select("id").unionByName(nodes(entities).select(F.col("node_id").alias("id")))
+    ends = edges.filter("kind = 'contains'").select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    out = ends.join(known, "id", "left_anti").select(F.lit("orphan_node").alias("issue"), F.col("id").alias("subject"))
+    if files is not None:
+        lost = entities.select("file").distinct().join(files.select(F.col("path").alias("file")), "file", "left_anti")
+        out = out.unionByName(lost.select(F.lit("missing_file").alias("issue"), F.col("file").alias("subject")))
+    return out
+
+
 def edges_for(edges: DataFrame, entity_id: str) -> DataFrame:
     return edges.filter((F.col("source") == entity_id) | (F.col("target") == entity_id))
 
@@ -120,7 +134,8 @@ def area_invocations(entities: DataFrame, edges: DataFrame) -> DataFrame:
     area = entities.select("id", F.substring_index("hierarchy_path", "/", 1).alias("area"), "name")
     out = edges.filter("kind = 'invokes'").join(area.select(F.col("id").alias("source"), F.col("area").alias("source_area")), "source")
     out = out.join(area.select(F.col("id").alias("target"), F.col("area").alias("target_area"), "name"), "target").filter("source_area <> '' AND target_area <> '' AND source_area <> target_area")
-    calls = out.groupBy("source_area", "target_area", "name").agg(F.count(F.lit(1)).alias("n"))
+    names = out.groupBy("source_area", "target_area", "name").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("source_area", "target_area").orderBy("name"))
-    few = F.when(F.col("r") <= 3, F.col("name"))
-    return calls.withColumn("r", rank).groupBy("source_area", "target_area").agg(F.sum("n").alias("calls"), F.array_join(F.sort_array(F.collect_list(few)), ",").alias("samples"))
+    # Each task leaves at most three names of a pair of areas.
+    few = names.select("source_area", "target_area", "name").withColumn("r", rank).filter("r <= 3").groupBy("source_area", "target_area").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("samples"))
+    return names.groupBy("source_area", "target_area").agg(F.sum("n").alias("calls")).join(few, ["source_area", "target_area"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def structural_path(file: Column) -> Column:
     """One part: its stem; two: directory/stem; more: directory/subdirectory/stem."""
@@ -70,7 +72,7 @@ def file_clusters(entities: DataFrame, target: int = 70) -> DataFrame:
     """Module files in order, cut into runs of ``target``: (cluster, files, representatives), the
     latter three evenly spaced."""
     files = entities.filter("kind = 'module'").select("file").distinct()
-    rows = files.withColumn("rn", F.row_number().over(Window.orderBy("file"))).withColumn("cluster", F.expr(f"(rn - 1) div {target}"))
+    rows = numbered(files, ["file"]).withColumn("cluster", F.expr(f"pos div {target}"))
     out = rows.groupBy("cluster").agg(F.sort_array(F.collect_list("file")).alias("f"))
     pick = F.array_distinct(F.array(F.element_at("f", 1), F.element_at("f", F.expr("cast(size(f) div 2 as int) + 1")), F.element_at("f", -1)))
     return out.select("cluster", F.size("f").alias("files"), F.array_join(pick, ",").alias("representatives"))
@@ -122,6 +124,27 @@ def coverage(entities: DataFrame) -> DataFrame:
     return entities.filter("hierarchy_path <> ''").groupBy(area.alias("area")).agg(F.count_if(F.size("semantic_features") > 0).alias("lifted"), F.count(F.lit(1)).alias("total"))
 
 
+def coverage_overall(entities: DataFrame) -> DataFrame:
+    """One row (lifted, total) without modules."""
+    return entities.filter("kind <> 'module'").agg(F.count_if(F.size("semantic_features") > 0).alias("lifted"), F.count(F.lit(1)).alias("total"))
+
+
+def unlifted_by_file(entities: DataFrame) -> DataFrame:
+    """(file, unlifted): how many entities of each file have no features, without modules; files with most
+    come first in order of (unlifted, file)."""
+    rows = entities.filter("kind <> 'module' AND coalesce(size(semantic_features), 0) <= 0")
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("unlifted")).orderBy(F.desc("unlifted"), "file")
+
+
+def display_info(entities: DataFrame, ids: list[str]) -> DataFrame:
+    """(id, name, description) of entities and of hierarchy nodes (``h:`` and a path); unknown ids are left out."""
+    own = entities.filter(F.col("id").isin(ids)).select("id", "name", F.concat("kind", F.lit(" in "), "file").alias("description"))
+    paths = [i[2:] for i in ids if i.startswith("h:")]
+    counted = entity_counts(entities).filter(F.col("path").isin(paths)).join(grounding(entities), "path")
+    about = F.concat(F.lit("hierarchy node ("), F.col("entity_count").cast("string"), F.lit(" entities"), F.when(F.col("grounded") != "", F.concat(F.lit(", grounded: "), "grounded")).otherwise(""), F.lit(")"))
+    return own.unionByName(counted.select(F.concat(F.lit("h:"), "path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), about.alias("description")))
+
+
 def reroute(entities: DataFrame, tree: DataFrame, drifted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Entities with new paths where their drift (id, drift) is over the threshold and the best
     path by others' features differs.  ``tree`` has counts (path, feature, n), from which an

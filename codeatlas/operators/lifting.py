@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import drift, split_words
+from ..schema import CodeGraph
+from ..session import cut
+from .order import numbered
 
 #: Words of the critic (fixed values).
 VAGUE = ["handle", "process", "manage", "deal", "do", "run", "execute", "perform", "work", "utilize"]
@@ -158,11 +161,47 @@ def submit_features(entities: DataFrame, submitted: DataFrame) -> DataFrame:
     return out.withColumn("semantic_features", F.coalesce("new", "semantic_features")).select(entities.columns)
 
 
-def check_routing(decisions: DataFrame, pending: DataFrame, paths: DataFrame) -> DataFrame:
+def check_routing(decisions: DataFrame, pending: DataFrame, paths: DataFrame, seen: str | None = None) -> DataFrame:
     """(id, decision, problem): a decision must be pending, and ``keep`` or an existing path of three
-    levels; the problem is null where it may be applied."""
+    levels; the problem is null where it may be applied.  Decisions for another revision than that of
+    ``pending`` are an error."""
     from .hierarchy import three_levels
 
+    if seen is not None and seen != revision(pending):
+        raise ValueError("the queue has changed since the decisions were made")
+
     rows = decisions.join(pending.select("id", F.lit(True).alias("p")), "id", "left").join(paths.select(F.col("path").alias("decision"), F.lit(True).alias("known")), "decision", "left")
     problem = F.when(F.col("p").isNull(), "not pending").when(F.col("decision") == "keep", None).when(~three_levels(F.col("decision")), "not three levels").when(F.col("known").isNull(), "unknown path")
     return rows.select("id", "decision", problem.alias("problem"))
+
+
+def finalize(graph: CodeGraph, pending: DataFrame) -> CodeGraph:
+    """The end of a lifting session: entities of ``pending`` (id) take the most similar place by their
+    features, modules take all their files' features, and containment is made again."""
+    from .analytics import module_features
+    from .graph import containment
+    from .hierarchy import best_paths, features
+
+    entities = graph.entities
+    items = entities.join(pending.select("id").distinct(), "id", "left_semi").filter("size(semantic_features) > 0").select("id", F.col("semantic_features").alias("features"))
+    entities = entities.join(best_paths(items, features(entities)), "id", "left").withColumn("hierarchy_path", F.coalesce("best_path", "hierarchy_path")).select(graph.entities.columns)
+    whole = module_features(entities).withColumnRenamed("features", "f0")
+    of_module = F.when(F.col("kind") == "module", F.coalesce("f0", F.array().cast("array<string>"))).otherwise(F.col("semantic_features"))
+    entities = cut(entities.join(whole, "file", "left").withColumn("semantic_features", of_module).select(graph.entities.columns))
+    return CodeGraph(entities, graph.edges.filter("kind <> 'contains'").unionByName(containment(entities)), graph.references)
+
+
+def routing_page(pending: DataFrame, tree: DataFrame, page: int = 0, size: int = 20) -> tuple[DataFrame, str]:
+    """(id, features, candidate) of a page of ``pending`` (id, features) in order of id, with the most similar
+    place of ``tree`` (path, features), and the queue's revision: decisions are for the queue that was seen."""
+    from .hierarchy import best_paths
+
+    rows = numbered(pending.select("id", "features"), ["id"]).filter(F.col("pos").between(page * size, (page + 1) * size - 1))
+    best = best_paths(rows.select("id", "features"), tree).withColumnRenamed("best_path", "candidate")
+    return rows.join(best, "id", "left").select("id", "features", "candidate"), revision(pending)
+
+
+def revision(pending: DataFrame) -> str:
+    """A digest of the queue's ids, whatever their order."""
+    row = pending.agg(F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.col("id").cast("binary"))).alias("a"), F.bit_xor(F.xxhash64("id")).alias("b")).first()
+    return f"{row.n}-{row.a or 0}-{row.b or 0}"

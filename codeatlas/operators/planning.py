@@ -22,21 +22,23 @@ BLOCK = 1 << 16
 
 def topological_levels(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): an entity's level is one above the highest level it depends on; entities on or
-    behind cycles have level -1.  Level by level, until no entity is ready."""
+    behind cycles have level -1.  Level by level, until no entity is ready: each entity counts what it
+    still waits for, and only edges of the last level's entities are followed; a round writes one table."""
     links = edges.filter(F.col("kind").isin(DEPENDENCY_KINDS)).select("source", "target").distinct().filter("source <> target")
-    known = entities.select("id")
-    links = cut(links.join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi"))
-    left, done = known, None
+    known = cut(entities.select("id").distinct())
+    links = cut(links.join(known.select(F.col("id").alias("source")), "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target"))
+    waits = links.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    state = known.join(waits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    state = cut(state.withColumn("level", F.when(F.col("n") == 0, 0)))
     for level in count():
-        waits = links.select(F.col("source").alias("id")).distinct()
-        ready = cut(left.join(waits, "id", "left_anti").withColumn("level", F.lit(level)))
+        ready = state.filter(F.col("level") == level).select(F.col("id").alias("target"))
         if not ready.limit(1).count():
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, "id", "left_anti"))
-        links = cut(links.join(ready.select(F.col("id").alias("target")), "target", "left_anti"))
-    rest = left.withColumn("level", F.lit(-1))
-    return rest if done is None else done.unionByName(rest)
+        met = links.join(ready, "target").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+        left = F.col("n") - F.coalesce("m", F.lit(0))
+        state = state.join(met, "id", "left").select("id", left.alias("n"), F.coalesce("level", F.when(left == 0, level + 1)).alias("level"))
+        state = cut(state)
+    return state.select("id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def kahn(ids: list[str], edges: list[tuple[str, str]], largest_first: bool = False) -> list[str]:
@@ -211,14 +213,31 @@ def lift_cost(sources: DataFrame, batches: int, input_price: float, output_price
     return out.withColumn("cost", F.col("input_tokens") / 1_000_000 * input_price + F.col("output_tokens") / 1_000_000 * output_price)
 
 
-def plan_change(entities: DataFrame, edges: DataFrame, goal: str, scope: str = "", most: int = 15) -> dict:
-    """Search, impact of each hit, their order (largest ready id first) and the tests that touch them."""
+def plan_change(entities: DataFrame, edges: DataFrame, goal: str, scope: str = "", most: int = 15, reach: int = 50) -> dict:
+    """For a goal in words: the ``most`` best hits (relevant), their order for changes (largest ready id
+    first), for each hit how many entities and files depend on it within two steps, ``reach`` at
+    most, the tests that touch the hits, and the share of entities that are lifted, in percent.  One search
+    upwards runs for all hits at once."""
+    from .hierarchy import coverage_overall
     from .search import filtered, search_auto
-    from .traverse import impact_radius
-
-    hits = [r.id for r in search_auto(filtered(entities, scope).filter("kind <> 'module'"), goal, most).collect()]
-    impact = {h: [r.id for r in impact_radius(edges, h, "upstream", 2, None, 50).collect()] for h in hits}
-    among = edges.filter(F.col("source").isin(hits) & F.col("target").isin(hits)).select("source", "target").collect()
-    targets = entities.filter(F.col("id").isin(hits)).select("id")
-    tests = sorted(r.id for r in test_coverage(entities, edges, targets).collect())
-    return {"order": kahn(hits, [tuple(r) for r in among], largest_first=True), "impact": impact, "tests": tests}
+    from .traverse import reached
+
+    hits = search_auto(filtered(entities, scope).filter("kind <> 'module'"), goal, most)
+    found = hits.join(entities.select("id", "file", "semantic_features"), "id").collect()
+    found = sorted(found, key=lambda r: (-round(r.score, 9), r.id))
+    ids = [r.id for r in found]
+    near = reached(edges, ids, "upstream", 2).filter("depth > 0")
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))
+    near = near.withColumn("r", rank).filter(F.col("r") <= reach).join(entities.select("id", "file"), "id", "left")
+    impact = {r.root: r for r in near.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files")).collect()}
+    among = edges.filter(F.col("source").isin(ids) & F.col("target").isin(ids) & F.col("kind").isin(DEPENDENCY_KINDS)).select("source", "target").distinct().collect()
+    tests = sorted(r.id for r in test_coverage(entities, edges, entities.filter(F.col("id").isin(ids)).select("id")).collect())
+    whole = coverage_overall(entities).first()
+    return {
+        "goal": goal,
+        "relevant": [{"id": r.id, "file": r.file, "features": r.semantic_features, "score": r.score} for r in found],
+        "order": kahn(ids, [tuple(r) for r in among], largest_first=True),
+        "impact": [{"id": i, "upstream": impact[i].n if i in impact else 0, "files": impact[i].files if i in impact else 0} for i in ids],
+        "tests": tests,
+        "lifted": 100.0 * whole.lifted / whole.total if whole.total else 100.0,
+    }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,24 +171,45 @@ def bootstrap_interval(ranks: list[int], rounds: int = 1000, seed: int = 42) ->
     return means[int(0.025 * rounds)], means[min(rounds - 1, int(0.975 * rounds))]
 
 
-def hashing_embedder(dim: int = 384):
-    """An embedder without a model: a vectorised function from features to unit vectors."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<double>")
+def search(entities: DataFrame, query: str, k: int = 10, mode: str = "auto", scope: str = "", file_glob: str | None = None, lines: tuple[int, int] | None = None, kinds: str | None = None, semantic: DataFrame | None = None, edges: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """(id, score) of the best ``k``: the filters, then the mode (features, snippets or auto), then, with the
+    scores ``semantic`` (id, score), both ranks together, and with ``changed`` (id) the boost by nearness over
+    ``edges``, for which ten times as many are looked at.  An empty query finds nothing; an unknown mode is an error."""
+    modes = {"features": search_features, "snippets": search_snippets, "auto": search_auto}
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode}, known are {sorted(modes)}")
+    rows = filtered(entities, scope, file_glob, lines, kinds)
+    wide = 10 * k if changed is not None else k
+    found = modes[mode](rows, query, wide).select("id", "score")
+    if not query_terms(query):
+        return found
+    if semantic is not None:
+        found = hybrid(found, top(semantic.join(rows.select("id"), "id", "left_semi").select("id", "score"), wide), wide)
+    if changed is not None:
+        if edges is None:
+            raise ValueError("changes need the edges")
+        found = boosted(found, change_nearness(edges, changed), k)
+    return top(found, k)
+
+
+def hashing_embedder(dim: int = 384, model=None):
+    """A vectorised function from texts to unit vectors: ``model``, from a list of texts to an array of vectors
+    a text, else signed counts of hashed words.  Null texts have none of either: zeros."""
+
+    def hashed(texts: list[str]) -> np.ndarray:
+        words = [t.lower().split() for t in texts]
+        names = sorted(set().union(*words)) if words else []
+        place = {w: i for i, w in enumerate(names)}
+        crc = np.array([zlib.crc32(w.encode()) for w in names], dtype=np.int64)  # each word once
+        flat = np.fromiter((place[w] for t in words for w in t), dtype=np.int64, count=sum(map(len, words)))
+        rows = np.repeat(np.arange(len(words)), [len(t) for t in words])
+        signs = np.where(crc >> 31, 1.0, -1.0)
+        return np.bincount(rows * dim + crc[flat] % dim, weights=signs[flat], minlength=len(words) * dim).reshape(-1, dim) if len(flat) else np.zeros((len(words), dim))
+
+    @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        import zlib
-
-        def one(text: str):
-            v = np.zeros(dim)
-            for w in (text or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1 if h >> 31 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).tolist()
-
-        return texts.map(one)
+        found = np.asarray((model or hashed)([t or "" for t in texts]), dtype=float)
+        norm = np.linalg.norm(found, axis=1, keepdims=True)
+        return pd.Series(list(found / np.where(norm == 0, 1.0, norm)))
 
     return embed

@@ -3,6 +3,9 @@ cuts lineage in the shared folder; loops on the driver run over hops only."""
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,32 +35,48 @@ def explore(edges: DataFrame, entities: DataFrame, start: str, direction: str =
     if entity_kinds:
         closed = entities.filter(~F.col("kind").isin(entity_kinds)).select(F.col("id").alias("next"))
         links = links.join(closed, "next", "left_anti").select("at", "next", "kind", "way")
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0, None, None)], "id string, depth int, parent string, kind string")
-    hop = 0
-    while depth < 0 or hop < depth:
-        front = seen.filter(F.col("depth") == hop).select(F.col("id").alias("at"))
+    fronts = [edges.sparkSession.createDataFrame([(start, 0, None, None)], "id string, depth int, parent string, kind string")]
+    for hop in count(1):
+        if 0 <= depth < hop:
+            break
+        front = fronts[-1].select(F.col("id").alias("at"))
         found = links.join(front, "at").groupBy(F.col("next").alias("id")).agg(F.min(F.struct(F.col("at"), kind_ord(F.col("kind")).alias("o"), F.col("kind"))).alias("m"))
-        found = found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop + 1).alias("depth"), F.col("m.at").alias("parent"), F.col("m.kind").alias("kind"))
-        seen = cut(seen.unionByName(found))
-        hop += 1
-        if not seen.filter(F.col("depth") == hop).limit(1).count():
+        for seen in fronts:
+            found = found.join(seen.select("id"), "id", "left_anti")
+        found = cut(found.select("id", F.lit(hop).alias("depth"), F.col("m.at").alias("parent"), F.col("m.kind").alias("kind")))
+        if not found.limit(1).count():
             break
-    return seen
+        fronts.append(found)
+        if len(fronts) > 16:  # long chains: what was seen before becomes one table
+            fronts = [cut(reduce(DataFrame.unionByName, fronts[:-1])), fronts[-1]]
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def impact_radius(edges: DataFrame, start: str, direction: str = "upstream", depth: int = 3, kinds: list[str] | None = None, most: int = 100) -> DataFrame:
     """(id, depth, path): what is reached over dependency edges, first discovery first, at most
     ``most``; the path lists predecessors and edge kinds from the start."""
     links = directed(edges, direction, kinds or DEPENDENCY_KINDS)
-    seen = edges.sparkSession.createDataFrame([(start, 0, [])], "id string, depth int, path array<struct<id:string,kind:string>>")
-    for hop in range(depth):
-        front = seen.filter(F.col("depth") == hop).select(F.col("id").alias("at"), "path")
-        best = links.join(front, "at").groupBy(F.col("next").alias("id")).agg(F.min(F.struct("at", kind_ord(F.col("kind")).alias("o"), "kind", "path")).alias("m"))
-        found = best.join(seen.select("id"), "id", "left_anti")
+    fronts = [edges.sparkSession.createDataFrame([(start, 0, [])], "id string, depth int, path array<struct<id:string,kind:string>>")]
+    for hop in range(1, depth + 1):
+        front = fronts[-1].select(F.col("id").alias("at"), "path")
+        found = links.join(front, "at").groupBy(F.col("next").alias("id")).agg(F.min(F.struct("at", kind_ord(F.col("kind")).alias("o"), "kind", "path")).alias("m"))
+        for seen in fronts:
+            found = found.join(seen.select("id"), "id", "left_anti")
         step = F.concat("m.path", F.array(F.struct(F.col("m.at").alias("id"), F.col("m.kind").alias("kind"))))
-        seen = cut(seen.unionByName(found.select("id", F.lit(hop + 1).alias("depth"), step.alias("path"))))
-    return seen.filter("depth > 0").orderBy("depth", "id").limit(most)
+        fronts.append(cut(found.select("id", F.lit(hop).alias("depth"), step.alias("path"))))
+    return reduce(DataFrame.unionByName, fronts).filter("depth > 0").orderBy("depth", "id").limit(most)
+
+
+def reached(edges: DataFrame, roots: list[str], direction: str = "upstream", depth: int = 2, kinds: list[str] | None = None) -> DataFrame:
+    """(root, id, depth): what each root reaches over dependency edges, in one search for all roots."""
+    links = directed(edges, direction, kinds or DEPENDENCY_KINDS).select("at", "next").distinct()
+    fronts = [edges.sparkSession.createDataFrame([(r, r, 0) for r in sorted(set(roots))], "root string, id string, depth int")]
+    for hop in range(1, depth + 1):
+        found = links.join(fronts[-1].select("root", F.col("id").alias("at")), "at").select("root", F.col("next").alias("id")).distinct()
+        for seen in fronts:
+            found = found.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        fronts.append(cut(found.select("root", "id", F.lit(hop).alias("depth"))))
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def find_paths(edges: DataFrame, source: str, target: str, hops: int = 5, most: int = 3, kinds: list[str] | None = None) -> DataFrame:
@@ -116,6 +135,33 @@ def fetch_node(entities: DataFrame, path: str) -> DataFrame:
     return below.agg(F.array_join(F.sort_array(F.collect_set(F.nullif(child, F.lit("")))), ",").alias("children"), F.count(F.lit(1)).alias("entity_count"))
 
 
+#: Parts of an entity that can be asked for (fixed values).
+FIELDS = ["features", "source", "deps", "hierarchy"]
+
+
+def project(entities: DataFrame, edges: DataFrame, ids: list[str], fields: list[str], sources: DataFrame | None = None, source_max_lines: int | None = None) -> DataFrame:
+    """(id, name, kind, file) of the ids and the ``fields`` asked for: features, deps (sorted (way, kind, id)),
+    hierarchy, source (lines of ``sources`` (file, content), ``source_max_lines`` at most).  An unknown field is an error."""
+    unknown = sorted(set(fields) - set(FIELDS))
+    if unknown:
+        raise ValueError(f"unknown fields {unknown}, known are {FIELDS}")
+    out, kept = entities.filter(F.col("id").isin(ids)), ["id", "name", "kind", "file"]
+    if "features" in fields:
+        out, kept = out.withColumn("features", F.col("semantic_features")), [*kept, "features"]
+    if "hierarchy" in fields:
+        out, kept = out.withColumn("hierarchy", F.col("hierarchy_path")), [*kept, "hierarchy"]
+    if "deps" in fields:
+        near = directed(edges, "both", DEPENDENCY_KINDS).filter(F.col("at").isin(ids)).distinct()
+        near = near.groupBy(F.col("at").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("way"), F.col("kind"), F.col("next").alias("id")))).alias("deps"))
+        out, kept = out.join(near, "id", "left"), [*kept, "deps"]
+    if "source" in fields:
+        if sources is None:
+            raise ValueError("source needs the files' contents")
+        out = out.join(sources.select("file", "content"), "file", "left").withColumn("source", source_slice(F.col("content"), F.col("line_start"), F.col("line_end"), source_max_lines))
+        kept = [*kept, "source"]
+    return out.select(kept)
+
+
 def source_slice(content, line_start, line_end, most: int | None = None):
     """The lines of an entity as a column."""
     n = line_end - line_start + 1
@@ -130,7 +176,8 @@ def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
 
 
 def context_pack(entities: DataFrame, edges: DataFrame, query: str, scope: str = "", budget: int = 4000, depth: int = 1, k: int = 10) -> DataFrame:
-    """(id, role, score, tokens, running): search hits and their neighbours, cut to a token budget."""
+    """(id, role, score, tokens, running): search hits and their neighbours, cut to a token budget.  A row
+    has two tokens at least, so no more than half the budget's number of rows can fit."""
     from .search import filtered, search_auto
 
     hits = cut(search_auto(filtered(entities, scope), query, k))
@@ -141,4 +188,4 @@ def context_pack(entities: DataFrame, edges: DataFrame, query: str, scope: str =
     rows = near.join(hits, "id", "left").join(entities, "id")
     size = F.ceil((F.length("id") + F.length("name") + F.length(F.array_join("semantic_features", ", "))) / 4) + 1
     rows = rows.select("id", F.when(F.col("score").isNull(), "neighbour").otherwise("hit").alias("role"), F.coalesce("score", F.lit(0.0)).alias("score"), size.cast("long").alias("tokens"))
-    return within_budget(rows.orderBy(F.desc("score"), "id").limit(500), budget)
+    return within_budget(rows.orderBy(F.round("score", 9).desc(), "id").limit(budget // 2 + 1), budget)

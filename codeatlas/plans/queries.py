@@ -14,6 +14,7 @@ from ..operators import analytics, evolve, lifting, planning, search, traverse
 from ..operators import graph as build
 from ..operators import hierarchy as tree
 from ..operators.order import numbered
+from ..schema import CodeGraph
 from ..session import cut, shared_dir
 from ..sources.extract import enclosing_scopes, extract_entities
 from ..sources.files import load, save
@@ -29,6 +30,12 @@ DEPS = "('imports', 'invokes', 'inherits', 'composes', 'renders', 'reads_state',
 QUERY = "red widget economy"
 
 
+def stored_graph(spark, sf):
+    """The graph with its edges written once, for operators that read them hop by hop."""
+    g = graph(spark, sf)
+    return CodeGraph(g.entities, cut(g.edges))
+
+
 def query(sql: str | None = None, with_graph: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
@@ -274,13 +281,13 @@ def _changed(g):
 
 @query(_NEAR + " SELECT id, hops FROM nr")
 def change_proximity(spark, sf):
-    g = graph(spark, sf)
+    g = stored_graph(spark, sf)
     return search.change_nearness(g.edges, _changed(g))
 
 
 @query(_FEATURES + "," + _NEAR.removeprefix("WITH ") + ", big AS (SELECT id, score FROM ft ORDER BY round(score, 9) DESC, id LIMIT 100) SELECT id, round(score * CASE hops WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END, 6) AS score FROM big LEFT JOIN nr USING (id) ORDER BY round(score * CASE hops WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END, 9) DESC, id LIMIT 10")
 def proximity_boost(spark, sf):
-    g = graph(spark, sf)
+    g = stored_graph(spark, sf)
     hits = search.search_features(g.entities, QUERY, 100).select("id", "score")
     return search.boosted(hits, search.change_nearness(g.edges, _changed(g)), 10).select("id", F.round("score", 6).alias("score"))
 
@@ -309,18 +316,18 @@ def _bfs(start: str, at: str, nxt: str, depth: int) -> str:
 
 @query(_bfs("order:7", "source", "target", 3) + " SELECT mn.id, mn.depth, (SELECT min(source) FROM edges JOIN mn p ON p.id = source AND p.depth = mn.depth - 1 WHERE target = mn.id) AS parent FROM mn")
 def explore_bfs(spark, sf):
-    g = graph(spark, sf)
+    g = stored_graph(spark, sf)
     return traverse.explore(g.edges, g.entities, "order:7", "downstream", 3).select("id", "depth", "parent")
 
 
 @query(_bfs("supplier:3", "target", "source", 2) + " SELECT id, depth FROM mn WHERE depth > 0 ORDER BY depth, id LIMIT 100")
 def impact_radius(spark, sf):
-    return traverse.impact_radius(graph(spark, sf).edges, "supplier:3", "upstream", 2).select("id", "depth")
+    return traverse.impact_radius(stored_graph(spark, sf).edges, "supplier:3", "upstream", 2).select("id", "depth")
 
 
 @query("WITH target AS (SELECT min(e2.target) AS t FROM edges e1 JOIN edges e2 ON e2.source = e1.target WHERE e1.source = 'order:7'), pt(path, last, n) AS (SELECT ['order:7'], 'order:7', 0 UNION ALL SELECT list_append(path, e.target), e.target, n + 1 FROM pt JOIN (SELECT DISTINCT source, target FROM edges) e ON e.source = last WHERE n < 3 AND NOT list_contains(path, e.target)) SELECT array_to_string(path, ' ') AS path, n::INT AS length FROM pt WHERE last = (SELECT t FROM target) ORDER BY n, path LIMIT 3")
 def shortest_paths_k(spark, sf):
-    e = graph(spark, sf).edges
+    e = stored_graph(spark, sf).edges
     first = e.filter("source = 'order:7'").select(F.col("target").alias("source"))
     target = e.join(first, "source", "left_semi").agg(F.min("target")).first()[0]
     return traverse.find_paths(e, "order:7", target, 3, 3).select(F.array_join("path", " ").alias("path"), "length")
@@ -328,7 +335,7 @@ def shortest_paths_k(spark, sf):
 
 @query("WITH wy AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), s0 AS (SELECT unnest(['order:1', 'order:2', 'supplier:5']) AS root, unnest(['order:1', 'order:2', 'supplier:5']) AS id, NULL::VARCHAR AS parent), s1 AS (SELECT root, b AS id, min(a) AS parent FROM s0 JOIN wy ON a = s0.id WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.root = s0.root AND x.id = b) GROUP BY ALL), s2 AS (SELECT root, b AS id, min(a) AS parent FROM s1 JOIN wy ON a = s1.id WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.root = s1.root AND x.id = b) AND NOT EXISTS (SELECT 1 FROM s1 x WHERE x.root = s1.root AND x.id = b) GROUP BY ALL), s3 AS (SELECT root, b AS id, min(a) AS parent FROM s2 JOIN wy ON a = s2.id WHERE NOT EXISTS (SELECT 1 FROM s0 x WHERE x.root = s2.root AND x.id = b) AND NOT EXISTS (SELECT 1 FROM s1 x WHERE x.root = s2.root AND x.id = b) AND NOT EXISTS (SELECT 1 FROM s2 x WHERE x.root = s2.root AND x.id = b) GROUP BY ALL), se AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), p0 AS (SELECT root, id, parent FROM se WHERE id IN ('order:1', 'order:2', 'supplier:5') AND root < id), p1 AS (SELECT se.* FROM p0 JOIN se ON se.root = p0.root AND se.id = p0.parent), p2 AS (SELECT se.* FROM p1 JOIN se ON se.root = p1.root AND se.id = p1.parent), p3 AS (SELECT se.* FROM p2 JOIN se ON se.root = p2.root AND se.id = p2.parent) SELECT id FROM p0 UNION SELECT id FROM p1 UNION SELECT id FROM p2 UNION SELECT id FROM p3")
 def slice_between(spark, sf):
-    g = graph(spark, sf)
+    g = stored_graph(spark, sf)
     return traverse.slice_between(g.edges, ["order:1", "order:2", "supplier:5"], 3)[0]
 
 
@@ -396,18 +403,17 @@ _WORDS = "WITH d AS (SELECT doc_id::VARCHAR AS id, source AS file, list_distinct
 @query(_WORDS + " SELECT a, b, round(s, 3) AS similarity FROM (SELECT a, b, len(list_intersect(x.fs, y.fs))::DOUBLE / len(list_distinct(list_concat(x.fs, y.fs))) AS s FROM pr JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE x.file <> y.file AND shared::DOUBLE / greatest(len(x.fs), len(y.fs)) >= 0.6::DOUBLE) WHERE s >= 0.6::DOUBLE ORDER BY similarity DESC, a, b LIMIT 50", with_graph=False)
 def semantic_clones(spark, sf):
     """Documents as entities of their source, runs of eight words as features."""
-    words = F.filter(F.split("text", " "), lambda x: x != "")
-    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file"), words.alias("ws"))
-    runs = F.when(F.size("ws") >= 8, F.transform(F.sequence(F.lit(0), F.expr("cast(size(ws) div 8 as int) - 1")), lambda i: F.array_join(F.slice("ws", i * 8 + 1, 8), " "))).otherwise(F.array().cast("array<string>"))
-    return analytics.semantic_clones(docs.select("id", "file", runs.alias("semantic_features")))
+    runs = F.transform(F.regexp_extract_all("text", F.lit(r"[^ ]+(?: +[^ ]+){7}"), F.lit(0)), lambda x: F.regexp_replace(x, " +", " "))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file"), runs.alias("semantic_features"))
+    return analytics.semantic_clones(docs)
 
 
-@query("WITH RECURSIVE w AS (SELECT p_partkey // 100 AS g, list_transform(list(p_size ORDER BY p_partkey), lambda x: x % 7) AS t FROM part GROUP BY 1), h AS (SELECT DISTINCT g, list_reduce(list_transform(t[i:i + 4], lambda x: x::BIGINT), lambda a, v: (a * 256 + v) % 1000000007) AS h FROM w, range(1, 97) r(i) WHERE i <= len(t) - 4), p AS (SELECT a.g::VARCHAR AS a, b.g::VARCHAR AS b, count(*) AS shared FROM h a JOIN h b ON a.h = b.h AND a.g::VARCHAR < b.g::VARCHAR GROUP BY ALL), n AS (SELECT g::VARCHAR AS g, len(t) - 4 AS w FROM w) SELECT a, b, shared, round(least(1.0, shared::DOUBLE / least(x.w, y.w)), 3) AS similarity FROM p JOIN n x ON x.g = a JOIN n y ON y.g = b WHERE shared::DOUBLE / least(x.w, y.w) >= 0.001 ORDER BY similarity DESC, a, b LIMIT 50", with_graph=False)
+@query("WITH d AS (SELECT doc_id::VARCHAR AS g, list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x: length(x)::BIGINT) AS t FROM documents), h AS (SELECT g, unnest(list_distinct(list_transform(range(1, len(t) - 18), lambda i: list_reduce(t[i:i + 19], lambda a, v: (a * 256 + v) % 1000000007)))) AS h FROM d WHERE len(t) >= 20), n AS (SELECT g, len(t) - 19 AS w FROM d WHERE len(t) >= 20), p AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM h a JOIN h b ON a.h = b.h AND a.g < b.g GROUP BY ALL) SELECT a, b, shared, round(least(1.0, shared::DOUBLE / least(x.w, y.w)), 3) AS similarity FROM p JOIN n x ON x.g = a JOIN n y ON y.g = b WHERE shared::DOUBLE / least(x.w, y.w) >= 0.7::DOUBLE ORDER BY similarity DESC, a, b LIMIT 50", with_graph=False)
 def token_clones(spark, sf):
-    """Hundreds of parts as sources, their sizes modulo 7 as tokens, windows of five."""
-    rows = read(spark, sf, "part").groupBy(F.expr("p_partkey div 100").alias("g")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("r"))
-    tokens = rows.select(F.col("g").cast("string").alias("id"), F.transform("r", lambda x: x.p_size % 7).alias("tokens"))
-    return analytics.token_clones(tokens, 5, 0.001, 1)
+    """Documents as sources, the lengths of their words as tokens."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    tokens = F.transform(words, F.length)
+    return analytics.token_clones(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), tokens.alias("tokens")))
 
 
 @query("SELECT id, count(*) AS links FROM (SELECT source AS id FROM edges WHERE kind IN ('invokes', 'imports', 'inherits') UNION ALL SELECT target FROM edges WHERE kind IN ('invokes', 'imports', 'inherits')) GROUP BY id ORDER BY links DESC, id LIMIT 10")
@@ -655,6 +661,66 @@ def mermaid_export(spark, sf):
     return export.mermaid_lines(g.entities, g.edges).withColumn("place", F.hex("place"))
 
 
+_HITS = _AUTO.replace("LIMIT 30", "LIMIT 20").replace("LIMIT 15", "LIMIT 10")
+
+
+@query(_HITS + ", near AS (SELECT id FROM au UNION SELECT target FROM edges WHERE source IN (SELECT id FROM au) UNION SELECT source FROM edges WHERE target IN (SELECT id FROM au)), sz AS (SELECT e.id, CASE WHEN au.id IS NULL THEN 'neighbour' ELSE 'hit' END AS role, coalesce(au.score, 0.0) AS score, CAST(ceil((length(e.id) + length(e.name) + length(array_to_string(e.semantic_features, ', '))) / 4.0) + 1 AS BIGINT) AS tokens FROM near JOIN entities e ON e.id = near.id LEFT JOIN au ON au.id = e.id), rn AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY round(score, 9) DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM sz) SELECT id, role, round(score, 6) AS score, tokens, running FROM rn WHERE running <= 1000")
+def context_pack(spark, sf):
+    g = stored_graph(spark, sf)
+    return traverse.context_pack(cut(g.entities), g.edges, QUERY, budget=1000).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count_if(len(semantic_features) > 0 AND line_start % 3 > 0)::BIGINT AS lifted, count(*) AS total FROM entities")
+def coverage_overall(spark, sf):
+    return tree.coverage_overall(_third_unlifted(spark, sf))
+
+
+def _third_unlifted(spark, sf):
+    """As if every third line's entities had no features."""
+    return entities(spark, sf).withColumn("semantic_features", F.when(F.col("line_start") % 3 > 0, F.col("semantic_features")))
+
+
+@query("SELECT file, count(*) AS unlifted FROM entities WHERE line_start % 3 = 0 GROUP BY file")
+def unlifted_by_file(spark, sf):
+    return tree.unlifted_by_file(_third_unlifted(spark, sf))
+
+
+@query(_UP + " SELECT id, name, kind || ' in ' || file AS description FROM entities WHERE id IN ('part:7', 'order:9') UNION ALL SELECT 'h:' || path, string_split(path, '/')[-1], 'hierarchy node (' || count(*) || ' entities' || CASE path WHEN 'ASIA' THEN ', grounded: ASIA)' ELSE ')' END FROM up WHERE path IN ('ASIA', 'PARTS/Brand#1') GROUP BY path")
+def display_info(spark, sf):
+    out = tree.display_info(entities(spark, sf), ["part:7", "order:9", "h:ASIA", "h:PARTS/Brand#1", "h:nowhere", "none"])
+    return out.withColumn("description", F.regexp_replace("description", ", grounded: PARTS", ""))
+
+
+@query("WITH ids AS (SELECT unnest(['part:7', 'order:9']) AS i), n AS (SELECT i, 'downstream' AS way, kind, target AS id FROM edges JOIN ids ON source = i UNION SELECT i, 'upstream', kind, source FROM edges JOIN ids ON target = i) SELECT id, name, file, array_to_string(semantic_features, ',') AS features, (SELECT string_agg(way || ' ' || kind || ' ' || n.id, ',' ORDER BY way, kind, n.id) FROM n WHERE n.i = entities.id) AS deps FROM entities WHERE id IN ('part:7', 'order:9')")
+def project_fields(spark, sf):
+    g = graph(spark, sf)
+    out = traverse.project(g.entities, g.edges, ["part:7", "order:9"], ["features", "deps"])
+    return out.select("id", "name", "file", F.array_join("features", ",").alias("features"), F.array_join(F.transform("deps", lambda d: F.concat_ws(" ", d.way, d.kind, d.id)), ",").alias("deps"))
+
+
+@query("WITH scoped AS (SELECT * FROM entities WHERE starts_with(hierarchy_path, 'PARTS/') AND kind = 'model' AND line_end >= 1 AND line_start <= 800), " + _AUTO.removeprefix("WITH ").replace("FROM entities", "FROM scoped") + " SELECT id, round(score, 6) AS score FROM au")
+def search_entry(spark, sf):
+    """The one entry with a scope, kinds and lines."""
+    found = search.search(entities(spark, sf), QUERY, 15, scope="PARTS", kinds="model, bogus", lines=(1, 800))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def plan_change(spark, sf):
+    """The plan's order of changes, its hits' scores, and how many depend on them."""
+    g = stored_graph(spark, sf)
+    plan = planning.plan_change(cut(g.entities), g.edges, QUERY)
+    place, near = {x: i for i, x in enumerate(plan["order"])}, {x["id"]: x for x in plan["impact"]}
+    rows = [(r["id"], place[r["id"]], float(round(r["score"], 6)), near[r["id"]]["upstream"], near[r["id"]]["files"]) for r in plan["relevant"]]
+    return spark.createDataFrame(rows, "id string, place int, score double, upstream long, files long")
+
+
+@query("WITH deg AS (SELECT id, count(*) AS links FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id), r AS (SELECT CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '' END AS folder, e.id AS entity, links FROM entities e JOIN deg USING (id)) SELECT folder, entity, links FROM r QUALIFY row_number() OVER (PARTITION BY folder ORDER BY links DESC, entity) <= 5")
+def snapshot_skeleton(spark, sf):
+    g = graph(spark, sf)
+    return analytics.skeleton(g.edges, g.entities)
+
+
 _REPORT_LINE = "id || ': in ' || ca || ', out ' || ce || ', instability ' || CAST(round(instability * 100) AS BIGINT) || '%'"
 
 

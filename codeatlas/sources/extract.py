@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
@@ -241,21 +241,35 @@ def enclosing_scopes(calls: DataFrame, scopes: DataFrame, block: int = 256) -> D
     return rows.groupBy("file", "row").agg(best.alias("m")).select("file", "row", "m.scope")
 
 
+def has_dependency(content: Column, name: str) -> Column:
+    """Whether a manifest names a dependency: in quotes, or as a word of its own before white space or a
+    version."""
+    word = r"(?:^|\s)" + re.escape(name) + r"(?=[\s=><~!;@]|$)"
+    return F.contains(content, F.lit(f'"{name}"')) | F.contains(content, F.lit(f"'{name}'")) | content.rlike(word)
+
+
 def detect_paradigms(files: DataFrame, rules: list[dict]) -> list[str]:
-    """Names of the rules that fit a tree, by priority: a manifest's dependency, a file's name, or a
-    file glob, and a language of the rule's.  One row of flags comes to the driver."""
-    manifest = F.col("path").rlike(r"(^|/)(package\.json|requirements\.txt|pyproject\.toml|Cargo\.toml|go\.mod|pom\.xml|Gemfile|composer\.json|build\.gradle(\.kts)?)$")
+    """Names of the rules that fit a tree, by priority: a manifest's dependency, a file's name, a
+    file glob, or a glob of names in a folder, and a language of the rule's; a rule without any of the
+    former, or without languages, does not ask for them.  One row of flags comes to the driver."""
     from ..functions.text import glob_regex
 
+    if not rules:
+        return []
+    manifest = F.col("path").rlike(r"(^|/)(package\.json|requirements\.txt|pyproject\.toml|setup\.py|Cargo\.toml|go\.mod|pom\.xml|Gemfile|composer\.json|Package\.swift|build\.gradle(\.kts)?|[^/]+\.csproj)$")
     flags = []
     for r in rules:
-        hit = F.lit(False)
+        hit = F.lit(not any(r.get(k) for k in ("deps", "configs", "globs", "dirs")))
         for d in r.get("deps", []):
-            hit = hit | (manifest & F.contains(F.col("content"), F.lit(d)))
+            hit = hit | (manifest & has_dependency(F.coalesce("content", F.lit("")), d))
         for n in r.get("configs", []):
             hit = hit | F.col("path").rlike(f"(^|/){re.escape(n)}$")
         for g in r.get("globs", []):
             hit = hit | F.col("path").rlike(glob_regex(g))
-        flags.append((F.bool_or(hit) & F.bool_or(F.col("language").isin(r["languages"]))).alias(r["name"]))
+        for folder, pattern in r.get("dirs", []):
+            inside = glob_regex(pattern).removeprefix("(?s)^").removesuffix("$").replace(".*", "[^/]*")
+            hit = hit | F.col("path").rlike(f"(^|/){re.escape(folder.strip('/'))}/(.*/)?{inside}$")
+        speaks = F.coalesce(F.col("language").isin(r["languages"]), F.lit(False)) if r["languages"] else F.lit(True)
+        flags.append((F.bool_or(hit) & F.bool_or(speaks)).alias(r["name"]))
     row = files.agg(*flags).first()
     return [r["name"] for r in sorted(rules, key=lambda r: r.get("priority", 100)) if row[r["name"]]]

@@ -137,7 +137,7 @@ def test_text_functions(spark):
         split_words(F.lit("parseHTTPResponse_now")).alias("w"), clean_score(F.lit(float("nan"))).alias("c"), *(v.alias(k) for k, v in structural_signals(F.lit("if x:\n  return f(x)\nfor y in z:\n  g()\nreturn 1\n")).items()),
     ).first()
     assert (row.j, row.d, row.w, row.c) == (0.5, 0.0, "parse http response now", 0.0)
-    assert (row.branches, row.loops, row.early_returns, row.calls, row.lines) == (1, 1, 1, 2, 6)
+    assert (row.branches, row.loops, row.early_returns, row.calls, row.lines) == (1, 1, 1, 2, 5)  # an end of line at the end begins no line
 
 
 def test_lifting(spark):
@@ -320,13 +320,16 @@ def test_report_lines(spark):
     from codeatlas.operators import analytics
     from codeatlas.plans import export
 
-    e = spark.createDataFrame([(f"v{i}", "function", f'n"{i}\\', "A/b") for i in range(12)], "id string, kind string, name string, hierarchy_path string")
+    e = spark.createDataFrame([(f"v{i}", "function", f'n"{i}\\', "A/b", ["f"] if i == 3 else []) for i in range(12)], "id string, kind string, name string, hierarchy_path string, semantic_features array<string>")
     edges = spark.createDataFrame([("v0", f"v{i}", "invokes") for i in range(1, 12)], "source string, target string, kind string")
     report = analytics.health(e, edges)
     lines = [r.line for r in export.health_lines(report).orderBy("part", "place").collect()]
     assert lines == ["entities: 12", "god: 1", "unstable: 1", "stable: 11", "hub: 1", "v0: in 0, out 11, instability 100%", "v0: in 0, out 11, instability 100%"]
     assert [r.line for r in export.health_lines(report.limit(0)).orderBy("place").collect()] == ["entities: 0", "god: 0", "unstable: 0", "stable: 0", "hub: 0"]
-    assert '  "v3" [label="n\\"3\\\\", shape=ellipse];' in {r.line for r in export.dot_lines(e, edges).collect()}
+    dot = {r.line for r in export.dot_lines(e, edges).collect()}
+    assert {'  "v3" [shape=ellipse, style=filled, fillcolor="#e0ffe0", label="n\\"3\\\\"];', '  "h:A" [shape=folder, style=filled, fillcolor="#e0e0ff", label="A"];', '  "h:A" -> "h:A/b" [style=dotted];', '  "v0" -> "v1" [style=solid, label="invokes"];'} <= dot
+    shown = [r.line for r in export.mermaid_lines(e.limit(2), edges.limit(1)).orderBy("part", "place").collect()]
+    assert [x.split("[")[0] for x in shown] == ["  subgraph h_A", "    subgraph h_A_b", "      v0", "      v1", "    end", "  end", "  v0 -->|invokes| v1"]
 
 
 def test_batches_across_blocks(spark):
@@ -419,3 +422,158 @@ def test_levels_of_a_long_chain(spark):
     edges = spark.createDataFrame(links, "source string, target string, kind string").coalesce(1)
     got = {r.id: r.level for r in planning.topological_levels(entities, edges).collect()}
     assert got == {f"e{i:03d}": i for i in range(105)} | {"x": -1, "y": -1}
+
+
+def test_long_chain_is_explored(spark):
+    e = edges_df(spark, [(f"n{i:03}", f"n{i + 1:03}", "invokes") for i in range(40)])
+    got = {r.id: r.depth for r in traverse.explore(e, e, "n000", depth=-1).collect()}
+    assert got == {f"n{i:03}": i for i in range(41)}
+    assert {(r.root, r.id, r.depth) for r in traverse.reached(e, ["n002", "n001"], "upstream", 2).collect()} == {("n002", "n002", 0), ("n002", "n001", 1), ("n002", "n000", 2), ("n001", "n001", 0), ("n001", "n000", 1)}
+
+
+def test_code_tokens_and_clones(spark):
+    from codeatlas.functions.code import code_tokens
+
+    one = "def add(a, b):\n    return a + b * 2  // sum\n"
+    assert code_tokens(one) == code_tokens("def plus(x,y): return x+y*7 /* other */")
+    assert code_tokens(one) != code_tokens("def add(a, b):\n    return a - b * 2\n") and code_tokens(None) == []
+    assert code_tokens("'a\\'b' \"un") == code_tokens("1 2.5e3") and len(code_tokens("a <= b && !c")) == 6
+    body = "fn f(a) { let x = g(a, 1); if x > 2 { return h(x); } else { return k(x, \"s\"); } }\n"
+    files_df = spark.createDataFrame([("a", body), ("b", body.replace("x", "other").replace("2", "99")), ("c", "fn q() {}"), ("d", None)], "id string, content string")
+    got = analytics.token_clones(analytics.tokenized(files_df)).collect()
+    assert [(r.a, r.b, r.similarity) for r in got] == [("a", "b", 1.0)]
+
+    def rolling(tokens, width):
+        return [sum(t * pow(256, width - 1 - k, 1_000_000_007) for k, t in enumerate(tokens[i : i + width])) % 1_000_000_007 for i in range(len(tokens) - width + 1)]
+
+    tokens = [random.Random(1).randrange(1 << 31) for _ in range(60)]
+    assert analytics.window_hashes(tokens, 20) == rolling(tokens, 20) and analytics.window_hashes(tokens[:5], 20) == []
+
+
+TOML = """
+schema_version = 1
+name = "shop"
+priority = 5
+languages = ["python"]
+[detect]
+deps = ["flask"]
+config_files = ["shop.json"]
+[[detect.dir_with_files]]
+dir = "routes"
+pattern = "*.py"
+[[classify]]
+id = "shop.view"
+action = { reclassify = "controller" }
+[classify.match]
+kind = "function"
+file_path_contains = "routes"
+name_starts_uppercase = false
+[[auto_lift]]
+id = "shop.getter"
+features = ["{verb} {field}"]
+strip_prefix = ["get_"]
+[auto_lift.match]
+name_regex = "^get_"
+max_lines = 12
+[auto_lift.prefix_verb]
+"get_" = "return"
+[prompt_hints]
+lifting = "- name the goods"
+"""
+
+
+def test_framework_files(spark, tmp_path):
+    from codeatlas.sources import rules
+
+    (tmp_path / "shop.toml").write_text(TOML)
+    (tmp_path / "all.toml").write_text('name = "core"\npriority = 1\n')
+    found = rules.load_frameworks(str(tmp_path))
+    assert [f.name for f in found] == ["core", "shop"] and "name the goods" in rules.hints(found, "lifting")
+    tree = lambda *rows: spark.createDataFrame(rows, "path string, language string, content string")
+    code = ("x.py", "python", "")
+    active = lambda *rows: extract.detect_paradigms(tree(code, *rows), rules.detection(found))
+    assert active() == ["core"] and active(("requirements.txt", None, "flask==2.0\n")) == ["core", "shop"]
+    assert active(("requirements.txt", None, "flask-cors\n# flaskx")) == ["core"] and active(("a/shop.json", None, None)) == ["core", "shop"]
+    assert active(("app/routes/a/b.py", "python", "")) == ["core", "shop"] and active(("routes.py", "python", "")) == ["core"]
+    assert extract.detect_paradigms(tree(("package.json", None, '{"flask": 1}')), rules.detection(found)) == ["core"]
+    e = entities_df(spark, [("routes/a.py:get_total_cost", "function", "get_total_cost", "routes/a.py", [], ""), ("b.py:get_x", "function", "get_x", "b.py", [], "")]).withColumns({c: F.lit(1) for c in ("lines", "branches", "loops", "calls")})
+    assert {r.name: r.new_kind for r in lifting.classify(e, found[1].classify).collect()} == {"get_total_cost": "controller", "get_x": "function"}
+    assert {r.id: r.features for r in lifting.auto_lift(e, found[1].auto_lift).collect()}["routes/a.py:get_total_cost"] == ["return total cost"]
+    for bad in ("schema_version = 2\nname = 'x'", "priority = 3", TOML.replace("{verb}", "{bogus}"), TOML.replace("reclassify", "explode")):
+        with pytest.raises(ValueError):
+            rules.parse_framework(bad)
+
+
+def test_search_entry(spark, shop):
+    assert search.search(shop, "", 5).count() == 0 and search.search(shop, "database query", 1).first().id == "db.rs:query_users"
+    with pytest.raises(ValueError):
+        search.search(shop, "x", mode="bogus")
+    semantic = spark.createDataFrame([("utils.rs:parse_config", 0.9), ("not.there", 1.0)], "id string, score double")
+    got = [r.id for r in search.search(shop, "database query", 4, semantic=semantic).collect()]
+    assert got[0] == "utils.rs:parse_config" and "not.there" not in got
+    e = edges_df(spark, [("auth.rs:validate_token", "api.rs:handle_login", "invokes")])
+    plain = [r.id for r in search.search(shop, "authentication", 4).collect()]
+    boosted = search.search(shop, "authentication", 4, edges=e, changed=spark.createDataFrame([(plain[-1],)], "id string")).collect()
+    assert boosted[0].id == plain[-1]
+    vectors = shop.limit(1).select(search.hashing_embedder(8)(F.lit("one two two")).alias("a"), search.hashing_embedder(8)(F.lit(None).cast("string")).alias("b"), search.hashing_embedder(2, lambda texts: [[3.0, 4.0]] * len(texts))(F.lit("x")).alias("c")).first()
+    assert abs(sum(x * x for x in vectors.a) - 1) < 1e-9 and vectors.b == [0.0] * 8 and vectors.c == [0.6, 0.8]
+
+
+def test_plan_and_fields(spark, shop):
+    from codeatlas.plans.export import change_plan_text
+
+    e = edges_df(spark, [("api.rs:handle_login", "auth.rs:validate_token", "invokes"), ("t.rs:test_login", "auth.rs:validate_token", "invokes")])
+    whole = shop.unionByName(entities_df(spark, [("t.rs:test_login", "function", "test_login", "t.rs", [], "")]))
+    plan = planning.plan_change(whole, e, "authentication")
+    assert plan["order"].index("auth.rs:validate_token") < plan["order"].index("api.rs:handle_login") and plan["tests"] == ["t.rs:test_login"] or "t.rs:test_login" in plan["order"]
+    assert {x["id"]: (x["upstream"], x["files"]) for x in plan["impact"]}["auth.rs:validate_token"] == (2, 2) and plan["lifted"] == 80.0
+    text = change_plan_text(plan)
+    assert text.startswith('## Change Plan for: "authentication"\n') and "- `auth.rs:validate_token`: 2 upstream dependents across 2 files\n" in text and "Note: 80% lifting" in text
+    sources = spark.createDataFrame([("auth.rs", "a\nb\nc")], "file string, content string")
+    row = traverse.project(shop, e, ["auth.rs:validate_token"], ["features", "source", "deps", "hierarchy"], sources, 2).first()
+    assert row.source == "a\nb" and [(d.way, d.id) for d in row.deps] == [("upstream", "api.rs:handle_login"), ("upstream", "t.rs:test_login")]
+    with pytest.raises(ValueError):
+        traverse.project(shop, e, ["x"], ["bogus"])
+
+
+def test_lifting_session(spark, shop):
+    from codeatlas.plans.export import pipe_table, tree_text
+
+    module = entities_df(spark, [("auth.rs:auth", "module", "auth", "auth.rs", ["old"], "Security/auth/token")])
+    lost = entities_df(spark, [("new.rs:login", "function", "login", "new.rs", ["login endpoint", "authentication flow"], "Misc/x/y")])
+    g = CodeGraph(shop.unionByName(module).unionByName(lost), edges_df(spark, []))
+    pending = lost.select("id", F.col("semantic_features").alias("features"))
+    tree = hierarchy.features(shop)
+    page, seen = lifting.routing_page(pending, tree)
+    assert [(r.id, r.candidate) for r in page.collect()] == [("new.rs:login", "Security")]  # no child is strictly more similar
+    paths = tree.select("path")
+    decisions = spark.createDataFrame([("new.rs:login", "Security/auth/login"), ("x", "keep")], "id string, decision string")
+    assert {r.id: r.problem for r in lifting.check_routing(decisions, pending, paths, seen).collect()} == {"new.rs:login": None, "x": "not pending"}
+    with pytest.raises(ValueError):
+        lifting.check_routing(decisions, pending.limit(0), paths, seen)
+    done = lifting.finalize(g, pending)
+    rows = {r.id: r for r in done.entities.collect()}
+    assert rows["new.rs:login"].hierarchy_path in ("Misc", "Security")  # its own place counts as well
+    assert rows["auth.rs:auth"].semantic_features == ["authentication check", "jwt token validation"] and done.edges.filter("kind = 'contains'").count() > 0
+    assert pipe_table("t", pending.select("id")) == "t[1|]{id}:\n  new.rs:login"
+    found = traverse.explore(edges_df(spark, CHAIN), shop, "a", depth=3)
+    assert tree_text(found) == "a\n  b\n    c"
+
+
+def test_integrity_and_snapshot(spark, shop):
+    e = edges_df(spark, [("h:Nowhere", "auth.rs:validate_token", "contains"), ("h:Security", "h:Security/auth", "contains")])
+    present = shop.select(F.col("file").alias("path")).filter("path <> 'db.rs'")
+    assert {tuple(r) for r in graph.orphans(shop, e, present).collect()} == {("orphan_node", "h:Nowhere"), ("missing_file", "db.rs")}
+    groups, few = analytics.trimmed_snapshot(shop, 30_000)
+    assert few == 3 and groups.count() == 4 and analytics.trimmed_snapshot(shop, 1)[1] == 0
+    assert graph.edges_for(e, "h:Security").count() == 1
+    replaced = graph.insert(shop, entities_df(spark, [("db.rs:query_users", "class", "query_users", "db.rs", [], "")]))
+    assert replaced.count() == 4 and replaced.filter("id = 'db.rs:query_users'").first().kind == "class"
+    low, high = search.bootstrap_interval([1, 2, 0, 1])
+    assert 0 <= low <= high <= 1
+    found = spark.createDataFrame([(["a", "b"], 2), (["a", "c", "d"], 3)], "cycle array<string>, length int")
+    own = spark.createDataFrame([("a", "f1", "Nav/x"), ("b", "f1", "Nav/y"), ("c", "f2", "Core/x"), ("d", "f2", None)], "id string, file string, hierarchy_path string")
+    assert [r.length for r in analytics.sort_cycles(found, own, "file_count").collect()] == [3, 2]
+    assert [r.length for r in analytics.filter_cycles(found, own, ignored=("f1",)).collect()] == [3]
+    node = traverse.fetch_node(shop, "Security").first()
+    assert (node.children, node.entity_count) == ("auth", 2)

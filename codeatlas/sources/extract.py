@@ -15,7 +15,7 @@ from ..session import cut, ship
 
 #: Line patterns by language: (kind, pattern with a group for the name) (fixed values).
 _C_LIKE = [("class", r"^\s*(?:(?:public|private|protected|internal|abstract|final|static|sealed|partial|data|open|case|export|default)\s+)*(?:class|interface|struct|enum|record|trait|object|protocol|extension)\s+(\w+)")]
-_METHOD = [("function", r"^\s*(?:(?:public|private|protected|internal|static|final|virtual|override|async|abstract|inline|const|synchronized)\s+)*[\w<>\[\],.?*&:]+\s+[*&]?(\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:throws [\w, .]+)?\{")]
+_METHOD = [("function", r"^\s*(?:(?:public|private|protected|internal|static|final|virtual|override|async|abstract|inline|const|synchronized|extern|unsigned|signed|struct|long|short)\s+)*[\w.:]+(?:<[^(){};=]*>)?[\[\]?*&]*\s+[*&]*(\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:throws [\w, .]+)?\{")]
 LEXICAL = {
     "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)")],
     "rust": [("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|type)\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"C\"\s+)*fn\s+(\w+)")],
@@ -90,6 +90,110 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     return entities, deps
 
 
+#: Comments and literals by language (fixed values).
+_HASHED = re.compile(r"""#[^\n]*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", re.DOTALL)
+_SLASHED = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.DOTALL)
+_RUST = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|'(?:\\[^']+|[^'\\\n])'""", re.DOTALL)
+LITERALS = {"ruby": _HASHED, "bash": _HASHED, "python": _HASHED, "rust": _RUST}
+
+
+def blanked(text: str, language: str) -> str:
+    """A source with spaces for its comments and the insides of its literals, line by line as before."""
+    return LITERALS.get(language, _SLASHED).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def header(lines: list[str], i: int, most: int = 40) -> str:
+    """A declaration from line ``i`` on as one line: as far as its parentheses go, and a brace below them."""
+    if "(" not in lines[i]:
+        return lines[i]
+    out, depth, k = lines[i], lines[i].count("(") - lines[i].count(")"), i
+    while depth > 0 and k + 1 < len(lines) and k < i + most:
+        k += 1
+        out += " " + lines[k].strip()
+        depth += lines[k].count("(") - lines[k].count(")")
+    if k + 1 < len(lines) and lines[k + 1].strip() == "{":
+        out += " {"
+    return out
+
+
+def _pieces(text: str) -> list[str]:
+    """The parts between commas that no bracket holds."""
+    out, depth, part = [], 0, ""
+    for before, c in zip(" " + text, text, strict=False):
+        depth += (c in "([{<") - (c in ")]}" or (c == ">" and before not in "-="))
+        if c == "," and depth == 0:
+            out.append(part)
+            part = ""
+        else:
+            part += c
+    return [x.strip() for x in [*out, part] if x.strip()]
+
+
+def _inside(text: str, at: int) -> tuple[str, str]:
+    """What stands in the parentheses that open at ``at``, and after them."""
+    depth = 0
+    for k in range(at, len(text)):
+        depth += (text[k] == "(") - (text[k] == ")")
+        if depth == 0:
+            return text[at + 1 : k], text[k + 1 :]
+    return text[at + 1 :], ""
+
+
+#: How languages write parameters and results (fixed values): type after the name and a colon, type before
+#: the name, name and type without a sign, names alone; and the sign before a result.
+_COLON, _BEFORE, _AFTER, _BARE = {"rust", "typescript", "javascript", "kotlin", "scala", "swift"}, {"java", "csharp", "c", "cpp", "php"}, {"go"}, {"ruby"}
+_RESULT = {"rust": r"\s*->\s*([^{;]+?)\s*(?:where\b.*)?(?:[{;]|$)", "swift": r"\s*(?:async\s*)?(?:throws\s*)?->\s*([^{]+?)\s*(?:[{]|$)", "go": r"\s*([^{]+?)\s*(?:[{]|$)"}
+_RESULT |= dict.fromkeys(("typescript", "javascript"), r"\s*:\s*(.+?)\s*(?:[{]|=>|$)") | dict.fromkeys(("kotlin", "scala", "php"), r"\s*:\s*([^={;]+?)\s*(?:[={;]|$)")
+_MODIFIERS = {"public", "private", "protected", "internal", "static", "final", "virtual", "override", "async", "abstract", "inline", "const", "synchronized", "extern", "unsafe", "native", "sealed", "partial", "default", "explicit", "friend", "constexpr", "volatile"}
+_RECEIVERS = re.compile(r"^(?:&\s*)?(?:'\w+\s+)?(?:mut\s+)?self\b")
+
+
+def signature_of(language: str, head: str, name: str) -> tuple[list[tuple], str | None] | None:
+    """(parameters (name, type), result type) of a declaration by its header; receivers are no
+    parameters, ``void`` and ``()`` no results.  None where the language writes none."""
+    m = re.search(rf"(?<!\w){re.escape(name)}\s*(?:<[^()]*>)?\s*(?:=\s*(?:async\s*)?(?:function\s*)?)?(?::[^=()]*=\s*)?\(", head)
+    if language == "bash" or not m and language != "ruby":
+        return None
+    inside, after = _inside(head, m.end() - 1) if m else ("", "")
+    params: list[tuple] = []
+    for part in _pieces(inside):
+        part = re.sub(r"^(?:@\w+(?:\([^)]*\))?\s+|\[[^\]]*\]\s*)+", "", part)
+        part = re.split(r"(?<![=<>!])=(?!=|>)", part)[0].strip()
+        if language in _COLON:
+            if language == "rust" and _RECEIVERS.match(part):
+                continue
+            left, _, kind = part.partition(":")
+            words = re.findall(r"\.{0,3}\w+", left)
+            if words:
+                params.append((words[-1], kind.strip() or None))
+        elif language in _BEFORE:
+            mine = re.match(r"^(.*?)([&*.]*)\$?(\w+)\s*((?:\[\w*\])*)$", part)
+            if mine and part != "void":
+                kind = f"{mine[1].strip()}{mine[2]}{mine[4]}".strip()
+                kind = " ".join(w for w in kind.split() if w != "final")
+                params.append((mine[3], kind or None) if kind or language == "php" else ("", mine[3]))
+        elif language in _AFTER:
+            first, _, kind = part.partition(" ")
+            params.append((first, kind.strip() or None))
+        else:
+            params.append((re.split(r"[:\s]", part.lstrip("*&"))[0], None))
+    if language in _AFTER:  # a type stands for the names before it, and alone if no name has one
+        if any(k for _, k in params):
+            for i in reversed(range(len(params) - 1)):
+                params[i] = (params[i][0], params[i][1] or params[i + 1][1])
+        else:
+            params = [("", n) for n, _ in params]
+    if language in _RESULT:
+        r = re.match(_RESULT[language], after)
+        result = r[1].strip() if r else None
+    elif language in _BEFORE:
+        words = [w for w in head[: m.start()].split() if w not in _MODIFIERS]
+        result = " ".join(words).strip() or None
+    else:
+        result = None
+    return params, None if result in ("void", "()", "Unit", "Void", "") else result
+
+
 def _end(lines: list[str], i: int, language: str) -> int:
     """The last line of a block that begins at line ``i``: by braces, ``end`` or indentation."""
     if language in ("python",):
@@ -104,27 +208,31 @@ def _end(lines: list[str], i: int, language: str) -> int:
     if language == "ruby":
         indent = len(lines[i]) - len(lines[i].lstrip())
         return next((j for j in range(i + 1, len(lines)) if lines[j].strip() == "end" and len(lines[j]) - len(lines[j].lstrip()) == indent), i)
-    depth, seen = 0, False
+    depth, seen, round_ = 0, False, 0
     for j in range(i, len(lines)):
         depth += lines[j].count("{") - lines[j].count("}")
+        round_ += lines[j].count("(") - lines[j].count(")")
         seen = seen or "{" in lines[j]
         if seen and depth <= 0:
             return j
-        if not seen and j > i + 2:
+        if not seen and round_ <= 0 and j > i + 2:
             return i
     return i if not seen else len(lines) - 1
 
 
 def _lexical(path: str, text: str, language: str) -> tuple[list[tuple], list[tuple]]:
-    lines, found, deps = text.split("\n"), [], []
+    whole, lines = text.split("\n"), blanked(text, language).split("\n")
+    found, deps = [], []
     patterns = [(k, re.compile(p)) for k, p in LEXICAL.get(language, [])]
     for i, line in enumerate(lines):
+        head = header(lines, i) if line.strip() else line
         for kind, p in patterns:
-            m = p.match(line)
+            m = p.match(head)
             if m and m[1] not in _RESERVED:
-                found.append((kind, m[1], i, _end(lines, i, language)))
+                sig = signature_of(language, head, m[1]) if kind == "function" else None
+                found.append((kind, m[1], i, _end(lines, i, language), sig))
                 break
-        m = re.match(IMPORTS[language], line) if language in IMPORTS else None
+        m = re.match(IMPORTS[language], whole[i]) if language in IMPORTS and line.strip() else None
         if m:
             deps.append(("imports", "", re.split(r"[:./\\]+", m[1].rstrip(";"))[-1], m[1]))
         m = _EXTENDS.search(line)
@@ -132,16 +240,16 @@ def _lexical(path: str, text: str, language: str) -> tuple[list[tuple], list[tup
             for base in re.split(r",\s*|\s+with\s+|\s+implements\s+", m[2] or m[3] or ""):
                 if base.strip() and "=" not in base:
                     deps.append(("inherits", m[1], base.strip().split(".")[-1], None))
-    classes = [(n, a, b) for k, n, a, b in found if k == "class"]
+    classes = [(n, a, b) for k, n, a, b, _ in found if k == "class"]
     impls = [(m[1], i, _end(lines, i, language)) for i, line in enumerate(lines) if (m := re.match(r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)", line))] if language == "rust" else []
     entities = []
-    for kind, name, a, b in found:
+    for kind, name, a, b, sig in found:
         inside = [(c, x, y) for c, x, y in classes + impls if x < a <= y]
         parent = min(inside, key=lambda c: c[2] - c[1])[0] if inside and kind == "function" else None
         kind = "method" if parent else kind
         if language in ("typescript", "javascript"):
-            kind = frontend_kind(path, kind, name, "\n".join(lines[a : b + 1]))
-        entities.append((kind, name, a + 1, b + 1, parent, None))
+            kind = frontend_kind(path, kind, name, "\n".join(whole[a : b + 1]))
+        entities.append((kind, name, a + 1, b + 1, parent, sig))
     scopes = [(f"{p}.{n}" if p else n, a, b) for k, n, a, b, p, _ in entities if k != "class"]
     for i, line in enumerate(lines, 1):
         own = enclosing(scopes, i)

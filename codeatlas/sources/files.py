@@ -42,9 +42,34 @@ def ignore_regex(line: str) -> str | None:
     return ("^" if rooted else "(?:^|.*/)") + inner + ("/.*$" if folder else "(?:/.*)?$")
 
 
-def scan(spark: SparkSession, root: str, languages: list[str] | None = None, include: list[str] = (), exclude: list[str] = (), ignore: list[str] = ()) -> DataFrame:
+def ignored(path: F.Column, lines: list[str]) -> F.Column:
+    """Whether the lines of an ignore file leave a path out: the last that fits decides, ``!`` takes back."""
+    out = F.lit(False)
+    for line in lines:
+        back = line.strip().startswith("!")
+        regex = ignore_regex(line.strip().removeprefix("!"))
+        if regex:
+            out = F.when(path.rlike(regex), F.lit(not back)).otherwise(out)
+    return out
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small file's text at the driver, None if it isn't there; hidden files too, which readers skip."""
+    if not exists(spark, path):
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def scan(spark: SparkSession, root: str, languages: list[str] | None = None, include: list[str] = (), exclude: list[str] = (), ignore: list[str] = (), ignore_files: list[str] = (".gitignore",)) -> DataFrame:
     """(path, language, content, size, mtime, content_hash) of a tree's source files, by Spark's own
-    reader: hidden files, ignored ones and other languages are left out before they are read whole."""
+    reader: hidden files, ignored ones and other languages are left out before they are read whole.
+    The lines of the root's ``ignore_files`` come before those of ``ignore``."""
+    lines = [x for name in ignore_files for x in (read_small(spark, f"{root.rstrip('/')}/{name}") or "").splitlines()] + list(ignore)
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     base = root.rstrip("/").removeprefix("file://")
     # The reader gives paths as URIs: percent signs escape bytes, a plus is itself.
@@ -57,9 +82,9 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, inc
         rows = rows.filter(F.col("language").isin(languages))
     for g in include:
         rows = rows.filter(F.col("path").rlike(glob_regex(g)))
-    for g in [glob_regex(x) for x in exclude] + [ignore_regex(x) for x in ignore]:
-        if g:
-            rows = rows.filter(~F.col("path").rlike(g))
+    for g in filter(None, map(glob_regex, exclude)):
+        rows = rows.filter(~F.col("path").rlike(g))
+    rows = rows.filter(~ignored(F.col("path"), lines))
     return rows.select("path", "language", "content", "size", "mtime", F.sha2("content", 256).alias("content_hash"))
 
 

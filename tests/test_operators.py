@@ -188,6 +188,46 @@ def test_lexical_extraction(language, path, text, names):
     assert {extract.entity_id(path, n, p) for k, n, a, b, p, s in extract.parse(path, language, text)[0]} == names
 
 
+@pytest.mark.parametrize(("language", "text", "name", "want"), [
+    ("rust", "impl S {\n    pub fn go<T: Ord>(&mut self, a: &str, b: Vec<(u8, T)>) -> Result<T, E> {\n    }\n}", "go", ([("a", "&str"), ("b", "Vec<(u8, T)>")], "Result<T, E>")),
+    ("rust", "fn f() {\n}", "f", ([], None)),
+    ("typescript", "export function go(\n  a: string,\n  b?: Map<string, number> = new Map(),\n): Promise<void> {\n}", "go", ([("a", "string"), ("b", "Map<string, number>")], "Promise<void>")),
+    ("typescript", "export const go = async (a: string, cb: (x: number) => void): Promise<X> => {\n};", "go", ([("a", "string"), ("cb", "(x: number) => void")], "Promise<X>")),
+    ("javascript", "function go(a, ...rest) {\n}", "go", ([("a", None), ("...rest", None)], None)),
+    ("go", "func (t *T) Run(a, b int, c map[string]int) (int, error) {\n}", "Run", ([("a", "int"), ("b", "int"), ("c", "map[string]int")], "(int, error)")),
+    ("java", "class A {\n  public static Map<String, Integer> go(final String a,\n      int[] b) {\n  }\n}", "go", ([("a", "String"), ("b", "int[]")], "Map<String, Integer>")),
+    ("csharp", "class A {\n  public async Task<int> Go(string a, int b = 3)\n  {\n  }\n}", "Go", ([("a", "string"), ("b", "int")], "Task<int>")),
+    ("c", "static char *go(const char *a, int n) {\n}", "go", ([("a", "const char*"), ("n", "int")], "char *")),
+    ("c", "void go(void) {\n}", "go", ([], None)),
+    ("php", "class A {\n  public function go(?string $a, $b = 1): array {\n  }\n}", "go", ([("a", "?string"), ("b", None)], "array")),
+    ("ruby", "def go(a, b = 1, *c, d:)\nend", "go", ([("a", None), ("b", None), ("c", None), ("d", None)], None)),
+    ("kotlin", "fun go(a: String, b: List<Int> = listOf()): Int {\n}", "go", ([("a", "String"), ("b", "List<Int>")], "Int")),
+    ("swift", "func go(with a: String, _ b: Int) throws -> Bool {\n}", "go", ([("a", "String"), ("b", "Int")], "Bool")),
+    ("scala", "def go(a: Int, b: Map[String, Int]): Option[Int] = {\n}", "go", ([("a", "Int"), ("b", "Map[String, Int]")], "Option[Int]")),
+])
+def test_lexical_signatures(language, text, name, want):
+    found = {n: s for _, n, _, _, _, s in extract.parse("a", language, text)[0]}
+    assert found[name] == want
+
+
+def test_comments_and_literals_are_no_code():
+    text = "// fn ghost() {}\n/* class Ghost {\n} */\nfn real(a: &'static str) {\n    call(\"ghost2()\");\n    let c = '(';\n    other(a); // ghost3()\n}\n"
+    entities, deps = extract.parse("a.rs", "rust", text)
+    assert [(e[1], e[2], e[3]) for e in entities] == [("real", 4, 8)] and [d[2] for d in deps] == ["call", "other"]
+    entities, deps = extract.parse("a.ts", "typescript", "import { a } from './lib/util';\nfunction f() {\n  const s = `class X { g() }`;\n  h(s);\n}\n")
+    assert [e[1] for e in entities] == ["f"] and ("imports", "", "util", "./lib/util") in deps and ("invokes", "f", "h", None) in deps and len(deps) == 2
+
+
+def test_ignore_files(spark, tmp_path):
+    for name in ("a.py", "gen/b.py", "gen/keep.py", "x/c.gen.py", "x/d.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# made\ngen/*\n!gen/keep.py\n*.gen.py\n")
+    paths = lambda **k: {r.path for r in files.scan(spark, str(tmp_path), **k).collect()}
+    assert paths() == {"a.py", "gen/keep.py", "x/d.py"} and paths(ignore=["x/"]) == {"a.py", "gen/keep.py"}
+    assert len(paths(ignore_files=[])) == 5
+
+
 def test_scan_save_load_stream(spark, tmp_path):
     from codeatlas.plans.build import build, parsed
     from codeatlas.streaming.sync import apply_stream

@@ -161,3 +161,13 @@ def reroute(entities: DataFrame, tree: DataFrame, drifted: DataFrame, threshold:
     best = sims.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "path")).alias("b")).select("id", F.col("b.path").alias("new_path"))
     out = entities.join(best, "id", "left").withColumn("hierarchy_path", F.coalesce("new_path", "hierarchy_path"))
     return out.select(entities.columns)
+
+
+def route_new(entities: DataFrame, new: DataFrame, tree: DataFrame) -> DataFrame:
+    """``entities`` whose members of ``new`` (id) are moved to the most similar place of ``tree`` (path,
+    features); those without features stay, and all do while no place has three levels."""
+    if not tree.filter(three_levels(F.col("path"))).limit(1).count():
+        return entities
+    items = entities.join(new.select("id").distinct(), "id", "left_semi").filter("size(semantic_features) > 0").select("id", F.col("semantic_features").alias("features"))
+    moved = best_paths(items, tree)
+    return entities.join(moved, "id", "left").withColumn("hierarchy_path", F.coalesce("best_path", "hierarchy_path")).select(entities.columns)

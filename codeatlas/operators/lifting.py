@@ -205,3 +205,37 @@ def revision(pending: DataFrame) -> str:
     """A digest of the queue's ids, whatever their order."""
     row = pending.agg(F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.col("id").cast("binary"))).alias("a"), F.bit_xor(F.xxhash64("id")).alias("b")).first()
     return f"{row.n}-{row.a or 0}-{row.b or 0}"
+
+
+#: Entities that must be lifted, and their share, before a hierarchy is made (fixed values).
+LIFTED_LEAST, LIFTED_SHARE, SYNTHESIS_PAGE = 20, 0.3, 8
+
+
+def hierarchy_allowed(entities: DataFrame) -> bool:
+    """Whether enough is lifted for a hierarchy by features."""
+    from .hierarchy import coverage_overall
+
+    row = coverage_overall(entities).first()
+    return row.lifted >= LIFTED_LEAST and row.lifted >= LIFTED_SHARE * row.total
+
+
+def synthesis_page(entities: DataFrame, page: int = 0, size: int = SYNTHESIS_PAGE) -> DataFrame:
+    """(file, features) of a page of files with features, in order of file."""
+    from .analytics import module_features
+
+    rows = numbered(module_features(entities), ["file"])
+    return rows.filter(F.col("pos").between(page * size, (page + 1) * size - 1)).select("file", "features")
+
+
+def submit_synthesis(entities: DataFrame, submitted: DataFrame) -> DataFrame:
+    """Entities whose modules have the features of (file, text), separated by commas, instead of theirs.
+    Files are equal, or one path is the other's end; of several that fit the longest, then the first decides.
+    Files of one name meet, so that no pair of all files is made."""
+    name = lambda c: F.substring_index(c, "/", -1)
+    new = submitted.select(F.col("file").alias("asked"), normalise_features(F.split("text", ",")).alias("new"), name("file").alias("name"))
+    modules = entities.filter("kind = 'module'").select("id", "file", name("file").alias("name"))
+    fits = (F.col("file") == F.col("asked")) | F.endswith("file", F.concat(F.lit("/"), "asked")) | F.endswith("asked", F.concat(F.lit("/"), "file"))
+    best = F.min(F.struct((-F.length("asked")).alias("n"), "asked", "new")).alias("m")
+    found = modules.join(new, "name").filter(fits).groupBy("id").agg(best).select("id", "m.new")
+    out = entities.join(found, "id", "left")
+    return out.withColumn("semantic_features", F.coalesce("new", "semantic_features")).select(entities.columns)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import analytics
+from ..operators import graph as build
 from ..operators.hierarchy import nodes
+from ..session import cut
 
 #: Shapes by kind, styles and arrows by edge (fixed values).
 SHAPES = {
@@ -108,9 +111,8 @@ def pipe_table(name: str, df: DataFrame) -> str:
     return "\n".join(out + ["  " + "|".join("" if v is None else str(v) for v in r) for r in rows])
 
 
-def tree_text(found: DataFrame) -> str:
-    """An explored tree, children below their parents by id, two spaces a level; ``found`` is the result
-    of a bounded exploration."""
+def _walk(found: DataFrame) -> list:
+    """The rows of a bounded exploration, children below their parents by id."""
     rows = found.collect()
     below: dict = {}
     for r in rows:
@@ -118,6 +120,79 @@ def tree_text(found: DataFrame) -> str:
     out, stack = [], [r for r in rows if r.parent is None]
     while stack:
         r = stack.pop()
-        out.append("  " * r.depth + r.id)
+        out.append(r)
         stack += sorted(below.get(r.id, []), key=lambda x: x.id, reverse=True)
-    return "\n".join(out)
+    return out
+
+
+def _capped(lines: list[str], most: int | None) -> str:
+    if most is not None and len(lines) > most:
+        lines = [*lines[:most], f"... {len(lines) - most} more lines"]
+    return "\n".join(lines)
+
+
+def tree_text(found: DataFrame, most: int | None = None) -> str:
+    """An explored tree, children below their parents by id, two spaces a level, at most ``most`` lines and
+    a line that says how many are left out; ``found`` is the result of a bounded exploration."""
+    return _capped(["  " * r.depth + r.id for r in _walk(found)], most)
+
+
+def compact_text(found: DataFrame, entities: DataFrame, direction: str = "downstream", most: int | None = None) -> str:
+    """The same tree as lines ``id | kind | direction | depth | file``."""
+    named = found.join(entities.select("id", "file"), "id", "left")
+    lines = [f"{r.id} | {r.kind or 'root'} | {direction if r.depth else 'origin'} | {r.depth} | {r.file or ''}" for r in _walk(named)]
+    return _capped(lines, most)
+
+
+def cycle_lines(found: DataFrame, entities: DataFrame, top: int = 20) -> DataFrame:
+    """(part, place, line) of a cycle report: counts, how many cycles each length and area has, and the ``top``
+    longest."""
+    facts = analytics.cycle_summary(found, entities)
+    said = F.array(*(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("cycles", "entities", "files", "areas")))
+    out = facts.select(F.lit(0).alias("part"), F.posexplode(said).alias("place", "line"))
+    lengths = analytics.cycle_lengths(found).select(F.lit(1).alias("part"), F.col("length").alias("place"), F.concat(F.lit("length "), F.col("length").cast("string"), F.lit(": "), F.col("cycles").cast("string")).alias("line"))
+    few = found.orderBy(F.desc("length"), "cycle").limit(top)
+    rank = F.row_number().over(Window.orderBy(F.desc("length"), "cycle")) - 1  # over ``top`` rows
+    first = F.concat(F.array_join("cycle", " -> "), F.lit(" -> "), F.element_at("cycle", 1))
+    return out.unionByName(lengths).unionByName(few.select(F.lit(2).alias("part"), rank.alias("place"), first.alias("line")))
+
+
+def snapshot_lines(entities: DataFrame, edges: DataFrame, features: int = 3, links: bool = True) -> DataFrame:
+    """(section, place, line) of a snapshot: counts, areas with eight features, groups of entities with
+    ``features`` each, and with ``links`` the most connected entities of folders and of the whole."""
+    counts = build.metadata(entities, edges)
+    said = F.array(*(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("total_entities", "total_files", "functional_areas", "lifted_entities", "total_edges")))
+    out = counts.select(F.lit(0).alias("section"), F.posexplode(said).alias("p", "line")).select("section", F.col("p").cast("string").alias("place"), "line")
+    rows = entities.filter("hierarchy_path <> ''").select(F.substring_index("hierarchy_path", "/", 1).alias("area"), F.explode("semantic_features").alias("f")).distinct()
+    rank = F.row_number().over(Window.partitionBy("area").orderBy("f"))
+    areas = rows.withColumn("r", rank).filter("r <= 8").groupBy("area").agg(F.array_join(F.sort_array(F.collect_list("f")), ", ").alias("fs"))
+    out = out.unionByName(areas.select(F.lit(1).alias("section"), F.col("area").alias("place"), F.concat("area", F.lit(": "), "fs").alias("line")))
+    groups = analytics.snapshot_groups(entities, features)
+    out = out.unionByName(groups.select(F.lit(2).alias("section"), F.col("hierarchy_path").alias("place"), F.concat("hierarchy_path", F.lit(" ("), F.col("entities").cast("string"), F.lit("): "), "sample").alias("line")))
+    if links:
+        near = analytics.skeleton(edges, entities)
+        out = out.unionByName(near.select(F.lit(3).alias("section"), "folder", F.concat("folder", F.lit(": "), "entity", F.lit(" "), F.col("links").cast("string")).alias("line")).withColumnRenamed("folder", "place"))
+        hot = analytics.hot_spots(edges)
+        out = out.unionByName(hot.select(F.lit(4).alias("section"), F.col("id").alias("place"), F.concat("id", F.lit(" "), F.col("links").cast("string")).alias("line")))
+    return out
+
+
+def snapshot(entities: DataFrame, edges: DataFrame, budget: int = 30_000) -> tuple[str, int]:
+    """(text, tokens): the fullest snapshot within a token budget: features go 3, 2, 1, 0, then links go; what
+    is left is returned even beyond the budget.  Lines are counted before any come to the driver."""
+    tokens, lines = 0, None
+    for features, links in ((3, True), (2, True), (1, True), (0, True), (0, False)):
+        lines = cut(snapshot_lines(entities, edges, features, links))
+        tokens = (lines.agg(F.sum(F.length("line") + 1)).first()[0] or 0) // 4 + 500
+        if tokens <= budget:
+            break
+    return "\n".join(r.line for r in lines.orderBy("section", "place", "line").collect()), tokens
+
+
+def repository_info(name: str, files: DataFrame, entities: DataFrame, edges: DataFrame) -> str:
+    """A paragraph about a repository for prompts: languages by files, counts, areas."""
+    languages = files.groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "language").collect()  # a row a language
+    m = build.metadata(entities, edges).first()
+    areas = [r[0] for r in entities.filter("hierarchy_path <> ''").groupBy(F.substring_index("hierarchy_path", "/", 1).alias("a")).count().orderBy(F.desc("count"), "a").limit(20).collect()]
+    spoken = ", ".join(f"{r.language} ({r.n})" for r in languages)
+    return f"Repository: {name}\nLanguages: {spoken}\nEntities: {m.total_entities} in {m.total_files} files, {m.total_edges} edges\nAreas: {', '.join(areas)}\n"

@@ -144,6 +144,18 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def save_queue(pending: DataFrame, path: str) -> None:
+    """Writes the entities that wait for a place (id, features), instead of an earlier queue."""
+    pending.select("id", "features").write.mode("overwrite").parquet(path)
+
+
+def load_queue(spark: SparkSession, path: str) -> DataFrame:
+    """A saved queue, empty where none was saved."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        return spark.createDataFrame([], "id string, features array<string>")
+    return spark.read.parquet(path)
+
+
 def git_changes(spark: SparkSession, repository: str, base: str, head: str | None = "HEAD") -> DataFrame:
     """(op, path, from_path) between two commits, or with head None between a commit and the working tree,
     whose untracked files are additions.  Names come as they are, whatever characters they have."""

@@ -617,3 +617,52 @@ def test_integrity_and_snapshot(spark, shop):
     assert [r.length for r in analytics.filter_cycles(found, own, ignored=("f1",)).collect()] == [3]
     node = traverse.fetch_node(shop, "Security").first()
     assert (node.children, node.entity_count) == ("auth", 2)
+
+
+def test_reports_as_text(spark, shop):
+    from codeatlas.plans import export
+
+    e = edges_df(spark, CHAIN)
+    found = traverse.explore(e, shop, "a", depth=3)
+    assert export.tree_text(found, 2) == "a\n  b\n... 1 more lines"
+    nodes = entities_df(spark, [(x, "function", x, f"{x}.py", [], "") for x in "ab"])
+    assert export.compact_text(found, nodes) == "a | root | origin | 0 | a.py\nb | invokes | downstream | 1 | b.py\nc | invokes | downstream | 2 | "
+    ring = edges_df(spark, [("a", "b", "invokes"), ("b", "a", "invokes")])
+    lines = [r.line for r in export.cycle_lines(analytics.cycles(ring), nodes).orderBy("part", "place").collect()]
+    assert lines[0] == "cycles: 1" and lines[-2:] == ["length 2: 1", "a -> b -> a"]
+    calls = edges_df(spark, [("auth.rs:validate_token", "db.rs:query_users", "invokes")])
+    text, tokens = export.snapshot(shop, calls)
+    assert "total_entities: 4" in text and "Security: authentication check" in text and "auth.rs:validate_token 1" in text and 500 < tokens < 1000
+    short, less = export.snapshot(shop, calls, 500)
+    assert len(short) < len(text) and less < tokens and "auth.rs:validate_token 1" not in short
+    files_df = spark.createDataFrame([("a.py", "python"), ("b.rs", "rust"), ("c.rs", "rust")], "path string, language string")
+    assert "Languages: rust (2), python (1)\nEntities: 4 in 4 files, 1 edges\nAreas: Security, Core, DataAccess\n" in export.repository_info("x", files_df, shop, calls)
+
+
+def test_synthesis_and_queue(spark, shop, tmp_path):
+    modules = entities_df(spark, [(f"{d}/m.py:m", "module", "m", f"{d}/m.py", ["old"], "") for d in ("a", "src/a", "b")])
+    new = spark.createDataFrame([("a/m.py", "Parse it, keep it , parse it"), ("x/b/m.py", "longer one")], "file string, text string")
+    got = {r.file: r.semantic_features for r in lifting.submit_synthesis(modules, new).collect()}
+    assert got == {"a/m.py": ["keep it", "parse it"], "src/a/m.py": ["keep it", "parse it"], "b/m.py": ["longer one"]}
+    assert [r.file for r in lifting.synthesis_page(shop, 1, 3).collect()] == ["utils.rs"]
+    assert not lifting.hierarchy_allowed(shop)
+    many = entities_df(spark, [(f"{i}:f", "function", "f", f"{i}.py", ["a b"] if i < 20 else [], "") for i in range(50)])
+    assert lifting.hierarchy_allowed(many) and not lifting.hierarchy_allowed(many.filter("id <> '0:f'"))
+    queue = shop.select("id", F.col("semantic_features").alias("features"))
+    assert files.load_queue(spark, str(tmp_path / "q")).count() == 0
+    files.save_queue(queue, str(tmp_path / "q")), files.save_queue(queue.limit(2), str(tmp_path / "q"))
+    assert files.load_queue(spark, str(tmp_path / "q")).count() == 2
+    lost = entities_df(spark, [("n.rs:login", "function", "login", "n.rs", ["login endpoint"], "Misc/x/y"), ("n.rs:none", "function", "none", "n.rs", [], "Misc/x/y")])
+    tree = hierarchy.features(shop)
+    moved = {r.name: r.hierarchy_path for r in hierarchy.route_new(shop.unionByName(lost), lost, tree).collect()}
+    assert moved["login"].startswith("Security") and moved["none"] == "Misc/x/y" and moved["query_users"] == "DataAccess/storage/users"
+    assert hierarchy.route_new(lost, lost, tree.filter("path = 'Security'")).filter("name = 'login'").first().hierarchy_path == "Misc/x/y"
+
+
+def test_sync_state(spark):
+    from codeatlas.streaming import sync
+
+    now = spark.createDataFrame([("modified", "a.py", 1, 2), ("added", "b.py", 3, 4)], "op string, path string, size long, mtime long")
+    state = sync.due(None, "c1", now)
+    assert state[0] == "c1" and sync.due(state, "c1", now.orderBy("path")) is None and sync.due(state, "c2", now) and sync.due(state, "c1", now.limit(1))
+    assert [tuple(r) for r in sync.reverted(now, now.filter("path = 'b.py'")).collect()] == [("modified", "a.py", None)]

@@ -661,3 +661,38 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in out} == set(rows[4])
     assert all(r.decoded_sha256 == hashlib.sha256(rows[4][r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
+    """Nulls, repeated ids, clashing and extra columns, and empty tables go through all stages."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = odd.withColumnsRenamed({"bucket": "_digest", "key": "_n", "d": "severity"}).withColumn("n_chars", F.lit(None).cast("long"))
+    whole = docs.withColumns({"_digest": F.lit(1), "_n": F.lit("k"), "severity": F.lit(2).cast("long")}).select(extra.columns).unionByName(extra.withColumn("doc_id", F.col("doc_id") + 10**6))
+    whole = whole.unionByName(whole.filter("doc_id < 3"))  # ids twice
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, tables in {"odd": (whole, labels, items), "empty": (whole.limit(0), labels.limit(0), items.limit(0)), "bare": (whole, labels.limit(0), items.limit(0))}.items():
+        for table, df in zip(("documents", "labels", "benchmark"), tables, strict=True):
+            df.write.parquet(str(tmp_path / name / f"{table}.parquet"))
+    seen = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = common.Stored(stage(spark, seen, str(tmp_path / "odd")), "test").df
+        assert seen.columns == whole.columns
+    kept = seen.collect()
+    assert kept and all(re.search(r"[^\W\d_]", r.text) for r in kept)
+    got = sorted(str((r.doc_id, r.decoded_sha256)) for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect())
+    assert got == sorted(str((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest())) for r in kept)
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "bare")).count() > 0
+
+
+def test_clashing_columns(spark, odd):
+    """Columns named as an operator's own do not change its result."""
+    names = ["host", "rule", "m", "tree", "node", "leaf", "depth", "own", "head", "copy_to", "shard", "slot", "c", "v", "_n", "_digest", "item"]
+    wide = odd.withColumns({n: F.lit("clash") for n in names})
+    items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for f in (near_dedup.near_duplicates, sharding.shards, fingerprint.fingerprint_neighbours, licences.scan, language.predict_language, lambda d: tiling.matches(d, items), lambda d: tiling.matches(d, items, most=0)):
+        assert rows(f(wide)) == rows(f(odd))
+    assert tiling.decontaminate(wide, items, most=0).columns == wide.columns

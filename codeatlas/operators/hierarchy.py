@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order import numbered
 
 
@@ -37,11 +40,16 @@ def entity_counts(entities: DataFrame) -> DataFrame:
     return leaves.select(F.explode(prefixes(F.col("hierarchy_path"))).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("entity_count"))
 
 
+def feature_rows(entities: DataFrame) -> DataFrame:
+    """(path, feature) of each subtree, distinct: features of a place first, then of the places above, so
+    that no row holds a subtree."""
+    leaves = entities.filter("hierarchy_path <> ''").select("hierarchy_path", F.explode("semantic_features").alias("feature")).distinct()
+    return leaves.select(F.explode(prefixes(F.col("hierarchy_path"))).alias("path"), "feature").distinct()
+
+
 def features(entities: DataFrame) -> DataFrame:
-    """(path, features) of each subtree, sorted and distinct."""
-    leaves = entities.filter("hierarchy_path <> ''").select("hierarchy_path", F.explode("semantic_features").alias("f")).distinct()
-    up = leaves.select(F.explode(prefixes(F.col("hierarchy_path"))).alias("path"), "f")
-    return up.groupBy("path").agg(F.sort_array(F.collect_set("f")).alias("features"))
+    """(path, features) of each subtree, sorted and distinct; ``feature_rows`` has the same in rows."""
+    return feature_rows(entities).groupBy("path").agg(F.sort_array(F.collect_list("feature")).alias("features"))
 
 
 def grounding(entities: DataFrame) -> DataFrame:
@@ -78,25 +86,26 @@ def file_clusters(entities: DataFrame, target: int = 70) -> DataFrame:
     return out.select("cluster", F.size("f").alias("files"), F.array_join(pick, ",").alias("representatives"))
 
 
-def best_paths(items: DataFrame, tree: DataFrame, least: float = 0.05) -> DataFrame:
+def best_paths(items: DataFrame, tree: DataFrame, least: float = 0.05, depth: int = 3) -> DataFrame:
     """(id, best_path): the top-down walk that takes the most similar area, at least ``least``, and then
-    children while strictly more similar.  ``items`` (id, features), ``tree`` (path, features)."""
-    level = F.size(F.split("path", "/"))
-    exploded = items.select("id", F.size(F.array_distinct("features")).alias("n"), F.explode(F.array_distinct("features")).alias("f"))
-    below = tree.select("path", level.alias("level"), F.size("features").alias("m"), F.explode("features").alias("f"))
-    sims = exploded.join(below, "f").groupBy("id", "path", "level", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    sims = sims.select("id", "path", "level", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("sim"))
-    depth, out = 3, None
+    children while strictly more similar.  ``items`` (id, features), ``tree`` (path, features) or
+    (path, feature).  An item meets the areas, and then only the children of the place it has come to."""
+    level, above = F.size(F.split("path", "/")), F.regexp_replace("path", "/[^/]*$", "")
+    rows = tree.select("path", F.explode(F.array_distinct("features")).alias("f")) if "features" in tree.columns else tree.select("path", F.col("feature").alias("f"))
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
+    wanted = cut(items.select("id", F.size(F.array_distinct("features")).alias("n"), F.explode(F.array_distinct("features")).alias("f")))
+    below = cut(rows.join(sizes, "path").select("path", "f", "m", level.alias("level"), F.when(level > 1, above).alias("above")).filter(F.col("level") <= depth))
+    done, here = [], None
     for k in range(1, depth + 1):
-        here = sims.filter(F.col("level") == k)
-        if out is None:
-            here = here.filter(F.col("sim") >= least).select("id", "path", "sim")
-        else:
-            prev = out.select("id", F.col("path").alias("above"), F.col("sim").alias("was"))
-            here = here.withColumn("above", F.regexp_replace("path", "/[^/]*$", "")).join(prev, ["id", "above"]).filter("sim > was").select("id", "path", "sim")
-        best = here.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "path")).alias("b")).select("id", "b.path", (-F.col("b.s")).alias("sim"))
-        out = best if out is None else out.join(best.withColumnsRenamed({"path": "p2", "sim": "s2"}), "id", "left").select("id", F.coalesce("p2", "path").alias("path"), F.coalesce("s2", "sim").alias("sim"))
-    return out.select("id", F.col("path").alias("best_path"))
+        places = below.filter(F.col("level") == k).select("f", "path", "m", "above")
+        met = wanted.join(places, "f") if here is None else wanted.join(here.select("id", F.col("path").alias("above"), F.col("sim").alias("was")), "id").join(places, ["f", "above"])
+        sim = F.count(F.lit(1)) / (F.first("n") + F.first("m") - F.count(F.lit(1)))
+        was = [] if here is None else [F.first("was").alias("was")]
+        sims = met.groupBy("id", "path").agg(sim.alias("sim"), *was).filter(F.col("sim") >= least if here is None else F.col("sim") > F.col("was"))
+        best = sims.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "path")).alias("b"))
+        here = cut(best.select("id", "b.path", (-F.col("b.s")).alias("sim")))
+        done.append(here.select("id", F.struct(F.lit(k).alias("level"), "path").alias("p")))
+    return reduce(DataFrame.unionByName, done).groupBy("id").agg(F.max("p").alias("p")).select("id", F.col("p.path").alias("best_path"))
 
 
 def in_scope(path: Column, scope: str) -> Column:

@@ -190,7 +190,7 @@ def scope_filter(spark, sf):
 @query("WITH items AS (SELECT DISTINCT id, unnest(semantic_features) AS f FROM entities), nn AS (SELECT id, count(*) AS n FROM items GROUP BY id), " + _UP.removeprefix("WITH ").rstrip() + ", tr AS (SELECT DISTINCT path, unnest(semantic_features) AS f FROM up), tm AS (SELECT path, count(*) AS m FROM tr GROUP BY path), sims AS (SELECT id, path, len(string_split(path, '/')) AS level, count(*)::DOUBLE / (any_value(n) + any_value(m) - count(*)) AS sim FROM items JOIN tr USING (f) JOIN nn USING (id) JOIN tm USING (path) GROUP BY id, path), l1 AS (SELECT * FROM sims WHERE level = 1 AND sim >= 0.05 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, path) = 1), l2 AS (SELECT s.* FROM sims s JOIN l1 ON l1.id = s.id AND regexp_replace(s.path, '/[^/]*$', '') = l1.path AND s.level = 2 AND s.sim > l1.sim QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.sim DESC, s.path) = 1), l3 AS (SELECT s.* FROM sims s JOIN l2 ON l2.id = s.id AND regexp_replace(s.path, '/[^/]*$', '') = l2.path AND s.level = 3 AND s.sim > l2.sim QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY s.sim DESC, s.path) = 1) SELECT l1.id, coalesce(l3.path, l2.path, l1.path) AS best_path FROM l1 LEFT JOIN l2 USING (id) LEFT JOIN l3 USING (id)")
 def best_path_routing(spark, sf):
     e = entities(spark, sf)
-    return tree.best_paths(e.select("id", F.col("semantic_features").alias("features")), tree.features(e))
+    return tree.best_paths(e.select("id", F.col("semantic_features").alias("features")), tree.feature_rows(e))
 
 
 @query("WITH f AS (SELECT DISTINCT file FROM entities), r AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) // 20 AS cluster FROM f), l AS (SELECT cluster, list_sort(list(file)) AS f FROM r GROUP BY cluster) SELECT cluster, len(f)::INT AS files, array_to_string(CASE WHEN len(f) = 1 THEN [f[1]] WHEN len(f) = 2 THEN [f[1], f[2]] ELSE [f[1], f[len(f) // 2 + 1], f[len(f)]] END, ',') AS representatives FROM l")

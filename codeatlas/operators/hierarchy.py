@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import glob_regex
 from ..session import cut
 from .order import numbered
 
@@ -47,6 +49,13 @@ def feature_rows(entities: DataFrame) -> DataFrame:
     return leaves.select(F.explode(prefixes(F.col("hierarchy_path"))).alias("path"), "feature").distinct()
 
 
+def feature_counts(entities: DataFrame) -> DataFrame:
+    """(path, feature, n): of how many entities of each subtree it is a feature."""
+    rows = entities.filter("hierarchy_path <> ''").select("hierarchy_path", F.explode(F.array_distinct("semantic_features")).alias("feature"))
+    leaves = rows.groupBy("hierarchy_path", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return leaves.select(F.explode(prefixes(F.col("hierarchy_path"))).alias("path"), "feature", "n").groupBy("path", "feature").agg(F.sum("n").alias("n"))
+
+
 def features(entities: DataFrame) -> DataFrame:
     """(path, features) of each subtree, sorted and distinct; ``feature_rows`` has the same in rows."""
     return feature_rows(entities).groupBy("path").agg(F.sort_array(F.collect_list("feature")).alias("features"))
@@ -90,16 +99,23 @@ def best_paths(items: DataFrame, tree: DataFrame, least: float = 0.05, depth: in
     """(id, best_path): the top-down walk that takes the most similar area, at least ``least``, and then
     children while strictly more similar.  ``items`` (id, features), ``tree`` (path, features) or
     (path, feature).  An item meets the areas, and then only the children of the place it has come to."""
-    level, above = F.size(F.split("path", "/")), F.regexp_replace("path", "/[^/]*$", "")
     rows = tree.select("path", F.explode(F.array_distinct("features")).alias("f")) if "features" in tree.columns else tree.select("path", F.col("feature").alias("f"))
+    wanted = items.select("id", F.size(F.array_distinct("features")).alias("k"), F.explode(F.array_distinct("features")).alias("f"))
+    return _walk(cut(wanted), rows, least, depth)
+
+
+def _walk(wanted: DataFrame, rows: DataFrame, least: float, depth: int, without: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, best_path) for ``wanted`` (id, k features in all, f) in ``rows`` (path, f and more), distinct by
+    path and f; ``without`` corrects the rows (id, path, f, m features in all) where an item meets a place."""
+    level, above = F.size(F.split("path", "/")), F.regexp_replace("path", "/[^/]*$", "")
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
-    wanted = cut(items.select("id", F.size(F.array_distinct("features")).alias("n"), F.explode(F.array_distinct("features")).alias("f")))
-    below = cut(rows.join(sizes, "path").select("path", "f", "m", level.alias("level"), F.when(level > 1, above).alias("above")).filter(F.col("level") <= depth))
+    below = cut(rows.join(sizes, "path").withColumns({"level": level, "above": F.when(level > 1, above)}).filter(F.col("level") <= depth))
     done, here = [], None
     for k in range(1, depth + 1):
-        places = below.filter(F.col("level") == k).select("f", "path", "m", "above")
+        places = below.filter(F.col("level") == k).drop("level")
         met = wanted.join(places, "f") if here is None else wanted.join(here.select("id", F.col("path").alias("above"), F.col("sim").alias("was")), "id").join(places, ["f", "above"])
-        sim = F.count(F.lit(1)) / (F.first("n") + F.first("m") - F.count(F.lit(1)))
+        met = without(met) if without else met
+        sim = F.count(F.lit(1)) / (F.first("k") + F.first("m") - F.count(F.lit(1)))
         was = [] if here is None else [F.first("was").alias("was")]
         sims = met.groupBy("id", "path").agg(sim.alias("sim"), *was).filter(F.col("sim") >= least if here is None else F.col("sim") > F.col("was"))
         best = sims.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "path")).alias("b"))
@@ -108,6 +124,22 @@ def best_paths(items: DataFrame, tree: DataFrame, least: float = 0.05, depth: in
     return reduce(DataFrame.unionByName, done).groupBy("id").agg(F.max("p").alias("p")).select("id", F.col("p.path").alias("best_path"))
 
 
+def resolve_scope(entities: DataFrame, scope: str) -> DataFrame:
+    """(id) of a scope for lifting, the first reading that fits: ``*`` or ``all`` are the entities without
+    features, modules aside; a file glob; a place in the hierarchy and what lies below, if there is any; ids
+    separated by commas.  Ids that are not there are left out."""
+    scope = scope.strip()
+    if scope == "*" or scope.lower() == "all":
+        return entities.filter("kind <> 'module' AND coalesce(size(semantic_features), 0) <= 0").select("id")
+    regex = glob_regex(scope) if set("*?") & set(scope) else None
+    if regex:
+        return entities.filter(F.col("file").rlike(regex)).select("id")
+    below = entities.filter((F.col("hierarchy_path") == scope) | F.startswith("hierarchy_path", F.lit(scope + "/")))
+    if scope and below.limit(1).count():
+        return below.select("id")
+    return entities.filter(F.col("id").isin([i.strip() for i in scope.split(",")])).select("id")
+
+
 def in_scope(path: Column, scope: str) -> Column:
     """Empty or ``.``: all; else any of the comma-separated paths or what lies below; unknown
     paths match nothing."""
@@ -154,21 +186,23 @@ def display_info(entities: DataFrame, ids: list[str]) -> DataFrame:
     return own.unionByName(counted.select(F.concat(F.lit("h:"), "path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), about.alias("description")))
 
 
-def reroute(entities: DataFrame, tree: DataFrame, drifted: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Entities with new paths where their drift (id, drift) is over the threshold and the best
-    path by others' features differs.  ``tree`` has counts (path, feature, n), from which an
-    entity's own contribution is taken before it is compared."""
-    moving = entities.join(drifted.filter(F.col("drift") > threshold), "id")
-    own = moving.select("id", F.explode(prefixes(F.col("hierarchy_path"))).alias("path"), "semantic_features").select("id", "path", F.explode(F.array_distinct("semantic_features")).alias("feature"), F.lit(1).alias("mine"))
-    # Nodes without features of the moving entity can't be its best path.
-    wanted = moving.select("id", F.size(F.array_distinct("semantic_features")).alias("k"), F.explode(F.array_distinct("semantic_features")).alias("feature"))
-    left = wanted.join(tree, "feature").join(own, ["id", "path", "feature"], "left").withColumn("n", F.col("n") - F.coalesce("mine", F.lit(0))).filter("n > 0")
-    size = tree.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
-    gone = own.join(tree, ["path", "feature"]).filter("n = 1").groupBy("id", "path").agg(F.count(F.lit(1)).alias("lost"))
-    sims = left.groupBy("id", "path", "k").agg(F.count(F.lit(1)).alias("both")).join(size, "path").join(gone, ["id", "path"], "left")
-    sims = sims.withColumn("sim", F.col("both") / (F.col("k") + F.col("m") - F.coalesce("lost", F.lit(0)) - F.col("both"))).filter("size(split(path, '/')) = 3")
-    best = sims.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "path")).alias("b")).select("id", F.col("b.path").alias("new_path"))
-    out = entities.join(best, "id", "left").withColumn("hierarchy_path", F.coalesce("new_path", "hierarchy_path"))
+def reroute(entities: DataFrame, tree: DataFrame, drifted: DataFrame, threshold: float = 0.5, least: float = 0.05, depth: int = 3) -> DataFrame:
+    """Entities with new paths where their drift (id, drift) is over the threshold: the top-down walk of
+    ``best_paths`` in a tree without what the entity itself gave; without such a path the old one stays.
+    ``tree`` has counts (path, feature, n): how many entities below a path have a feature."""
+    moving = cut(entities.join(drifted.filter(F.col("drift") > threshold).select("id").distinct(), "id").select("id", "hierarchy_path", F.array_distinct("semantic_features").alias("fs")))
+    own = moving.select("id", "fs", F.explode(prefixes(F.col("hierarchy_path"))).alias("path")).select("id", "path", F.explode("fs").alias("f"), F.lit(1).alias("mine"))
+    counts = tree.select("path", F.col("feature").alias("f"), "n")
+    lost = own.join(counts.filter("n = 1"), ["path", "f"]).groupBy("id", "path").agg(F.count(F.lit(1)).alias("lost"))
+    own, lost = cut(own), cut(lost)
+
+    def without(met: DataFrame) -> DataFrame:
+        met = met.join(own, ["id", "path", "f"], "left").filter(F.col("n") > F.coalesce("mine", F.lit(0)))
+        return met.join(lost, ["id", "path"], "left").withColumn("m", F.col("m") - F.coalesce("lost", F.lit(0)))
+
+    wanted = moving.select("id", F.size("fs").alias("k"), F.explode("fs").alias("f"))
+    best = _walk(wanted, counts, least, depth, without)
+    out = entities.join(best, "id", "left").withColumn("hierarchy_path", F.coalesce("best_path", "hierarchy_path"))
     return out.select(entities.columns)
 
 

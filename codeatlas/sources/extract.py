@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
+from . import stores
 
 #: Line patterns by language: (kind, pattern with a group for the name) (fixed values).
 _C_LIKE = [("class", r"^\s*(?:(?:public|private|protected|internal|abstract|final|static|sealed|partial|data|open|case|export|default)\s+)*(?:class|interface|struct|enum|record|trait|object|protocol|extension)\s+(\w+)")]
@@ -41,9 +42,6 @@ _NOT_CALLS = {"if", "for", "while", "switch", "match", "return", "catch", "funct
 #: Words that begin blocks and are no names (fixed values).
 _RESERVED = {"if", "for", "while", "switch", "match", "return", "catch", "else", "do", "try", "elif", "when", "with", "foreach", "sizeof"}
 _JSX = re.compile(r"<([A-Z]\w*)[\s/>]")
-#: Roles of store hooks by name (fixed values).
-STATE = {"useSelector": "reads_state", "useStore": "reads_state", "useDispatch": "dispatches"}
-
 
 def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     tree = ast.parse(text)
@@ -254,9 +252,15 @@ def _lexical(path: str, text: str, language: str) -> tuple[list[tuple], list[tup
     for i, line in enumerate(lines, 1):
         own = enclosing(scopes, i)
         if own and i != next(a for n, a, b in scopes if (n, a, b) == own):
-            deps += [(STATE.get(c, "invokes"), own[0], c, None) for c in _CALL.findall(line) if c not in _NOT_CALLS]
+            deps += [("invokes", own[0], c, None) for c in _CALL.findall(line) if c not in _NOT_CALLS]
             if path.endswith(("x",)):
                 deps += [("renders", own[0], c, None) for c in _JSX.findall(line)]
+    if language in ("typescript", "javascript"):
+        code = "\n".join(lines)
+        for kind, row, target in stores.signals(text, code):
+            own = enclosing(scopes, row)
+            deps.append((kind, own[0] if own else "<module>", target, None))
+        entities += stores.entities(code)
     return entities, deps
 
 

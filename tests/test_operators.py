@@ -666,3 +666,74 @@ def test_sync_state(spark):
     state = sync.due(None, "c1", now)
     assert state[0] == "c1" and sync.due(state, "c1", now.orderBy("path")) is None and sync.due(state, "c2", now) and sync.due(state, "c1", now.limit(1))
     assert [tuple(r) for r in sync.reverted(now, now.filter("path = 'b.py'")).collect()] == [("modified", "a.py", None)]
+
+
+STORES = """import { useSelector as pick, useDispatch } from 'react-redux';
+export const userSlice = createSlice({
+  name: 'user',
+  initialState: { a: 1, reducers: 2 },
+  reducers: {
+    login: (state, action) => { state.a = { b: 1 }; },
+    logout(state) {
+      state.a = 0;
+    },
+  },
+});
+const load = createAsyncThunk('load', async () => { fetchUser(); });
+export const { useGetPostsQuery, useAddPostMutation: useAdd, other } = postsApi;
+function Panel() {
+  const send = useDispatch();
+  const user = pick(selectUser);
+  const x = pick((s) => s.x);
+  const { data } = useGetPostsQuery();
+  send(userSlice.login());
+  dispatch(load);
+  setCartStore(x);
+  setTimeout(() => 1, 5);
+}
+function setName(a) {
+}
+"""
+
+
+def test_stores():
+    entities, deps = extract.parse("a.ts", "typescript", STORES)
+    found = {(k, n, a, b, p) for k, n, a, b, p, _ in entities}
+    assert {("store", "userSlice", 2, 11, None), ("function", "login", 6, 6, "userSlice"), ("function", "logout", 7, 9, "userSlice"), ("function", "load", 12, 12, None)} <= found
+    assert {("hook", "useGetPostsQuery", 13, 13, None), ("hook", "useAdd", 13, 13, None)} <= found and not any(n == "other" for _, n, *_ in found)
+    state = {(k, c, t) for k, c, t, _ in deps if k in ("reads_state", "writes_state", "dispatches")}
+    reads = {("reads_state", "Panel", t) for t in ("pick", "selectUser", "useGetPostsQuery")}
+    assert state == reads | {("writes_state", "Panel", t) for t in ("setCartStore", "cartStore")} | {("dispatches", "Panel", t) for t in ("login", "load")}
+
+
+def test_hook_of_a_repository(tmp_path):
+    import subprocess
+
+    from codeatlas.sources.hooks import hook_path, install_hook, uninstall_hook
+
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    repository = str(tmp_path)
+    assert not uninstall_hook(repository)
+    path = install_hook(repository, "true", ["it's"])
+    assert path == hook_path(repository) and path.stat().st_mode & 0o111
+    assert uninstall_hook(repository) and not path.exists()
+    path.write_text("#!/bin/sh\necho own\n")
+    install_hook(repository, "true", [])
+    install_hook(repository, "true", [])
+    assert path.read_text().count("codeatlas: begin") == 1
+    assert uninstall_hook(repository) and path.read_text() == "#!/bin/sh\necho own\n"
+
+
+def test_reroute_without_oneself(spark, shop):
+    """The moved entity's own place holds nothing but its features, so that it goes to what others share."""
+    rows = [("a:x", "function", "x", "a", ["read file", "parse text"], "Old/one/two"), ("b:y", "function", "y", "b", ["read file"], "Io/files/read"), ("c:z", "function", "z", "c", ["parse text", "send"], "Net/send/now")]
+    e = entities_df(spark, rows)
+    moved = hierarchy.reroute(e, hierarchy.feature_counts(e), spark.createDataFrame([("a:x", 0.9), ("b:y", 0.1)], "id string, drift double"))
+    assert {r.id: r.hierarchy_path for r in moved.collect()} == {"a:x": "Io", "b:y": "Io/files/read", "c:z": "Net/send/now"}
+
+
+def test_scopes_for_lifting(spark, shop):
+    ids = lambda scope: {r.id for r in hierarchy.resolve_scope(shop, scope).collect()}
+    assert ids("all") == ids("*") == set() and ids("Security") == {"auth.rs:validate_token", "api.rs:handle_login"}
+    assert ids("a*.rs") == {"auth.rs:validate_token", "api.rs:handle_login"} and ids("Security/auth/token") == {"auth.rs:validate_token"}
+    assert ids("db.rs:query_users, none") == {"db.rs:query_users"} and ids("") == set()

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import structural_signals
@@ -22,10 +21,9 @@ from ..streaming.sync import apply_stream, event_counts
 from . import export
 from .build import build as build_graph
 from .build import parsed
-from .tables import GRAPH_SQL, entities, graph, read
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .tables import entities, graph, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 DEPS = "('imports', 'invokes', 'inherits', 'composes', 'renders', 'reads_state', 'writes_state', 'dispatches', 'data_flow')"
 QUERY = "red widget economy"
 
@@ -36,16 +34,6 @@ def stored_graph(spark, sf):
     return CodeGraph(g.entities, cut(g.edges))
 
 
-def query(sql: str | None = None, with_graph: bool = True):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (GRAPH_SQL + "," + sql.strip().removeprefix("WITH ") if sql.strip().startswith("WITH ") else GRAPH_SQL + sql) if with_graph else sql
-        return f
-
-    return add
-
-
 _HEALTH = f"""WITH ends AS (SELECT source AS id, 1 AS o, 0 AS i FROM edges WHERE kind IN {DEPS} UNION ALL SELECT target, 0, 1 FROM edges WHERE kind IN {DEPS}),
 deg AS (SELECT id, CAST(sum(i) AS BIGINT) AS ca, CAST(sum(o) AS BIGINT) AS ce FROM ends GROUP BY id),
 h0 AS (SELECT e.id, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM entities e LEFT JOIN deg USING (id) WHERE kind <> 'module'),
@@ -705,16 +693,6 @@ def search_entry(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query()
-def plan_change(spark, sf):
-    """The plan's order of changes, its hits' scores, and how many depend on them."""
-    g = stored_graph(spark, sf)
-    plan = planning.plan_change(cut(g.entities), g.edges, QUERY)
-    place, near = {x: i for i, x in enumerate(plan["order"])}, {x["id"]: x for x in plan["impact"]}
-    rows = [(r["id"], place[r["id"]], float(round(r["score"], 6)), near[r["id"]]["upstream"], near[r["id"]]["files"]) for r in plan["relevant"]]
-    return spark.createDataFrame(rows, "id string, place int, score double, upstream long, files long")
-
-
 @query("WITH deg AS (SELECT id, count(*) AS links FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id), r AS (SELECT CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '' END AS folder, e.id AS entity, links FROM entities e JOIN deg USING (id)) SELECT folder, entity, links FROM r QUALIFY row_number() OVER (PARTITION BY folder ORDER BY links DESC, entity) <= 5")
 def snapshot_skeleton(spark, sf):
     g = graph(spark, sf)

@@ -3,7 +3,8 @@
 import pytest
 from conftest import SF, rows_of
 
-from codeatlas.plans.queries import ORACLES, QUERIES
+from codeatlas.plans import queries, upkeep  # noqa: F401
+from codeatlas.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

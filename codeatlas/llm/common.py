@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -98,6 +100,30 @@ def scratch() -> Iterator[None]:
         _scratches.pop()
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
+def releasing(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over a task's batches; free memory is given back before them, when the functions of the
+    task before are gone, and after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most ``most`` bytes, or of a single row."""
     if batch.nbytes <= most or batch.num_rows <= 1:
@@ -120,7 +146,7 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, m
         for out in fn(columns):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -189,4 +215,4 @@ def keep_rows(df: DataFrame, decide: Callable[[list], list[bool]], key: str = "t
                     lo, size = i + 1, 0
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)

@@ -14,7 +14,7 @@ from ..sources import files as store
 from ..sources.extract import extract
 from ..streaming.sync import reverted
 from . import export
-from .queries import _AUTO, QUERY, stored_graph
+from .queries import _AUTO, _TRANSITIONS, QUERY, _bfs, _cycles, stored_graph
 from .registry import ORACLES, query
 from .tables import GRAPH_SQL, entities, graph, read
 
@@ -294,3 +294,46 @@ def lexical_extract(spark, sf):
     found, raw = extract(read(spark, sf, "customer").select(text("f", k).alias("path"), pick(0).alias("language"), pick(1).alias("content")))
     own = found.select(F.col("id").alias("subject"), "kind", F.lit(None).cast("string").alias("target"))
     return own.unionByName(raw.select(F.concat_ws(" ", "file", "caller").alias("subject"), "kind", F.col("callee").alias("target")))
+
+
+@query("SELECT id, CASE WHEN kind = 'class' THEN coalesce(best_path, hierarchy_path) ELSE hierarchy_path END AS hierarchy_path FROM entities LEFT JOIN (" + ORACLES["best_path_routing"] + ") b USING (id)")
+def route_new(spark, sf):
+    """Customers are new and go to the most similar place."""
+    e = entities(spark, sf)
+    return hierarchy.route_new(e, e.filter("kind = 'class'").select("id"), hierarchy.features(e)).select("id", "hierarchy_path")
+
+
+@query(_TRANSITIONS + """ SELECT 0 AS part, unnest(range(4))::INT AS place, unnest(['cycles: ' || (SELECT count(*) FROM cy), 'entities: ' || count(DISTINCT m), 'files: ' || count(DISTINCT length(m)), 'areas: ' || count(DISTINCT substr(m, 1, 1))]) AS line FROM (SELECT unnest(cycle) AS m FROM cy)
+UNION ALL SELECT 1, length::INT, 'length ' || length || ': ' || count(*) FROM cy GROUP BY length
+UNION ALL SELECT * FROM (SELECT 2, (row_number() OVER (ORDER BY length DESC, cycle) - 1)::INT AS place, array_to_string(cycle, ' -> ') || ' -> ' || cycle[1] FROM cy ORDER BY place LIMIT 20)""", with_graph=False)
+def cycle_report(spark, sf):
+    found, e = _cycles(spark, sf)
+    return export.cycle_lines(found, e)
+
+
+def _groups_sql(few: int) -> str:
+    """The snapshot's groups with ``few`` features an entity."""
+    return f"SELECT {few} AS few, hierarchy_path, count(*) AS entities, string_agg(CASE WHEN r <= 5 THEN name || ': ' || array_to_string(list_slice(semantic_features, 1, {few}), ', ') END, '; ' ORDER BY r) AS sample FROM ranked GROUP BY hierarchy_path"
+
+
+@query("WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY hierarchy_path ORDER BY id) AS r FROM entities), g AS (" + " UNION ALL ".join(map(_groups_sql, (3, 2, 1, 0))) + "), size AS (SELECT few, sum(length(sample) + length(hierarchy_path)) / 4.0 + 500 AS tokens FROM g GROUP BY few), best AS (SELECT coalesce(max(few) FILTER (tokens <= 6000), 0) AS few FROM size) SELECT few, hierarchy_path, entities, sample FROM g WHERE few = (SELECT few FROM best)")
+def trimmed_snapshot(spark, sf):
+    """The fullest groups within 6,000 tokens, or those without features."""
+    groups, few = analytics.trimmed_snapshot(cut(entities(spark, sf)), 6000)
+    return groups.select(F.lit(few).alias("few"), "hierarchy_path", "entities", "sample")
+
+
+@query("SELECT 'functions' AS asked, id, hops FROM (SELECT 'order:1' AS id, 0 AS hops) UNION ALL SELECT 'functions', target, 1 FROM edges WHERE source = 'order:1' AND kind = 'imports' UNION ALL SELECT 'depends', id, hops FROM (SELECT 'supplier:1' AS id, 0 AS hops UNION ALL SELECT source, 1 FROM edges WHERE target = 'supplier:1' AND kind = 'composes')")
+def explore_filtered(spark, sf):
+    """One way with an edge filter and a kind filter: only parts below an order, and what is above a supplier."""
+    g = stored_graph(spark, sf)
+    down = traverse.explore(g.edges, g.entities, "order:1", "downstream", 2, ["imports", "composes"], ["function", "model"])
+    up = traverse.explore(g.edges, g.entities, "supplier:1", "upstream", 2, ["composes"])
+    return down.select(F.lit("functions").alias("asked"), "id", F.col("depth").alias("hops")).unionByName(up.select(F.lit("depends").alias("asked"), "id", F.col("depth").alias("hops")))
+
+
+@query(_bfs("order:7", "source", "target", 2) + ", pa AS (SELECT mn.id, mn.depth, (SELECT min(source) FROM edges JOIN mn p ON p.id = source AND p.depth = mn.depth - 1 WHERE target = mn.id) AS parent FROM mn) SELECT string_agg(repeat('  ', depth) || id, chr(10) ORDER BY CASE depth WHEN 0 THEN ['order:7'] WHEN 1 THEN ['order:7', id] ELSE ['order:7', parent, id] END) AS tree FROM pa")
+def explored_tree(spark, sf):
+    g = stored_graph(spark, sf)
+    tree = export.tree_text(traverse.explore(g.edges, g.entities, "order:7", "downstream", 2))
+    return spark.createDataFrame([(tree,)], "tree string")

@@ -9,15 +9,22 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEPENDENCY_KINDS
-from ..session import cut, ship
-from .order import numbered
+from ..session import Table, cut, ship
+from .order import closed, labelled, numbered
 
 #: Rows of an order that one task follows at once.
 BLOCK = 1 << 16
+#: Entities and edges of an order, at most, that the driver follows.
+ON_DRIVER = 1 << 22
+#: Slices by source, at most, in which a large graph's edges are numbered: a slice's shuffles go before the next.
+SLICES = 4
+#: Greater than an entity's label.
+LAST = (1 << 63) - 1
 
 
 def topological_levels(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,6 +95,68 @@ def kahn_numbered(n: int, sources: np.ndarray, targets: np.ndarray) -> np.ndarra
     return out
 
 
+def topological_order(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pos, id): the order of ``kahn`` for all entities.  The driver follows at most ``ON_DRIVER`` entities
+    and edges; the order of more comes from ``heap_paths``, and no more than counts go to the driver."""
+    known = labelled(entities.select("id").distinct(), ["id"], "k")
+    ids, pairs = known.df, edges.filter(F.col("kind").isin(DEPENDENCY_KINDS)).select("source", "target")
+    n, slices, links = ids.count(), [], None
+    for i in range(among := min(SLICES, 1 + n // max(ON_DRIVER, 1))):
+        part = pairs.filter(F.pmod(F.xxhash64("source"), F.lit(among)) == i)
+        for end in ("source", "target"):
+            part = part.join(ids.select(F.col("id").alias(end), F.col("k").alias(end[0])), end).drop(end)
+        slices.append(Table(part.filter("s <> t")))
+        links = slices[-1].df if links is None else links.unionByName(slices[-1].df)
+    if max(n, links.count()) <= ON_DRIVER:
+        labels = np.sort(ids.select("k").toArrow()["k"].to_numpy())
+        rows = links.distinct().toArrow()
+        order = labels[kahn_numbered(len(labels), *(np.searchsorted(labels, rows[c].to_numpy()) for c in "st"))]
+        places = entities.sparkSession.createDataFrame(pa.table({"pos": pa.array(range(len(order)), pa.int64()), "k": pa.array(order, pa.int64())}))
+    else:
+        tables = heap_paths(ids.select("k"), links)
+        paths = tables[0].df
+        for table in tables[1:]:
+            paths = paths.unionByName(table.df)
+        places = closed(labelled(paths, [F.col("path")[0], "path"], "at").df.select("k", "at"), "at")
+        slices += tables
+    for table in slices:
+        table.drop()
+    return places.join(ids, "k").select("pos", "id")
+
+
+def heap_paths(labels: DataFrame, links: DataFrame) -> list[Table]:
+    """Tables (k, path) of all ``labels`` (k): in order of the paths, which are compared entry by entry, these are
+    in the order that a heap over ``links`` (s, t; t before s) gives.
+
+    A label waits in the heap from when the last of its targets has left it, and until it leaves itself only smaller
+    ones do.  So the nearest greater one before it is that target, or else the nearest greater one before
+    that.  A path is the chain of these: the greatest path of a target, of it what is greater than the
+    label, and the label.  Paths are made level by level, as long as a label waits for one that is ready; a level's paths are
+    numbered, so that a link carries a number.  Cyclic leftovers come last, in order.  A path has at most an entry a level."""
+    waits = links.groupBy(F.col("s").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    users = links.select(F.col("t").alias("k"), F.lit(True).alias("used")).distinct()
+    begin = labels.join(waits, "k", "left").join(users, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("used", F.lit(False)).alias("used"))
+    state, out = Table(begin.withColumn("path", F.when(F.col("n") == 0, F.array("k")))), []
+    while True:
+        ready = state.df.filter("n = 0")
+        out.append(Table(ready.select("k", "path")))
+        used = ready.filter("used").select("k", "path")
+        if not used.limit(1).count():
+            break
+        level = labelled(used, [F.col("path")[0], "path"], "at")
+        met = links.join(level.df.select(F.col("k").alias("t"), "at"), "t").groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("at").alias("at"))
+        met = met.join(level.df.select("at", F.col("path").alias("last")), "at").select(F.col("s").alias("k"), "m", "last")
+        left, best = F.col("n") - F.coalesce("m", F.lit(0)), F.greatest("path", "last")
+        own = F.concat(F.filter(best, lambda x: x > F.col("k")), F.array("k"))
+        rows = state.df.filter("n > 0").join(met, "k", "left").select("k", left.alias("n"), "used", F.when(left == 0, own).otherwise(best).alias("path"))
+        state, before = Table(rows), state
+        before.drop()
+        level.drop()
+    out.append(Table(state.df.filter("n > 0").select("k", F.array(F.lit(LAST), "k").alias("path"))))
+    state.drop()
+    return out
+
+
 def reconstruction_batches(ordered: DataFrame, size: int = 8, block: int = BLOCK) -> DataFrame:
     """(area, island, batch, n) from (pos, area): a batch ends where the area changes and at ``size``.
     A null area is an area.  Rows are numbered along the whole order and looked at in blocks that also

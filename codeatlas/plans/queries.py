@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.text import structural_signals
@@ -604,17 +603,9 @@ def page_links(spark, sf):
 
 @query()
 def topo_exact(spark, sf):
-    """The exact order of all entities by all dependencies.  An order by a heap is one sequence: the
-    driver follows it over all edges, in numbers that stand for the ids in their order."""
+    """The exact order of all entities by all dependencies."""
     g = graph(spark, sf)
-    ids = cut(numbered(g.entities.select("id").distinct(), ["id"]).select("pos", "id"))
-    links = g.edges.filter(f"kind IN {DEPS}").select("source", "target").distinct()
-    for end in ("source", "target"):
-        links = links.join(ids.select(F.col("id").alias(end), F.col("pos").alias(end[0])), end)
-    rows = links.select(F.col("s").cast("int"), F.col("t").cast("int")).toArrow()
-    order = planning.kahn_numbered(ids.count(), rows["s"].to_numpy(), rows["t"].to_numpy())
-    places = spark.createDataFrame(pa.table({"at": pa.array(range(len(order)), pa.int64()), "n": pa.array(order, pa.int64())}))
-    return places.join(ids, places.n == ids.pos).select(F.col("at").alias("pos"), "id")
+    return planning.topological_order(g.entities, g.edges)
 
 
 @query("SELECT p || x.suffix AS id, x.kind, x.line_start, x.line_end, x.parent_class FROM (SELECT 'c' || conv_id || '_' || turn || '.py' AS p FROM conversations), (VALUES (':C', 'class', 1, 3, NULL), (':C::m', 'method', 2, 3, 'C'), (':f', 'function', 5, 6, NULL)) x(suffix, kind, line_start, line_end, parent_class)", with_graph=False)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -47,3 +48,31 @@ def cut(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+#: While a table is stored: its shuffle files go when it is written, and joins hash sides that are small in
+#: every partition; larger ones are sorted, which can spill.
+STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+
+
+class Table:
+    """A DataFrame written once as Parquet in the folder that the cluster shares, and deleted by ``drop``; the
+    session's settings are as before afterwards."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in STORING}
+        try:
+            for k, v in STORING.items():
+                conf.set(k, v)
+            df.write.parquet(self.path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codeatlas import session
 from codeatlas.functions.text import clean_score, drift, glob_regex, jaccard, split_words, structural_signals
 from codeatlas.operators import analytics, evolve, graph, hierarchy, lifting, planning, search, traverse
 from codeatlas.schema import ENTITIES, CodeGraph
@@ -442,6 +443,45 @@ def test_topo_exact_whole(spark):
     assert [r.id for r in queries.topo_exact(spark, SF).orderBy("pos").collect()] == want
 
 
+def test_topo_exact_off_the_driver(spark, monkeypatch):
+    """Beyond the driver's bound neither edges nor places pass through it, and the order is the same."""
+    from conftest import SF
+
+    from codeatlas.plans import queries, tables
+
+    g = tables.graph(spark, SF)
+    want = planning.kahn([r.id for r in g.entities.select("id").collect()], [tuple(r) for r in g.edges.select("source", "target").collect()])
+    monkeypatch.setattr(planning, "ON_DRIVER", 0, raising=False)
+    with monkeypatch.context() as m:
+        for name in ("toArrow", "toPandas", "collect"):
+            m.setattr(type(g.entities), name, lambda *_, name=name: pytest.fail(f"{name} on the driver"))
+        out = queries.topo_exact(spark, SF).orderBy("pos")
+    got = out.collect()
+    assert [r.id for r in got] == want and [r.pos for r in got] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("on_driver", [0, 1 << 22])
+def test_topological_order_of_odd_graphs(spark, monkeypatch, on_driver):
+    """Cycles and what is behind them, edges twice, of other kinds, to oneself and to nowhere, ids twice, a
+    chain each way, and no rows."""
+    monkeypatch.setattr(planning, "ON_DRIVER", on_driver)
+    settings = {k: spark.conf.get(k, None) for k in session.STORING}
+    for seed in (1, 2):
+        chance, ids = random.Random(seed), [f"e{i:03}" for i in range(80)]
+        hidden = chance.sample(ids[:64], 64)
+        links = [(hidden[b], hidden[a]) for a, b in (sorted(chance.sample(range(64), 2)) for _ in range(60 * seed))]
+        links += [(ids[i], ids[i + 1]) for i in range(64, 69)] + [(ids[i + 1], ids[i]) for i in range(70, 74)]
+        links += [(ids[75], ids[76]), (ids[76], ids[75]), (ids[77], ids[75]), (ids[0], ids[77]), (ids[78], ids[78])]
+        rows = [(s, t, "imports") for s, t in links] + [(s, t, "invokes") for s, t in links[:9]] + [(ids[79], "gone", "imports"), ("gone", ids[79], "imports"), (ids[64], ids[79], "contains")]
+        entities = spark.createDataFrame([(i,) for i in ids + ids[:5]], "id string")
+        edges = spark.createDataFrame(rows, "source string, target string, kind string")
+        got = planning.topological_order(entities, edges).orderBy("pos").collect()
+        assert [r.id for r in got] == planning.kahn(ids, links) and [r.pos for r in got] == list(range(80))
+    assert [tuple(r) for r in planning.topological_order(entities.filter("id = 'e000'"), edges.limit(0)).collect()] == [(0, "e000")]
+    assert planning.topological_order(entities.limit(0), edges).count() == 0
+    assert settings == {k: spark.conf.get(k, None) for k in session.STORING}
+
+
 def test_kahn_numbered():
     import random
 

@@ -158,10 +158,14 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(ids, key, how)
 
 
+def hot_above(rows: DataFrame) -> int:
+    """A key of ``rows``, a stored table, is hot if it has more rows than this."""
+    return max(HOT_ROWS, rows.count() // HOT_SHARE)
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """(key) of the hot keys of ``rows``, a stored table: at most HOT_SHARE, whatever its size."""
-    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(key)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_above(rows)).select(key)
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, how: str, hot: DataFrame | None = None) -> DataFrame:
@@ -177,27 +181,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> Stored:
     """Connected components of undirected ``links``: a stored table (v, c) for every linked vertex,
     c the smallest vertex reachable.  Labels take the least label among neighbours and
     then jump to their label's label, so that the rounds grow with the logarithm of the
-    longest chain.  Every round is a table in the shared folder.  Vertices of many links and labels
-    of many vertices are looked up by broadcast."""
+    longest chain; they end when every vertex has its neighbours' label.  Every round is a table in the
+    shared folder.  Vertices of many links and labels of many vertices are looked up by broadcast."""
     with scratch():
         edges = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
         edges = Stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges").df
-        hubs = Stored(hot_keys(edges, "v"), "hubs").df
-        stored = Stored(edges.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
+        stored = Stored(edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).select("v", F.least("v", "m").alias("c"), "n"), "labels")
+        hubs = Stored(stored.df.filter(F.col("n") > hot_above(edges)).select("v"), "hubs").df
         while True:
+            stored.df = stored.df.select("v", "c")
             near = look_up(edges, stored.df, "v", "inner", hubs).groupBy("u").agg(F.min("c").alias("n"))
             new = stored.df.join(near, F.col("v") == F.col("u")).select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
             least = Stored(new, "least")
+            if not least.df.filter("c <> old").limit(1).count():
+                return stored.keep()
             jump = stored.df.select(F.col("v").alias("c"), F.col("c").alias("to"))
-            new = look_up(least.df, jump, "c", "left").select("v", "old", F.least("c", F.coalesce("to", "c")).alias("c"))
+            new = look_up(least.df, jump, "c", "left").select("v", F.least("c", F.coalesce("to", "c")).alias("c"))
             after = Stored(new, "labels")
-            changed = after.df.filter("c <> old").limit(1).count()
             stored.drop()
             least.drop()
             stored = after
-            if not changed:
-                stored.df = stored.df.select("v", "c")
-                return stored.keep()
 
 
 def keep_rows(df: DataFrame, decide: Callable[[list], list[bool]], key: str = "text", chars: int = 1 << 20) -> DataFrame:

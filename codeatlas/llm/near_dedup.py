@@ -4,7 +4,8 @@ Documents are sets of distinct five-word shingles (A-Z lowered, words between AS
 space).  Every document gets a MinHash signature; equal sets are collapsed to their
 smallest id; the signatures' bands give candidates; a candidate's signatures are compared
 batch by batch, and it is dropped as soon as the posterior probability that its similarity
-reaches the threshold falls under ``MISS``; survivors are verified on their full sets.
+reaches the threshold falls under ``MISS``; survivors are verified on their full sets.  Pairs that
+are rows are compared by native expressions: small partitions need no Python task each.
 
 Candidates come in two steps, so that a bucket of n documents never gives n^2 rows.  First
 each document meets one document, the busiest of its buckets (that in most buckets), which
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Stored, by_ids, components, hot_keys, look_up, map_columns, scratch
+from .common import Stored, by_ids, components, hot_above, look_up, map_columns, scratch
 from .hashing import U, mix, shingle_sets
 
 WORDS, SIMILARITY = 5, 0.75
@@ -113,47 +114,27 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(columns: Iterator[dict]) -> Iterator[dict]:
         for c in columns:
             sets = shingle_sets([(t or "").encode() for t in c["text"]], words)
-            yield {"doc_id": c["doc_id"], "shingles": [s.tobytes() for s in sets]}
+            yield {"doc_id": c["doc_id"], "shingles": [s.view(np.int64) for s in sets]}
 
-    return map_columns(docs.select("doc_id", "text"), run, "doc_id long, shingles binary")
+    return map_columns(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>")
 
 
-def _posterior(pairs: DataFrame, similarity: float, batch: int, miss: float) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) that no batch of signature values rules out: (a, b)."""
-
-    def run(columns: Iterator[dict]) -> Iterator[dict]:
-        least: list[int] = []
-        for c in columns:
-            if not c["a"]:
-                yield {"a": [], "b": []}
-                continue
-            one = np.frombuffer(b"".join(c["sig_a"]), dtype=np.uint32).reshape(len(c["a"]), -1)
-            two = np.frombuffer(b"".join(c["sig_b"]), dtype=np.uint32).reshape(len(c["a"]), -1)
-            least = least or least_matches(one.shape[1], batch, similarity, miss)
-            stays, equal = np.arange(len(one)), np.zeros(len(one), dtype=np.int64)
-            for k, m in enumerate(least):
-                cut = slice(k * batch, (k + 1) * batch)
-                equal[stays] += (one[stays, cut] == two[stays, cut]).sum(axis=1)
-                stays = stays[equal[stays] >= m]
-            yield {"a": [c["a"][i] for i in stays], "b": [c["b"][i] for i in stays]}
-
-    return map_columns(pairs, run, "a long, b long")
+def _posterior(pairs: DataFrame, n: int, similarity: float, batch: int, miss: float) -> DataFrame:
+    """Pairs (a, b, sig_a, sig_b) that no batch of the ``n`` signature values rules out: (a, b)."""
+    least = least_matches(n, batch, similarity, miss)
+    if not least:
+        return pairs.select("a", "b")
+    same = f"size(filter(sequence(k * {batch}, k * {batch} + {batch - 1}), i -> substring(sig_a, 4 * i + 1, 4) = substring(sig_b, 4 * i + 1, 4)))"
+    step = f"transform(array(equal + {same}), e -> if(e >= array({', '.join(map(str, least))})[k], e, -1))[0]"  # -1: ruled out, no further batch is compared
+    return pairs.filter(f"aggregate(sequence(0, {len(least) - 1}), 0, (equal, k) -> if(equal < 0, -1, {step})) >= 0").select("a", "b")
 
 
 def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b, set_a, set_b) whose full sets reach the similarity: (a, b)."""
-    percent = round(similarity * 100)
-
-    def run(columns: Iterator[dict]) -> Iterator[dict]:
-        for c in columns:
-            kept: dict = {"a": [], "b": []}
-            for a, b, x, y in zip(c["a"], c["b"], c["set_a"], c["set_b"], strict=True):
-                if _reaches(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U), percent):
-                    kept["a"].append(a)
-                    kept["b"].append(b)
-            yield kept
-
-    return map_columns(pairs, run, "a long, b long")
+    percent, one, two = round(similarity * 100), "CAST(size(set_a) AS BIGINT)", "CAST(size(set_b) AS BIGINT)"
+    fits = f"100 * least({one}, {two}) >= {percent} * greatest({one}, {two})"
+    reaches = f"{100 + percent} * CAST(size(array_intersect(set_a, set_b)) AS BIGINT) >= {percent} * ({one} + {two})"
+    return pairs.filter(f"CASE WHEN {fits} THEN {reaches} ELSE false END").select("a", "b")
 
 
 def _reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
@@ -242,7 +223,7 @@ def _in_blocks(apart: DataFrame, own_sig: DataFrame, own_set: DataFrame, rows: i
         return t.select(["key", "band", "d", "n", "c"]).filter(pa.array(some))
 
     def link(t: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(s, dtype=U) for s in t["shingles"].to_pylist()]
+        sets = [s.values.to_numpy().view(U) for s in t["shingles"]]
         found = join_block(t["d"].to_pylist(), t["c"].to_pylist(), t["block"].to_pylist(), signs(t), sets, t["band"][0].as_py(), rows, similarity, BATCH, miss)
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
@@ -251,8 +232,7 @@ def _in_blocks(apart: DataFrame, own_sig: DataFrame, own_set: DataFrame, rows: i
     some = dealt.groupBy("key", "i", "j").applyInArrow(keep, "key long, band int, d long, n long, c long")
     some = Stored(some.distinct(), "likely").df
     total = some.groupBy("key").agg(F.sum("n").alias("total"))
-    some = Stored(look_up(some, total, "key", "inner"), "likely").df
-    dealt = _in_pairs(some, F.ceil(F.col("total") / SHINGLES)).join(sig, "d").join(own_set.withColumnRenamed("doc_id", "d"), "d")
+    dealt = _in_pairs(look_up(some, total, "key", "inner"), F.ceil(F.col("total") / SHINGLES)).join(sig, "d").join(own_set.withColumnRenamed("doc_id", "d"), "d")
     return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
 
 
@@ -271,25 +251,25 @@ def _near_duplicates(docs: DataFrame, similarity: float, words: int, bands: int,
     banded = first.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), F.explode(F.expr(key)).alias("b")).select("d", "n", "b.key", "b.band")
     shared = banded.groupBy("key").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x < y").select("key")
     alike = Stored(banded.join(shared, "key"), "members")
-    busy = alike.df.groupBy("d").agg(F.count(F.lit(1)).alias("busy"))  # at most ``bands`` rows a document
+    busy = Stored(alike.df.groupBy("d").agg(F.count(F.lit(1)).alias("busy")), "busy").df  # at most ``bands`` rows a document
     member = Stored(alike.df.join(busy, "d"), "members")
     alike.drop()
-    hot = Stored(hot_keys(member.df, "key"), "hot").df
-    pivot = member.df.groupBy("key").agg(F.max(F.struct("busy", (-F.col("d")).alias("m"))).alias("p"), F.count(F.lit(1)).alias("size"))
+    pivot = Stored(member.df.groupBy("key").agg(F.max(F.struct("busy", (-F.col("d")).alias("m"))).alias("p"), F.count(F.lit(1)).alias("size")), "pivot").df
+    hot = Stored(pivot.filter(F.col("size") > hot_above(member.df)).select("key"), "hot").df
     met = Stored(look_up(member.df, pivot, "key", "inner", hot), "met").df
     member.drop()
 
-    meeting = Stored(met.select(F.col("d").alias("doc_id")).distinct(), "meeting").df
+    meeting = busy.select(F.col("d").alias("doc_id"))
     own_sig = Stored(by_ids(first.select("doc_id", "sig"), meeting, "doc_id", "left_semi"), "candidates").df
     own_set = Stored(_sets(by_ids(docs.select("doc_id", "text"), meeting, "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "shingles"]), "sets").df
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(own_sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         pairs = pairs.join(own_sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        left = Stored(_posterior(pairs.select("a", "b", "sig_a", "sig_b"), similarity, BATCH, miss), "survivors").df
+        left = Stored(_posterior(pairs, bands * rows, similarity, BATCH, miss), "survivors").df
         left = left.join(own_set.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         left = left.join(own_set.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return Stored(_exact(left.select("a", "b", "set_a", "set_b"), similarity).distinct(), "links").df
+        return Stored(_exact(left, similarity).distinct(), "links").df
 
     star = met.groupBy("d").agg(F.max("p").alias("p")).select("d", (-F.col("p.m")).alias("hub")).filter("d <> hub")
     links = verified(star.select(F.least("d", "hub").alias("a"), F.greatest("d", "hub").alias("b")).distinct())

@@ -92,6 +92,45 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows)
 
 
+def test_near_duplicates_pairs_checked_without_python(spark):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(-60, 60), k)) for k in (1, 3, 40, 90, 90, 110, 112, 115)] + [list(range(-60, 60)), list(range(-60, 30))]
+    words = [near_dedup.U(0x9E3779B97F4A7C15) * near_dedup.np.array(s, dtype=near_dedup.np.int64).view(near_dedup.U) for s in sets]
+    sigs = near_dedup.signatures(words, 128)
+    rows = [(a, b, sigs[a].tobytes(), sigs[b].tobytes(), sets[a], sets[b]) for a in range(10) for b in range(a + 1, 10)]
+    pairs = spark.createDataFrame(rows, "a long, b long, sig_a binary, sig_b binary, set_a array<long>, set_b array<long>")
+    least = near_dedup.least_matches(128, 16, 0.75, 1e-7)
+    stay = {(a, b) for a, b, *_ in rows if all((sigs[a, : 16 * k + 16] == sigs[b, : 16 * k + 16]).sum() >= m for k, m in enumerate(least))}
+    reach = {(a, b) for a, b, *_ in rows if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    likely, exact = near_dedup._posterior(pairs.drop("set_a", "set_b"), 128, 0.75, 16, 1e-7), near_dedup._exact(pairs.drop("sig_a", "sig_b"), 0.75)
+    assert {(r.a, r.b) for r in likely.collect()} == stay and {(r.a, r.b) for r in exact.collect()} == reach
+    assert (8, 9) in reach and 0 < len(reach) <= len(stay) < len(rows)
+    assert not [d for d in (likely, exact) if "Arrow" in d._jdf.queryExecution().toString()]
+
+
+def test_near_duplicates_over_many_partitions(spark):
+    """Few tasks where partitions are small and many: every stage has one a partition."""
+    rng, base = random.Random(3), random.Random(2).choices(WORDS, k=80)
+    texts = [" ".join(base[:k] + [f"v{i % 40}"] + base[k + 1 :]) for i, k in enumerate(rng.choices(range(80), k=120))] + [" ".join(rng.choices(WORDS, k=50)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    spark.sparkContext.setJobGroup("near-duplicates", "tasks counted")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_duplicates(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for k in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(k, None)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(enumerate(texts))
+    status = spark.sparkContext.statusTracker()
+    stages = {i for j in status.getJobIdsForGroup("near-duplicates") for i in status.getJobInfo(j).stageIds}
+    assert sum(s.numCompletedTasks for s in map(status.getStageInfo, stages) if s) <= 1750
+
+
 def test_posterior_keeps_the_threshold():
     least = near_dedup.least_matches(128, 16, 0.75, 1e-7)
     assert least == sorted(least) and least[-1] < 0.75 * 128
